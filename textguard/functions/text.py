@@ -164,6 +164,9 @@ def trim_all(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: a break follows '.', '!' or '?' with white space behind it."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
+    """Sentences with the white space behind them: a break follows '.', '!' or '?' and a space.
+
+    Put back together they are the text, character for character.
+    """
+    marked = F.regexp_replace(text, r"([.!?]\s+)", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
