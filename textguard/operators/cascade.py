@@ -196,9 +196,9 @@ def fragment_best(df: DataFrame, key: str, text: str = "text", sensitivity: str
     return best.select(key, F.col("b.score").alias("score"), F.col("b.fragment").alias("fragment"))
 
 
-def group_rejoin(df: DataFrame, covered: DataFrame, key: str, group: str, order: str, text: str = "text",
-                 limit: int = 2000, sensitivity: str = "balanced") -> DataFrame:
-    """Groups of two or more parts, none of them covered, read as one text.
+def rejoined_groups(df: DataFrame, covered: DataFrame, key: str, group: str, order: str, text: str = "text",
+                    limit: int = 2000) -> DataFrame:
+    """C7, the texts: groups of two or more parts, none of them covered, each as one text.
 
     A joined text over ``limit`` characters is not judged, so groups whose total length alone
     is over it are dropped by a sum before anything is collected: no group larger than the limit
@@ -206,12 +206,19 @@ def group_rejoin(df: DataFrame, covered: DataFrame, key: str, group: str, order:
     """
     parts = df.select(key, group, order, T.trim_all(F.col(text)).alias("part")).filter(
         F.char_length("part").between(2, 2000))
-    sizes = parts.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.char_length("part") + 1).alias("chars"))
-    small = sizes.filter((F.col("n") >= 2) & (F.col("chars") - 1 <= limit)).select(group)
-    open_groups = small.join(parts.join(covered.select(key), key, "left_semi").select(group).distinct(), group, "left_anti")
-    whole = (parts.join(open_groups, group).groupBy(group)
-             .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("part").alias("p")))).alias("ps"))
-             .select(group, F.expr("array_join(ps.p, ' ')").alias("joined")))
+    marked = parts.join(covered.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    sizes = marked.groupBy(group).agg(
+        F.count("*").alias("n"), F.sum(F.char_length("part") + 1).alias("chars"), F.count("_hit").alias("hits"))
+    wanted = sizes.filter((F.col("n") >= 2) & (F.col("chars") - 1 <= limit) & (F.col("hits") == 0)).select(group)
+    return (parts.join(wanted, group, "left_semi").groupBy(group)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("part").alias("p")))).alias("ps"))
+            .select(group, F.expr("array_join(ps.p, ' ')").alias("joined")))
+
+
+def group_rejoin(df: DataFrame, covered: DataFrame, key: str, group: str, order: str, text: str = "text",
+                 limit: int = 2000, sensitivity: str = "balanced") -> DataFrame:
+    """Groups with no covered part, read as one text; those that are held."""
+    whole = rejoined_groups(df, covered, key, group, order, text, limit)
     return moderate(whole, "joined").filter(held(sensitivity)).select(group, "joined", "score")
 
 
