@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def quote(value: str) -> str:
     """A string literal; raw, so patterns keep their backslashes."""
@@ -61,3 +64,13 @@ def n_common(array: str, values: Iterable[str]) -> str:
 def joined(array: str) -> str:
     """An array as one comma-separated string, sorted."""
     return f"array_join(array_sort(array_distinct({array})), ',')"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute the columns here, once.
+
+    A filter on a derived column is pushed down by writing the column's whole expression into it,
+    and for a long chain of columns that means computing everything many times over. A
+    one-element explode is a narrow operator such a filter does not move across.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
-from textguard.functions.arrays import quote
+from textguard.functions.arrays import quote, settle
 from textguard.operators.normalize import word_forms
 from textguard.operators.phrases import lexical_fallback_score
 from textguard.operators.policy import held
@@ -92,7 +92,7 @@ def local_verdict(verdicts: DataFrame, scorer: Scorer = lexical_scorer, transfor
     if transformer and not reachable:
         df = offline_fallback(df, "suspect")
     df = df.withColumn("level", F.expr(level_of("score")))
-    return df.drop("decided", "model_sure", "open", "weak_only", "pushed", "suspect")
+    return settle(df.drop("decided", "model_sure", "open", "weak_only", "pushed", "suspect"))
 
 
 def offline_fallback(df: DataFrame, waiting: str = "pending") -> DataFrame:

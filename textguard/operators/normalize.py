@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textguard import lexicon as L
 from textguard.functions import text as T
-from textguard.functions.arrays import let, mapping, quote, within, words
+from textguard.functions.arrays import let, mapping, quote, settle, within, words
 
 KEYBOARD = ["qwertyuiop", "asdfghjkl", "zxcvbnm"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -195,7 +195,7 @@ def normalize(df: DataFrame, text: str = "text", typos: dict[str, str] | None =
 
     ``typos`` comes from :func:`surviving_typos`; without it no typo is corrected.
     """
-    return (
+    return settle(
         df.withColumn("plain", T.fold_characters(F.col(text)))
         .withColumn("plain", resolve_masks("plain"))
         .withColumn("plain", T.collapse_space(T.fold_leet(F.col("plain"))))

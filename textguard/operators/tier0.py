@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard import lexicon as L
-from textguard.functions.arrays import within
+from textguard.functions.arrays import settle, within
 from textguard.operators import aim, phrases, rules
 from textguard.operators.normalize import normalize
 
@@ -56,7 +56,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     df = aim.insult_aim(df)
     df = aim.insult_only(df)
     df = aim.insult_score(df)
-    return pile_on_score(df)
+    return settle(pile_on_score(df))
 
 
 def affection_softener(df: DataFrame) -> DataFrame:
@@ -178,4 +178,4 @@ def tier0_verdict(df: DataFrame, text: str = "text", typos: dict[str, str] | Non
         df = normalize(df, text, typos)
     kept = [c for c in given if c not in VERDICT]
     extra = [c for c in ("plain", "tokens", "destretched") if c not in kept]
-    return compose(features(df, text)).select(*kept, *extra, *VERDICT)
+    return settle(compose(features(df, text)).select(*kept, *extra, *VERDICT))

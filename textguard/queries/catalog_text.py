@@ -83,7 +83,7 @@ def resolve_masks(spark, sf):
                      F.when(F.size(hits) > 0, F.array_join(hits, " ")).alias("words"))
 
 
-@query("fold_leet", f"{DOC_BASE} SELECT id AS doc_id, md5({O.leet('cs')}) AS digest FROM (SELECT id, string_split(lower(text), '') AS cs FROM docs)")
+@query("fold_leet", f"{DOC_BASE}, b AS MATERIALIZED (SELECT id, string_split(lower(text), '') AS cs FROM docs) SELECT id AS doc_id, md5({O.leet('cs')}) AS digest FROM b")
 def fold_leet(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.fold_leet(F.lower("text"))).alias("digest"))
 
@@ -93,13 +93,15 @@ def collapse_space(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.collapse_space(F.col("text"))).alias("digest"))
 
 
-@query("collapse_runs", f"SELECT doc_id, md5({O.runs('text', 2)}) AS two, md5({O.runs('text', 1)}) AS one FROM documents")
+@query("collapse_runs", f"""WITH b AS MATERIALIZED (SELECT doc_id, string_split(text, '') AS cs FROM documents)
+SELECT doc_id, md5({O.char_runs('cs', 2)}) AS two, md5({O.char_runs('cs', 1)}) AS one FROM b""")
 def collapse_runs(spark, sf):
     c = F.col("text")
     return docs(spark, sf).select("doc_id", F.md5(T.collapse_runs(c, 2)).alias("two"), F.md5(T.collapse_runs(c, 1)).alias("one"))
 
 
-@query("squash", f"SELECT doc_id, md5({O.runs(O.bare('lower(text)'), 1)}) AS key FROM documents")
+@query("squash", f"""WITH b AS MATERIALIZED (SELECT doc_id, string_split({O.bare('lower(text)')}, '') AS cs FROM documents)
+SELECT doc_id, md5({O.char_runs('cs', 1)}) AS key FROM b""")
 def squash(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.squash(F.lower("text"))).alias("key"))
 
@@ -169,7 +171,7 @@ def is_real_word(spark, sf):
 # Words from the lists, run together with one slip each, stand in for typing errors.
 SLIPS = """slips AS (SELECT DISTINCT w FROM (
     SELECT token AS w FROM cw
-    UNION ALL SELECT left(word, k) || chr(97 + (n_docs + k) % 26) || substr(word, k + 2) FROM cw, (SELECT unnest({words}) AS word) t, unnest(range(1, length(word))) AS u(k)
+    UNION ALL SELECT left(word, k) || chr((97 + (n_docs + k) % 26)::INTEGER) || substr(word, k + 2) FROM cw, (SELECT unnest({words}) AS word) t, unnest(range(1, length(word))) AS u(k)
         WHERE length(token) = length(word) AND token[1] = word[1])
     WHERE w <> '')""".replace("{words}", O.arr(normalize.typo_targets()))
 

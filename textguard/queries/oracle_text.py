@@ -69,8 +69,12 @@ def space(col: str) -> str:
 
 
 def runs(col: str, keep: int) -> str:
-    """N7 through the list of characters."""
-    chars = f"string_split({col}, '')"
+    """N7 of a short text through the list of its characters."""
+    return char_runs(f"string_split({col}, '')", keep)
+
+
+def char_runs(chars: str, keep: int) -> str:
+    """N7 over a column that holds the list of characters."""
     same = " AND ".join(f"coalesce({chars}[i - {k}] = c, false)" for k in range(1, keep + 1))
     return f"array_to_string(list_filter({chars}, lambda c, i: NOT ({same})), '')"
 
@@ -129,14 +133,15 @@ chunks AS (SELECT id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k
     FROM (SELECT id, string_split(f, ' ') AS ws FROM folded WHERE regexp_matches(f, '[*#%_]'))),
 unmasked AS (SELECT c.id, string_agg(coalesce(m.r, c.w), ' ' ORDER BY c.k) AS f
     FROM chunks c LEFT JOIN maskmap m ON m.w = c.w GROUP BY c.id),
-charlists AS (SELECT d.* EXCLUDE (f), string_split(coalesce(u.f, d.f), '') AS chars FROM folded d LEFT JOIN unmasked u ON u.id = d.id),
+charlists AS MATERIALIZED (SELECT d.* EXCLUDE (f), string_split(coalesce(u.f, d.f), '') AS chars FROM folded d LEFT JOIN unmasked u ON u.id = d.id),
 plain_t AS (SELECT * EXCLUDE (chars), {space(leet('chars'))} AS plain FROM charlists)"""
 
 
 def norm_ctes(source: str, text: str = "text", typos: bool = False) -> str:
     """n(id, ..., plain, destretched, squashed, tokens, canonical, ctext, cjoined, jtokens)."""
     return f"""{plain_ctes(source, text)}, {ALIAS}, {VOCAB},
-base AS (SELECT *, {runs('plain', 2)} AS destretched, {runs(bare('plain'), 1)} AS squashed, {tokens('plain')} AS tokens FROM plain_t),
+bare_t AS MATERIALIZED (SELECT *, string_split(plain, '') AS pc, string_split({bare('plain')}, '') AS lc FROM plain_t),
+base AS MATERIALIZED (SELECT * EXCLUDE (pc, lc), {char_runs('pc', 2)} AS destretched, {char_runs('lc', 1)} AS squashed, {tokens('plain')} AS tokens FROM bare_t),
 tok AS (SELECT b.id, u.k AS pos, b.tokens[u.k] AS w FROM base b, unnest(range(1, len(b.tokens) + 1)) AS u(k)),
 {canon_map('cm', 'tok', typos)},
 ct AS (SELECT id, pos, c, regexp_full_match(c, '\\p{{L}}') AS single FROM tok JOIN cm USING (w)),
