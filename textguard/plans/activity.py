@@ -24,7 +24,7 @@ HOUR = 3600 * SECOND
 
 
 def micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts))
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def excluded_apps(df: DataFrame, app: str = "app_id", deny: DataFrame | None = None) -> DataFrame:

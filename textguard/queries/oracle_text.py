@@ -193,7 +193,7 @@ def rule_test(pattern: str, name: str, form: str, guarded: bool) -> str:
     """Whether one rule matches one padded form, without look-around."""
     filled = rules.fill(pattern)
     if guarded:
-        toks = f"string_split(trim({form}), ' ')"
+        toks = "canonical" if form == "ctext" else "jtokens"
         before = f"list_has_any({toks}[greatest(i - 3, 1):i - 1], {arr(rules.WRITER_BEFORE)})"
         return (f"len(list_filter(range(1, len({toks}) + 1), lambda i: NOT (i > 1 AND {before})"
                 f" AND regexp_matches(array_to_string({toks}[i:i + 12], ' ') || ' ', {q('^(?:' + filled + ') ')}))) > 0")

@@ -95,7 +95,7 @@ def report_entry() -> str:
 
 def report_entries(events: DataFrame, key: str = "install_id", tie: str = "event_id") -> DataFrame:
     """K4, the lines: one row per event with its Markdown and a sort position, newest first."""
-    return events.select(key, F.expr("-unix_micros(occurred_at)").alias("place"), tie, F.expr(report_entry()).alias("entry"))
+    return events.select(key, F.expr("-unix_micros(cast(occurred_at AS timestamp))").alias("place"), tie, F.expr(report_entry()).alias("entry"))
 
 
 def report_markdown(events: DataFrame, key: str = "install_id", tie: str = "event_id", limit: int = 60) -> DataFrame:
@@ -104,7 +104,7 @@ def report_markdown(events: DataFrame, key: str = "install_id", tie: str = "even
     A record holds the newest ``limit`` events, which is what the activity log keeps. The whole
     history goes through :func:`write_report`, which never puts a key into one row.
     """
-    shown = newest(events.withColumn("_t", F.unix_micros("occurred_at")), key, "_t", limit, 86_400_000_000, tie)
+    shown = newest(events.withColumn("_t", F.unix_micros(F.col("occurred_at").cast("timestamp"))), key, "_t", limit, 86_400_000_000, tie)
     lines = shown.select(key, "rank", F.expr(report_entry()).alias("entry"))
     return (lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("es"))
             .select(key, F.size("es").alias("entries"), F.expr("array_join(es.entry, '\n')").alias("body")))
