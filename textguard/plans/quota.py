@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.operators.context import lookback
 from textguard.plans.activity import HOUR, SECOND, micros, number_runs
 
+# Tasks get these functions by value, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Requests per sliding minute and per day.
 PER_MINUTE = 12
 PER_DAY = 480

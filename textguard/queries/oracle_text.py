@@ -189,14 +189,9 @@ pc AS (SELECT id, {', '.join(f"count(*) FILTER (list = '{name}') AS {name}_n" fo
 
 
 # ------------------------------------------------------------------ rules
-def rule_test(pattern: str, name: str, form: str, guarded: bool) -> str:
+def rule_test(pattern: str, name: str, form: str) -> str:
     """Whether one rule matches one padded form, without look-around."""
     filled = rules.fill(pattern)
-    if guarded:
-        toks = "canonical" if form == "ctext" else "jtokens"
-        before = f"list_has_any({toks}[greatest(i - 3, 1):i - 1], {arr(rules.WRITER_BEFORE)})"
-        return (f"len(list_filter(range(1, len({toks}) + 1), lambda i: NOT (i > 1 AND {before})"
-                f" AND regexp_matches(array_to_string({toks}[i:i + 12], ' ') || ' ', {q('^(?:' + filled + ') ')}))) > 0")
     if name == "you're dead":
         ahead = "to|weight|serious|tired|wrong|on|last|meat|ass|set|center|end|ahead|right|inside|asleep"
         form = f"regexp_replace({form}, ' dead ({ahead})', ' dead-\\1', 'g')"
@@ -211,16 +206,30 @@ def rule_test(pattern: str, name: str, form: str, guarded: bool) -> str:
     return f"regexp_matches({form}, {q(' (?:' + filled + ') ')})"
 
 
+# Each word of each form with the words from it on and the three and four words before it.
+AHEAD = """
+ahead AS MATERIALIZED (SELECT id, form, string_agg(w, ' ') OVER (PARTITION BY id, form ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) || ' ' AS words,
+    list(w) OVER (PARTITION BY id, form ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS three,
+    list(w) OVER (PARTITION BY id, form ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS four
+    FROM (SELECT id, 'c' AS form, pos, c AS w FROM ct UNION ALL
+          SELECT id, 'j', unnest(range(1, len(jtokens) + 1)), unnest(jtokens) FROM n WHERE cjoined <> ctext))"""
+
+
 def rule_ctes() -> str:
     """rh(id, ord): every rule hit; rul(ord, hit, hard, score, cats): what it means."""
     tests, meaning = [], []
     for i, (family, name, score, cats, pattern, guarded) in enumerate(B.RULES):
         kind = "phrase" if family == "harassment" else "rule"
         meaning.append((i, f"{kind}:{name}", 1 if kind == "rule" else 0, f"{score}e0", ",".join(cats)))
-        tests.append(f"SELECT id, {i} AS ord FROM n WHERE {rule_test(pattern, name, 'ctext', guarded)}"
-                     f" OR (cjoined <> ctext AND {rule_test(pattern, name, 'cjoined', guarded)})")
+        if guarded:
+            starts = q("^(?:" + rules.fill(pattern) + ") ")
+            tests.append(f"SELECT DISTINCT id, {i} AS ord FROM ahead WHERE regexp_matches(words, {starts})"
+                         f" AND NOT coalesce(list_has_any(three, {arr(rules.WRITER_BEFORE)}), false)")
+        else:
+            tests.append(f"SELECT id, {i} AS ord FROM n WHERE {rule_test(pattern, name, 'ctext')}"
+                         f" OR (cjoined <> ctext AND {rule_test(pattern, name, 'cjoined')})")
     rows = ", ".join(f"({i}, {q(h)}, {hd}, {s}, {q(c)})" for i, h, hd, s, c in meaning)
-    return f"rul(ord, hit, hard, score, cats) AS (SELECT * FROM (VALUES {rows})),\nrh AS ({' UNION ALL '.join(tests)})"
+    return f"{AHEAD},\nrul(ord, hit, hard, score, cats) AS (SELECT * FROM (VALUES {rows})),\nrh AS ({' UNION ALL '.join(tests)})"
 
 
 QUOTING = f"regexp_matches(ctext, {q(' (?:' + '|'.join(f'(?:{p})' for p in B.REPORTING) + ') ')})"
@@ -228,10 +237,9 @@ QUOTING = f"regexp_matches(ctext, {q(' (?:' + '|'.join(f'(?:{p})' for p in B.REP
 
 def affection_test() -> str:
     emoji = " OR ".join(f"contains(text, {q(e)})" for e in L.AFFECTION_EMOJI)
-    toks = "canonical"
-    before = f"list_has_any({toks}[greatest(i - 4, 1):i - 1], {arr(L.LOVE_NEGATORS)})"
-    return (f"({emoji} OR len(list_filter(range(1, len({toks}) + 1), lambda i: NOT (i > 1 AND {before})"
-            f" AND regexp_matches(array_to_string({toks}[i:i + 4], ' ') || ' ', {q('^(?:' + B.AFFECTION + ') ')}))) > 0)")
+    marks = q("^(?:" + B.AFFECTION + ") ")
+    return (f"({emoji} OR n.id IN (SELECT id FROM ahead WHERE form = 'c' AND regexp_matches(words, {marks})"
+            f" AND NOT coalesce(list_has_any(four, {arr(L.LOVE_NEGATORS)}), false)))")
 
 
 # ------------------------------------------------------------------ aim

@@ -6,9 +6,11 @@ limiter's stamps or a conversation's last twelve lines.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +23,10 @@ from textguard.plans.quota import PER_DAY, PER_MINUTE, Quota
 from textguard.sources.sinks import sink_daily_stats
 
 
+# Tasks get these functions by value, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def stream_moderate(stream: DataFrame, text: str = "text", sensitivity: str = "balanced", scorer=lexical_scorer) -> DataFrame:
     """The batch verdict on every arriving message; stateless."""
     return moderate(stream, text, scorer).withColumn("held", F.expr(held(sensitivity)))
