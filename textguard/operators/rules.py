@@ -74,7 +74,8 @@ def affection(df: DataFrame, text: str = "text") -> DataFrame:
     """R8, the test: a heart, or words of affection without a negation in the four words before."""
     emoji = " OR ".join(f"contains({text}, {quote(e)})" for e in L.AFFECTION_EMOJI)
     marks = whole_words(B.AFFECTION, not_after(L.LOVE_NEGATORS, 4))
-    return df.withColumn("affection", F.expr(f"({emoji}) OR ctext RLIKE {quote(marks)}"))
+    there = f"ctext RLIKE {quote(f' (?:{B.AFFECTION}) ')}"  # rare, and far cheaper than the look-behinds
+    return df.withColumn("affection", F.expr(f"({emoji}) OR ({there} AND ctext RLIKE {quote(marks)})"))
 
 
 def rule_table(df: DataFrame, key: str) -> DataFrame:

@@ -17,7 +17,7 @@ from textguard.sources import sinks
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return frames.table(spark, sf, "documents").select("doc_id", "text")
+    return frames.text_table(spark, sf, "documents", "doc_id", "text")
 
 
 def normal_docs(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,9 +50,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """A table of texts, spread over the cores when it comes in fewer splits than there are.
+
+    Scoring is heavy per row. Large inputs have splits enough and are left as they are.
+    """
+    df = table(spark, sf, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """One message per sentence of every conversation turn: msg_id, conv_id, seq, role, ts, text."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    turns = text_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     n = len(CARRIERS)
     carrier = f"get({words(CARRIERS)}, cast((conv_id * 13 + turn * 7 + pos div 4) % {n} AS int))"
     sentence = r"regexp_replace(s, r'^\s+|\s+$', '')"
