@@ -271,3 +271,11 @@ def late_policy(spark, sf):
     return both.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+
+
+@query("allow_ttl", f"""WITH {E.ACT} SELECT m.event_id, m.install_id FROM act m WHERE m.kind <> 'sent_anyway' AND NOT EXISTS (
+    SELECT 1 FROM act a WHERE a.kind = 'sent_anyway' AND a.install_id = m.install_id AND m.occurred_at >= a.occurred_at AND m.occurred_at <= a.occurred_at + INTERVAL 600 SECOND)""")
+def allow_ttl(spark, sf):
+    """The batch form of the stream-stream join, so that the last messages are not held back."""
+    df = frames.activity(spark, sf).withColumn("ts", F.col("occurred_at").cast("timestamp"))
+    return streams.allow_ttl(df.filter("kind != 'sent_anyway'"), df.filter("kind = 'sent_anyway'"), "install_id").select("event_id", "install_id")
