@@ -125,3 +125,13 @@ def test_percentiles_are_index_picks(spark, width):
     for name in "ab":
         mine = sorted(v for i, v in enumerate(values) if ("a" if i % 4 else "b") == name)
         assert got[name] == (mine[len(mine) // 2], mine[int(0.95 * len(mine))])
+
+
+def test_context_carried_over_chunks_is_the_same(spark):
+    from textguard.operators.normalize import normalize
+    raw = spark.range(60).selectExpr("id % 3 AS conv_id", "id AS turn", "concat('these words ', id, ' make some lines') AS text")
+    done = normalize(raw)
+    want = {r.turn: r for r in context.with_context(done).collect()}
+    for r in context.with_context(done, chunk=4, source=raw).collect():
+        assert r.context_size == want[r.turn].context_size
+        assert [sorted(w) for w in r.context_words] == [sorted(w) for w in want[r.turn].context_words]

@@ -7,10 +7,13 @@ chunk needs from before it, at most ``n`` rows, is carried over from the chunks
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
+from textguard.operators.normalize import normalize
 
 # Turns per chunk. A chunk is one window group: bounded, and large enough that carrying a few
 # rows across its edge costs nothing.
@@ -18,12 +21,16 @@ CHUNK = 50_000
 
 
 def lookback(df: DataFrame, key: str, order: str, n: int, value: str, out: str, chunk: int = CHUNK,
-             tie: str | None = None) -> DataFrame:
+             tie: str | None = None, source: DataFrame | None = None,
+             prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``out``: the last ``n`` values before each row of its key, oldest first, nulls kept.
 
     ``order`` is an integer that grows along the key; gaps are fine, and ``tie`` settles equal
     values. Every non-empty chunk has at least one row, so the ``n`` chunks before a chunk hold
     everything it can look back to.
+
+    Where ``value`` is costly, give the rows it is made from as ``source`` and the making as
+    ``prepare``: then only the few rows that are carried over a chunk's edge are made twice.
     """
     along = [order, tie] if tie else [order]
     df = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
@@ -32,15 +39,23 @@ def lookback(df: DataFrame, key: str, order: str, n: int, value: str, out: str,
         "_seen": F.collect_list(F.struct(F.col(value).alias("v"))).over(within.rowsBetween(-n, -1)),
         "_place": F.row_number().over(within),
     })
-    # The last n rows of every chunk, as one short array per chunk. A conversation that fits one
-    # chunk carries nothing, and its chunk row drops out before the join.
+    # Chunks that another chunk of the key follows. Mostly there are none, and then all that is
+    # left of this branch is a count over two columns.
+    raw = (df if source is None else source.withColumn("_chunk", F.floor(F.col(order) / chunk)))
+    following = F.lead("_chunk").over(Window.partitionBy(key).orderBy("_chunk"))
+    followed = (raw.groupBy(key, "_chunk").agg(F.count("*").alias("_n")).withColumn("_next", following)
+                .filter("_next IS NOT NULL").select(key, "_chunk"))
     last = Window.partitionBy(key, "_chunk").orderBy(*[F.col(c).desc() for c in along])
+    ends = (raw.drop("_seen", "_place").join(followed, [key, "_chunk"], "left_semi")
+            .withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= n).drop("_back"))
+    ends = prepare(ends) if prepare else ends
     entry = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(along)], F.col(value).alias("v"))
-    tails = (df.select(key, "_chunk", *dict.fromkeys([*along, value]))
-             .withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= n)
-             .groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(entry)).alias("_tail")))
+    tails = ends.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(entry)).alias("_tail"))
+
+    # Each chunk, and the tails of the n chunks before it.
+    chunks = raw.groupBy(key, "_chunk").agg(F.count("*").alias("_n")).drop("_n").join(tails, [key, "_chunk"], "left")
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(-n, -1)
-    carried = (tails.withColumn("_prev", F.flatten(F.collect_list("_tail").over(before)))
+    carried = (chunks.withColumn("_prev", F.flatten(F.collect_list("_tail").over(before)))
                .filter(F.size("_prev") > 0)
                .select(key, "_chunk", F.expr(f"slice(_prev, greatest(size(_prev) - {n - 1}, 1), {n}).v").alias("_carry")))
     filled = F.expr(
@@ -74,11 +89,18 @@ def rewrite_context(df: DataFrame, n: int = 8, width: int = 300, **keys) -> Data
                     **keys).drop("_line")
 
 
-def with_context(df: DataFrame, key: str = "conv_id", order: str = "turn", chunk: int = CHUNK) -> DataFrame:
+def with_context(df: DataFrame, key: str = "conv_id", order: str = "turn", chunk: int = CHUNK, text: str = "text",
+                 source: DataFrame | None = None) -> DataFrame:
     """Adds what the rule tier reads of the context to normalised messages: its size (up to
-    twelve) and the word sets of the last six messages."""
-    df = df.withColumn("_words", F.expr("array_distinct(filter(tokens, w -> char_length(w) > 2))"))
-    df = lookback(df, key, order, 12, "_words", "_context", chunk)
+    twelve) and the word sets of the last six messages.
+
+    ``source`` is the frame ``df`` was normalised from; with it, normalisation is not repeated.
+    """
+    def long_words(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_words", F.expr("array_distinct(filter(tokens, w -> char_length(w) > 2))"))
+
+    prepare = None if source is None else lambda raw: long_words(normalize(raw, text))
+    df = lookback(long_words(df), key, order, 12, "_words", "_context", chunk, source=source, prepare=prepare)
     return df.withColumns({
         "context_size": F.size("_context"),
         "context_words": F.expr("slice(_context, greatest(size(_context) - 5, 1), 6)"),

@@ -79,7 +79,8 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def messages_in_context(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised messages with what the rules read of the conversation before each."""
-    return with_context(normalize(messages(spark, sf)), "conv_id", "seq")
+    raw = messages(spark, sf)
+    return with_context(normalize(raw), "conv_id", "seq", source=raw)
 
 
 def activity(spark: SparkSession, sf: str) -> DataFrame:
