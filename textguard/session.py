@@ -17,6 +17,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Scoring is heavy per row: small shuffles keep a partition per core instead of one in all.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     return spark
 
 
