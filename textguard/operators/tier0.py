@@ -38,8 +38,11 @@ def pile_on_score(df: DataFrame) -> DataFrame:
         "CASE WHEN echoes >= 2 THEN least(0.58e0 + 0.10e0 * echoes, 0.82e0) ELSE 0e0 END")).drop("own_words")
 
 
-def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """All signals of a normalised frame, each from its own operator."""
+def signals(df: DataFrame, text: str = "text") -> DataFrame:
+    """All signals of a normalised frame that need no context, each from its own operator.
+
+    They are per-row, so they belong before the shuffle that brings the context.
+    """
     df = phrases.with_found(df)
     df = phrases.addressing(df)
     df = phrases.phrase_hits(df)
@@ -56,7 +59,12 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     df = aim.insult_aim(df)
     df = aim.insult_only(df)
     df = aim.insult_score(df)
-    return settle(pile_on_score(df))
+    return settle(df)
+
+
+def features(df: DataFrame, text: str = "text") -> DataFrame:
+    """All signals, those of the context included."""
+    return settle(pile_on_score(df if "rules" in df.columns else signals(df, text)))
 
 
 def affection_softener(df: DataFrame) -> DataFrame:

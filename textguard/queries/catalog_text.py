@@ -716,7 +716,8 @@ def rewrite_context(spark, sf):
 
 @query("pile_on", f"{MSG_NORM}, {O.PILE} SELECT id AS msg_id, echoes, round(CASE WHEN echoes >= 2 THEN least(0.58e0 + 0.10e0 * echoes, 0.82e0) ELSE 0e0 END, 6) AS pile_on_score FROM pile")
 def pile_on(spark, sf):
-    return tier0.pile_on_score(frames.messages_in_context(spark, sf)).select("msg_id", F.col("echoes").cast("bigint").alias("echoes"), *rounded("pile_on_score"))
+    raw = frames.messages(spark, sf)
+    return tier0.pile_on_score(context.with_context(normalize.normalize(raw), "conv_id", "seq", source=raw)).select("msg_id", F.col("echoes").cast("bigint").alias("echoes"), *rounded("pile_on_score"))
 
 
 @query("review_requests", f"""WITH {O.MESSAGES}, c AS (SELECT msg_id, text, list(text) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS ctx FROM msg)

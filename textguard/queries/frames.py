@@ -14,6 +14,7 @@ from textguard.functions import text as T
 from textguard.functions.arrays import words
 from textguard.operators.context import with_context
 from textguard.operators.normalize import normalize
+from textguard.operators.tier0 import signals
 
 CARRIERS = [
     "you are such an idiot", "what a loser", "this keyboard is stupid", "go kill yourself now",
@@ -78,9 +79,9 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages_in_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalised messages with what the rules read of the conversation before each."""
+    """Messages with their signals, and what the rules read of the conversation before each."""
     raw = messages(spark, sf)
-    return with_context(normalize(raw), "conv_id", "seq", source=raw)
+    return with_context(signals(normalize(raw)), "conv_id", "seq", source=raw)
 
 
 def activity(spark: SparkSession, sf: str) -> DataFrame:
