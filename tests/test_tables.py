@@ -123,3 +123,10 @@ def test_bow_model_plugs_in_as_a_scorer(spark):
     score = corpus.model_scorer(model)
     got = [r.model_score for r in score(spark.createDataFrame([(["idiot"],), (["day"],)], "tokens array<string>")).collect()]
     assert got[0] > 0.5 > got[1]
+
+
+def test_slot_fill_draws_from_the_grammar(spark):
+    frames, slots = ["{you} a {noun}", "what a {noun}"], {"you": ["ur", "you are"], "noun": ["idiot", "clown"]}
+    rows = [r.line for r in corpus.slot_fill(spark.range(500), frames, slots, "id").collect()]
+    every = {f"{y} {a}" for y in ("ur", "you are", "what") for a in ("an idiot", "a clown")}
+    assert set(rows) == every and len(rows) == len(every)
