@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import bpe, license_rules, packing
+from textguard.llm import bpe, license_rules, packing, scaled_sketch
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_license_rules")
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op5_scaled_sketch")
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
