@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import bbit_minhash, bpe, license_rules, packing, scaled_sketch
+from textguard.llm import bbit_minhash, bpe, license_rules, packing, permutation_index, scaled_sketch
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ FROM documents d JOIN reach ON start = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 @query("op1_bbit_minhash", NEAR_TWIN)
 def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold_percent=85).drop("class_id")
+
+
+@query("op2_permutation_index")
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
