@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import bbit_minhash, bpe, license_rules, packing, permutation_index, scaled_sketch
+from textguard.llm import bbit_minhash, bpe, license_rules, packing, permutation_index, scaled_sketch, weak_quality
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_permutation_index")
 def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+@query("op10_weak_quality")
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
