@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import bbit_minhash, bpe, license_rules, packing, permutation_index, scaled_sketch, weak_quality
+from textguard.llm import backoff_lm, bbit_minhash, bpe, license_rules, packing, permutation_index, scaled_sketch, weak_quality
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_quality")
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_backoff_lm")
+def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
