@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import backoff_lm, bbit_minhash, bpe, license_rules, packing, permutation_index, scaled_sketch, weak_quality
+from textguard.llm import backoff_lm, bbit_minhash, bpe, license_rules, packing, permutation_index, pii_tagger, scaled_sketch, weak_quality
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_backoff_lm")
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pii_tagger")
+def op8_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_tagger.digest(table(spark, sf_dir, "documents"))
