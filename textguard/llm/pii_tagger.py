@@ -33,9 +33,9 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 DIGITS = b"0123456789"
-#: A span that the tagger adds has so many characters, and so many digits or (an address) an @ or "at".
+#: A span that the tagger adds has so many characters, and so many digits or (an address) an @, or "at" and a dot.
 LEAST_CHARS, LEAST_DIGITS = 7, 4
-AT = re.compile(r"@|\bat\b")
+AT = re.compile(r"@|\bat\b.*(?:\bdot\b|\.[a-z])")
 Span = tuple[str, int, int]
 
 
@@ -383,7 +383,11 @@ def joined(spans: str):
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base finds of each kind, the hash of the base spans, and all spans as one string."""
     found = find(docs)
-    counts = {f"n_{kind}": F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in KINDS}
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{kind}": count(kind) for kind in KINDS}
     return found.withColumns(counts).select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
