@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import backoff_lm, bbit_minhash, bpe, license_rules, packing, permutation_index, pii_tagger, scaled_sketch, weak_quality
+from textguard.llm import backoff_lm, bbit_minhash, bpe, context_coder, license_rules, packing, permutation_index, pii_tagger, scaled_sketch, weak_quality
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pii_tagger")
 def op8_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_tagger.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_context_coder")
+def op3_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = context_coder.shared_folder(spark)
+    context_coder.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, folder)
+    return context_coder.digests(spark, folder)
