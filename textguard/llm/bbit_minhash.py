@@ -236,3 +236,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
 
     out = made.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_duplicates`` marks as kept: one document of each group. Of rows with the same doc_id one stays."""
+    kept = near_duplicates(docs, words, threshold_percent).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])

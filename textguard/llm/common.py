@@ -36,6 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """Few rows to an Arrow batch, as texts may be long: it keeps Python workers small."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return docs
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """Only doc_id (long) and text (null counts as empty); a row without an id is dropped, other columns stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")

@@ -399,3 +399,24 @@ def redacted(text: str, spans: list[Span]) -> str:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with the personal data of every text replaced, and n_chars, where there is such a column, brought up to date.
+
+    Null text stays null; rows without doc_id are dropped; all other columns are passed on. Map-only.
+    """
+    model, at = trained(), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(at).to_pylist()
+            texts = [t or "" for t in given]
+            spans = [all_spans(base_spans(t), more) for t, more in zip(texts, tagged(texts, model), strict=True)]
+            made = [None if g is None else redacted(t, s) for g, t, s in zip(given, texts, spans, strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(made, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    made = docs.where("doc_id is not null").mapInArrow(run, docs.schema)
+    return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textguard.llm import backoff_lm, bbit_minhash, bpe, context_coder, license_rules, packing, permutation_index, pii_tagger, scaled_sketch, weak_quality
+from textguard.llm.common import small_batches
 from textguard.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,8 +18,6 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
-            # Long texts: few rows to a batch keep Python workers small.
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -30,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 @query("op9_bpe")

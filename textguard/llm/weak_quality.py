@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -138,13 +139,20 @@ def train(rows: list[Row], bad: dict[int, float], rounds: int = 300) -> np.ndarr
     return weights
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, quality_score (1: surely good), weak_score (the label model's own), votes (g, b or - for each labeller), keep.
+class Judge(NamedTuple):
+    """A fitted classifier: probability of a bad text for each vote pattern, and the scorer's weights."""
 
-    keep: quality_score >= 0.5. On a null or empty text no labeller votes; it is judged like any other. Repeated rows give repeated rows;
-    rows without doc_id are dropped; other columns are ignored; an empty table gives an empty result. Two passes over the texts, no
-    shuffle of them: the driver gets the counts of at most 3^10 vote patterns and the features of at most 2 * ``sample`` documents.
-    """
+    bad: dict[int, float]
+    weights: np.ndarray
+
+    def quality(self, raw: bytes, found: list[float]) -> float:
+        slots, x = features(raw, found)
+        return 1 / (1 + math.exp(max(-30.0, min(30.0, float(self.weights[slots] @ x + self.weights[-1])))))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Judge:
+    """Label model over all documents, scorer from a sample of about ``sample``. The driver gets the counts of at most 3^10 vote patterns
+    and the features of at most 2 * ``sample`` documents. An empty table gives a judge that finds every text good."""
     texts = texts_of(docs)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +174,40 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     share = min(1.0, sample / max(1, total))
     drawn = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    weights = train(drawn.mapInArrow(describe, "pattern long, slots array<long>, weights array<double>").limit(2 * sample).collect(), bad)
+    return Judge(bad, train(drawn.mapInArrow(describe, "pattern long, slots array<long>, weights array<double>").limit(2 * sample).collect(), bad))
+
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, quality_score (1: surely good), weak_score (the label model's own), votes (g, b or - for each labeller), keep.
+
+    keep: quality_score >= 0.5. On a null or empty text no labeller votes; it is judged like any other. Repeated rows give repeated rows;
+    rows without doc_id are dropped; other columns are ignored; an empty table gives an empty result. Two passes over the texts, no
+    shuffle of them.
+    """
+    judge = fit(docs, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, weak, said = [], [], []
             for t in batch.column(1).to_pylist():
                 raw = t.encode()
                 found = measures(raw)
-                slots, x = features(raw, found)
-                good.append(1 / (1 + math.exp(max(-30.0, min(30.0, float(weights[slots] @ x + weights[-1]))))))
-                weak.append(1 - bad[pattern(found)])
+                good.append(judge.quality(raw, found))
+                weak.append(1 - judge.bad[pattern(found)])
                 said.append("".join("-gb"[v] for v in votes(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(weak), pa.array(said), pa.array([g >= 0.5 for g in good])], names=["doc_id", "quality_score", "weak_score", "votes", "keep"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good, pa.float64()), pa.array(weak, pa.float64()), pa.array(said, pa.string()), pa.array([g >= 0.5 for g in good], pa.bool_())],
+                                             names=["doc_id", "quality_score", "weak_score", "votes", "keep"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, quality_score double, weak_score double, votes string, keep boolean")
+
+
+def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``classify`` keeps."""
+    judge, at = fit(docs, sample), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([judge.quality(raw, measures(raw)) >= 0.5 for raw in raws], pa.bool_()))
 
-    return texts.mapInArrow(judge, "doc_id long, quality_score double, weak_score double, votes string, keep boolean")
+    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)
