@@ -31,7 +31,7 @@ LANES, LEAST_BLOCK, MOST_BLOCK = 1024, 512, 4096
 TOTAL, LEAST_SHARE, MIX_BITS = 1 << 14, 32, 16
 SYMBOLS, ESCAPE = 3, 4095
 #: log2 of the rows of each order's table, and how fast its rows move (a shift): the rarer a context, the faster.
-ROW_BITS, RATES = (10, 9, 9), (4, 4, 3)
+ROW_BITS, RATES = (10, 9, 9), (4, 3, 1)
 FIRST_ROW = np.array([0, 1 << ROW_BITS[0], (1 << ROW_BITS[0]) + (1 << ROW_BITS[1])])[:, None]
 ROWS = sum(1 << b for b in ROW_BITS)
 SHIFTS = np.array([32 - b for b in ROW_BITS], np.uint32)[:, None]
