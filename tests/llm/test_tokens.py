@@ -73,13 +73,18 @@ def test_blocks_stand_alone_and_are_checked():
             context_coder.decode_segment(bytes(broken))
 
 
-def test_context_mixing_beats_a_general_compressor():
+def test_context_mixing_saves_space(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.frombuffer(b"".join(common.word_ids(texts, WORDS)), "<u4")
+    assert len(context_coder.encode_segment([1], [len(ids)], ids)) < 0.95 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    # Where an id tells much of the next one, the higher orders go below what the ids' frequencies allow.
     r = np.random.default_rng(2)
-    follow = r.integers(0, 30, (30, 2))
-    ids = np.zeros(200_000, np.uint32)
-    for k in range(1, len(ids)):
-        ids[k] = follow[ids[k - 1], r.integers(0, 2)]
-    assert len(context_coder.encode_segment([1], [len(ids)], ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    follow, chain = r.integers(0, 30, (30, 2)), np.zeros(200_000, np.uint32)
+    for k in range(1, len(chain)):
+        chain[k] = follow[chain[k - 1], r.integers(0, 2)]
+    share = np.bincount(chain) / len(chain)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(context_coder.encode_segment([1], [len(chain)], chain)) * 8 / len(chain) < 0.85 * entropy
 
 
 def test_files_hold_every_document_in_order(spark, awkward, nothing, some_documents):
