@@ -144,7 +144,7 @@ def canonical_form(token: str, typos: dict[str, str] | None = None) -> str:
 def mask_pattern(core: str) -> str:
     """The masked word as a pattern: n mask characters stand for n-1 (at least one) to n+1 letters."""
     steps = [
-        (r"([.\+?^$(){}|\[\]&-])", r"\$1"),
+        (r"([\\.\+?^$(){}|\[\]&-])", r"\\$1"),
         (r"(?<![*#%_])[*#%_](?![*#%_])", "[a-z]{1,2}"),
         (r"(?<![*#%_])[*#%_](?=[*#%_])", "[a-z]{0,2}"),
         (r"[*#%_]", "[a-z]"),

@@ -22,20 +22,31 @@ def fill(pattern: str) -> str:
     return pattern
 
 
+# Look-behinds need a bound on the words they step over. Longer words are cut to it first: no name is as long, so it stays no name.
+STEP = 40
+
+
 def not_after(names: list[str], depth: int) -> str:
-    """Look-behinds: none of the last ``depth`` words is one of the names."""
+    """Look-behinds: none of the last ``depth`` words is one of the names. For texts as :func:`stepped` gives them."""
     group = "(?:" + "|".join(names) + ")"
-    return "".join(f"(?<! {group} {'[^ ]{1,100} ' * i})" for i in range(depth))
+    assert max(map(len, names)) < STEP
+    return "".join(f"(?<! {group} {f'[^ ]{{1,{STEP}}} ' * i})" for i in range(depth))
+
+
+def stepped(text: str) -> str:
+    """The text with words of more than ``STEP`` characters cut to that length."""
+    long = f"[^ ]{{{STEP + 1}}}"
+    return f"if({text} RLIKE {quote(long)}, regexp_replace({text}, {quote(f'([^ ]{{{STEP}}})[^ ]+')}, '$1'), {text})"
 
 
 def whole_words(pattern: str, guard: str = "") -> str:
     return f"(?<= ){guard}(?:{pattern})(?= )"
 
 
-def rule_patterns() -> list[tuple[str, str, float, list[str], str]]:
-    """(kind, name, score, categories, pattern); hard rules are 'rule', soft ones 'phrase'."""
+def rule_patterns() -> list[tuple[str, str, float, list[str], str, bool]]:
+    """(kind, name, score, categories, pattern, guarded); hard rules are 'rule', soft ones 'phrase'."""
     return [("phrase" if family == "harassment" else "rule", name, score, categories,
-             whole_words(fill(pattern), not_after(WRITER_BEFORE, 3) if guarded else ""))
+             whole_words(fill(pattern), not_after(WRITER_BEFORE, 3) if guarded else ""), guarded)
             for family, name, score, categories, pattern, guarded in B.RULES]
 
 
@@ -50,8 +61,9 @@ def rule_hits(df: DataFrame) -> DataFrame:
     Both forms of the text are read; the glued one only where it differs.
     """
     cases = []
-    for kind, name, score, categories, pattern in rule_patterns():
-        found = f"ctext RLIKE {quote(pattern)} OR (cjoined != ctext AND cjoined RLIKE {quote(pattern)})"
+    for kind, name, score, categories, pattern, guarded in rule_patterns():
+        plain, glued = (stepped("ctext"), stepped("cjoined")) if guarded else ("ctext", "cjoined")
+        found = f"{plain} RLIKE {quote(pattern)} OR (cjoined != ctext AND {glued} RLIKE {quote(pattern)})"
         cases.append(f"CASE WHEN {found} THEN struct({quote(f'{kind}:{name}')} AS hit, {'true' if kind == 'rule' else 'false'} AS hard, "
                      f"{score}e0 AS score, {words(categories)} AS categories) END")
     empty = "cast(array() AS array<struct<hit:string,hard:boolean,score:double,categories:array<string>>>)"
@@ -75,7 +87,7 @@ def affection(df: DataFrame, text: str = "text") -> DataFrame:
     emoji = " OR ".join(f"contains({text}, {quote(e)})" for e in L.AFFECTION_EMOJI)
     marks = whole_words(B.AFFECTION, not_after(L.LOVE_NEGATORS, 4))
     there = f"ctext RLIKE {quote(f' (?:{B.AFFECTION}) ')}"  # rare, and far cheaper than the look-behinds
-    return df.withColumn("affection", F.expr(f"({emoji}) OR ({there} AND ctext RLIKE {quote(marks)})"))
+    return df.withColumn("affection", F.expr(f"({emoji}) OR ({there} AND {stepped('ctext')} RLIKE {quote(marks)})"))
 
 
 def rule_table(df: DataFrame, key: str) -> DataFrame:

@@ -80,7 +80,7 @@ def quote_damping(df: DataFrame) -> DataFrame:
 
 
 def ambiguity_score(df: DataFrame) -> DataFrame:
-    """How odd the shape of the text is; zero once the score speaks for itself."""
+    """How odd the shape of the text is; zero once the score speaks for itself, and for a text without words."""
     judging = f"size(filter(canonical, w -> {within('w', L.EVALUATIVE_WORDS)}))"
     parts = [
         "if(second, 0.22e0, 0e0)",
@@ -94,7 +94,7 @@ def ambiguity_score(df: DataFrame) -> DataFrame:
         "if(context_size >= 2, 0.06e0, 0e0)",
         "if(endswith(plain, '...') OR contains(plain, ' lol'), 0.10e0, 0e0)",
     ]
-    return df.withColumn("ambiguity", F.expr(f"CASE WHEN score >= 0.85e0 THEN 0e0 ELSE least({' + '.join(parts)}, 1e0) END"))
+    return df.withColumn("ambiguity", F.expr(f"CASE WHEN size(canonical) = 0 OR score >= 0.85e0 THEN 0e0 ELSE least({' + '.join(parts)}, 1e0) END"))
 
 
 def trivial_gate(df: DataFrame) -> DataFrame:
