@@ -66,6 +66,13 @@ def joined(array: str) -> str:
     return f"array_join(array_sort(array_distinct({array})), ',')"
 
 
+def same_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same names in which a null key is a key like any other."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    met = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, met, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute the columns here, once.
 

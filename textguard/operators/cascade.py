@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
-from textguard.functions.arrays import quote, settle
+from textguard.functions.arrays import quote, same_key, settle
 from textguard.operators.normalize import word_forms
 from textguard.operators.phrases import lexical_fallback_score
 from textguard.operators.policy import held
@@ -131,6 +131,9 @@ def merge_review(local: DataFrame, review: DataFrame, key: str) -> DataFrame:
         "rationale": F.expr("if(reviewed, r_rationale, null)"),
         "self_directed": F.expr("if(reviewed, r_self_directed, self_directed)"),
         "distress": F.expr("if(reviewed, r_self_directed, distress)"),
+        # The reviewer has settled it: nothing waits, and the model's opinion no longer counts.
+        "pending": F.expr("if(reviewed, false, pending)"),
+        "model_score": F.expr("if(reviewed, 0e0, model_score)"),
         "latency_ms": F.expr("latency_ms + if(reviewed, r_latency_ms, 0e0)"),
     })
     return df.withColumn("level", F.expr(level_of("score"))).drop(
@@ -168,13 +171,17 @@ def cached_verdict(df: DataFrame, key: str, text: str, score_fn: Callable[[DataF
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(seed), F.lit(salts)).cast("int"))
     pairs = rows.groupBy(key, "_salt").agg(F.min(text).alias(text))
     once = score_fn(pairs.groupBy(key).agg(F.min(text).alias(text))).drop(text)
-    verdicts = pairs.select(key, "_salt").join(once, key)
-    return rows.join(verdicts, [key, "_salt"]).drop("_salt")
+    verdicts = same_key(pairs.select(key, "_salt"), once, [key])
+    return same_key(rows, verdicts, [key, "_salt"]).drop("_salt")
 
 
-def moderate(df: DataFrame, text: str = "text", scorer: Scorer = lexical_scorer, keep: list[str] | None = None) -> DataFrame:
-    """Normalise, rule tier and local verdict in one go; map-only with the default scorer."""
-    return local_verdict(tier0_verdict(df, text, keep=keep), scorer)
+def moderate(df: DataFrame, text: str = "text", scorer: Scorer = lexical_scorer, keep: list[str] | None = None,
+             typos: dict[str, str] | None = None) -> DataFrame:
+    """Normalise, rule tier and local verdict in one go; map-only with the default scorer.
+
+    ``typos`` (here and below) comes from :func:`textguard.operators.normalize.surviving_typos`; without it no typo is corrected.
+    """
+    return local_verdict(tier0_verdict(df, text, typos, keep), scorer)
 
 
 def fragments(text: str) -> str:
@@ -183,7 +190,7 @@ def fragments(text: str) -> str:
     return f"array_distinct(concat(array({text}), filter(concat(array(stripped), {parts}), p -> char_length(p) >= 2)))"
 
 
-def fragment_best(df: DataFrame, key: str, text: str = "text", sensitivity: str = "balanced") -> DataFrame:
+def fragment_best(df: DataFrame, key: str, text: str = "text", sensitivity: str = "balanced", typos: dict[str, str] | None = None) -> DataFrame:
     """The fragment of each message that covers it with the highest score.
 
     Only messages of 2 to 2,000 characters are judged. Messages no fragment covers have no row.
@@ -191,7 +198,7 @@ def fragment_best(df: DataFrame, key: str, text: str = "text", sensitivity: str
     df = df.select(key, T.trim_all(F.col(text)).alias("whole")).filter(F.char_length("whole").between(2, 2000))
     df = df.withColumn("stripped", T.strip_ui_labels(F.col("whole")))
     parts = df.select(key, F.posexplode(F.expr(fragments("whole"))).alias("pos", "fragment"))
-    judged = moderate(parts, "fragment").filter(held(sensitivity))
+    judged = moderate(parts, "fragment", typos=typos).filter(held(sensitivity))
     best = judged.groupBy(key).agg(F.max(F.struct("score", F.col("pos").alias("p"), "fragment")).alias("b"))
     return best.select(key, F.col("b.score").alias("score"), F.col("b.fragment").alias("fragment"))
 
@@ -216,18 +223,18 @@ def rejoined_groups(df: DataFrame, covered: DataFrame, key: str, group: str, ord
 
 
 def group_rejoin(df: DataFrame, covered: DataFrame, key: str, group: str, order: str, text: str = "text",
-                 limit: int = 2000, sensitivity: str = "balanced") -> DataFrame:
+                 limit: int = 2000, sensitivity: str = "balanced", typos: dict[str, str] | None = None) -> DataFrame:
     """Groups with no covered part, read as one text; those that are held."""
     whole = rejoined_groups(df, covered, key, group, order, text, limit)
-    return moderate(whole, "joined").filter(held(sensitivity)).select(group, "joined", "score")
+    return moderate(whole, "joined", typos=typos).filter(held(sensitivity)).select(group, "joined", "score")
 
 
-def offending_span(df: DataFrame, key: str, text: str = "text", sensitivity: str = "balanced") -> DataFrame:
+def offending_span(df: DataFrame, key: str, text: str = "text", sensitivity: str = "balanced", typos: dict[str, str] | None = None) -> DataFrame:
     """From the first to the last sentence that would be held; the whole text when there is
     one sentence only, or none holds."""
     whole = df.select(key, F.col(text).alias("whole"), T.sentences(F.col(text)).alias("parts"))
     sentences = whole.filter(F.size("parts") > 1).select(key, F.posexplode("parts").alias("pos", "sentence"))
-    hot = (moderate(sentences, "sentence").filter(held(sensitivity))
+    hot = (moderate(sentences, "sentence", typos=typos).filter(held(sensitivity))
            .groupBy(key).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")))
     span = F.expr("CASE WHEN lo IS NULL THEN trim(whole) ELSE trim(array_join(slice(parts, lo + 1, hi - lo + 1), '')) END")
     return whole.join(hot, key, "left").select(key, span.alias("span"), F.col("lo").isNotNull().alias("narrowed"))
@@ -251,7 +258,7 @@ def looks_like_rewrite(original: str, rewrite: str) -> Column:
 
 
 def rewrite_filter(pairs: DataFrame, original: str = "original", rewrite: str = "rewrite",
-                   sensitivity: str = "balanced") -> DataFrame:
+                   sensitivity: str = "balanced", typos: dict[str, str] | None = None) -> DataFrame:
     """Adds ``clean`` (quotes stripped), ``usable`` (looks like a rewrite) and ``accepted``
     (usable, and would not be held itself)."""
     given = pairs.columns
@@ -260,7 +267,7 @@ def rewrite_filter(pairs: DataFrame, original: str = "original", rewrite: str =
         "CASE WHEN char_length(_r) > 1 AND startswith(_r, '\"') AND endswith(_r, '\"')"
         " THEN substring(_r, 2, char_length(_r) - 2) ELSE _r END")).drop("_r")
     df = df.withColumn("usable", looks_like_rewrite(original, "clean"))
-    judged = moderate(df, "clean", keep=[*given, "clean", "usable"])
+    judged = moderate(df, "clean", keep=[*given, "clean", "usable"], typos=typos)
     return judged.withColumn("accepted", F.expr(f"usable AND NOT {held(sensitivity)}")).select(
         *given, "clean", "usable", "score", "accepted")
 

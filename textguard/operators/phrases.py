@@ -95,12 +95,12 @@ def phrase_hits(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 def word_hits(df: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """L2: one row per (text, list, term) for every listed word in a text.
 
-    The lexicon is under a thousand rows by construction and is broadcast; texts are cut to
-    their distinct listed words first, so only hits are ever exploded.
+    The lexicon may be any table of (list, kind, term): the distinct words of each text meet it in a join, and whether it is small
+    enough to be broadcast is left to Spark.
     """
-    terms = lexicon.filter("kind = 'word'").select("term", "list")
-    hits = df.select(key, F.explode(F.expr(common("canonical", interesting_words()))).alias("term"))
-    return hits.join(F.broadcast(terms), "term").select(key, "list", "term")
+    terms = lexicon.filter("kind = 'word'").select("term", "list").distinct()
+    hits = df.select(key, F.explode(F.array_distinct("canonical")).alias("term"))
+    return hits.join(terms, "term").select(key, "list", "term")
 
 
 def content_score(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard import lexicon as L
-from textguard.functions.arrays import within
+from textguard.functions.arrays import same_key, within
 from textguard.operators.context import lookback, newest
 
 # What can happen to a message.
@@ -149,7 +149,7 @@ def running_quota(df: DataFrame, key: str, ts: str, tie: str, per_minute: int =
     sums = rows.groupBy(key, "day", "_minute").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key, "day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n", "day")
-    done = placed.join(offsets, [key, "_minute"]).withColumn("in_day", F.col("_place") + F.col("_before"))
+    done = same_key(placed, offsets, [key, "_minute"]).withColumn("in_day", F.col("_place") + F.col("_before"))
     return done.withColumn("over_budget", F.expr(f"in_minute > {per_minute} OR in_day > {per_day}")).drop(
         "_t", "_minute", "_halo", "_bucket", "_place", "_before")
 
@@ -169,7 +169,7 @@ def number_runs(df: DataFrame, key: str, order: str, tie: str, starts: str, out:
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (df.groupBy(key, "_chunk").agg(F.sum(starts).alias("_n"))
                .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
-    return (df.withColumn(out, F.sum(starts).over(inside)).join(offsets, [key, "_chunk"])
+    return (same_key(df.withColumn(out, F.sum(starts).over(inside)), offsets, [key, "_chunk"])
             .withColumn(out, F.col(out) + F.col("_before")).drop("_before"))
 
 
@@ -202,7 +202,7 @@ def typing_sessions(df: DataFrame, key: str, app: str, ts: str, text: str, tie:
     texts = ends.groupBy(key, "session").agg(
         F.array_sort(F.collect_list(F.struct("_t", tie, F.col(text).alias("s")))).alias("_parts")).select(
         key, "session", F.expr(f"right(array_join(_parts.s, ''), {keep})").alias("text"))
-    return counts.join(texts, [key, "session"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return same_key(counts, texts, [key, "session"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def allow_window(messages: DataFrame, allows: DataFrame, key: str, ts: str, ttl_seconds: int = 600) -> DataFrame:
@@ -250,4 +250,4 @@ def budgeted_batch(df: DataFrame, batch: str, order: str, n: int = 80) -> DataFr
     """
     first = newest(df.select(batch, (-F.col(order)).alias("_back")), batch, "_back", n)
     limit = first.groupBy(batch).agg(F.max(-F.col("_back")).alias("_limit"))
-    return df.join(limit, batch).withColumn("deferred", F.col(order) > F.col("_limit")).drop("_limit")
+    return same_key(df, limit, [batch]).withColumn("deferred", F.col(order) > F.col("_limit")).drop("_limit")
