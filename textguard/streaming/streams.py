@@ -27,9 +27,19 @@ from textguard.sources.sinks import sink_daily_stats
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def stream_moderate(stream: DataFrame, text: str = "text", sensitivity: str = "balanced", scorer=lexical_scorer) -> DataFrame:
+#: How long a silent key's state is kept.
+FORGET_MS = 30 * 24 * 3600 * 1000
+
+
+def in_order(batches: Iterator[pd.DataFrame], order: str | list[str]) -> pd.DataFrame | None:
+    """A key's rows of one micro-batch, sorted. They come in several Arrow batches, of which each by itself says nothing about order."""
+    frames = [b for b in batches if len(b)]
+    return pd.concat(frames).sort_values(order, kind="stable") if frames else None
+
+
+def stream_moderate(stream: DataFrame, text: str = "text", sensitivity: str = "balanced", scorer=lexical_scorer, typos: dict[str, str] | None = None) -> DataFrame:
     """The batch verdict on every arriving message; stateless."""
-    return moderate(stream, text, scorer).withColumn("held", F.expr(held(sensitivity)))
+    return moderate(stream, text, scorer, typos=typos).withColumn("held", F.expr(held(sensitivity)))
 
 
 def once(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
@@ -56,8 +66,8 @@ def rate_limit(stream: DataFrame, key: str, at: str, tie: str, per_minute: int =
     def decide(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stamps, day, used = state.get if state.exists else ([], -1, 0)
         quota = Quota(per_minute, per_day, stamps, day, used)
-        for batch in batches:
-            batch = batch.sort_values([at, tie])
+        batch = in_order(batches, [at, tie])
+        if batch is not None:
             yield batch[columns].assign(granted=[quota.request(int(t)) for t in batch[at]])
         state.update((list(quota.stamps), quota.day, quota.used))
 
@@ -104,24 +114,33 @@ def late_policy(stream: DataFrame, ts: str = "occurred_at", received: str = "rec
     return stream.filter(in_time), stream.filter(~in_time)
 
 
-def stream_context(stream: DataFrame, key: str, order: str, text: str = "text", n: int = 12) -> DataFrame:
-    """Every message with the last twelve lines of its conversation before it."""
+def stream_context(stream: DataFrame, key: str, order: str, text: str = "text", n: int = 12, ts: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Every message with the last twelve lines of its conversation before it.
+
+    Within a micro-batch lines are taken by ``order``, from one micro-batch to the next as they arrive. With an event
+    time ``ts``, a conversation over which the watermark has passed by 30 days is forgotten; without, each key keeps n lines for good.
+    """
     columns = [f.name for f in stream.schema.fields]
     schema = stream.schema.simpleString()[len("struct<"):-1] + ",context:array<string>"
 
     def remember(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         lines = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values(order)
+        batch = in_order(batches, order)
+        if batch is not None:
             contexts = []
             for line in batch[text]:
                 contexts.append(list(lines))
                 lines = [*lines, line][-n:]
             yield batch[columns].assign(context=contexts)
         state.update((lines,))
+        if ts:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + FORGET_MS)
 
-    return stream.groupBy(key).applyInPandasWithState(
-        remember, schema, "lines array<string>", "append", GroupStateTimeout.NoTimeout)
+    watched, timeout = (stream.withWatermark(ts, delay), GroupStateTimeout.EventTimeTimeout) if ts else (stream, GroupStateTimeout.NoTimeout)
+    return watched.groupBy(key).applyInPandasWithState(remember, schema, "lines array<string>", "append", timeout)
 
 
 def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "text", gap_seconds: float = 0.75,
@@ -141,13 +160,14 @@ def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "t
             yield pd.DataFrame({key: [k[0]], "at_ms": [at], text: [draft]})
             return
         pending = state.get if state.exists else None
-        out = []
-        for batch in batches:
-            batch = batch.sort_values(ts)
+        out, batch = [], in_order(batches, ts)
+        if batch is not None:
             for at, draft in zip(batch[ts].astype("datetime64[ms]").astype("int64"), batch[text]):
                 if pending and at - pending[0] >= gap:
                     out.append((k[0], *pending))
                 pending = (int(at), draft)
+        if pending is None:
+            return
         state.update(pending)
         state.setTimeoutTimestamp(max(pending[0] + gap, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at_ms", text])
