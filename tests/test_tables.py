@@ -42,7 +42,7 @@ def test_events_and_report_files(spark, tmp_path):
     sinks.sink_events(df, str(tmp_path / "e"))
     sinks.sink_events(df, str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).agg(F.count("*"), F.max("score")).first()[:] == (4, 1.0)
-    body = sinks.report_markdown(df).first().body
+    body = sinks.newest_report(df, 60).first().body
     assert body.index("2024-01-02") < body.index("2024-01-01")
     assert "- **Severity:** Cruel (140%)" in body and body.count("**Message:**") == 1 and "Rewritten" not in body
     sinks.write_report(df, str(tmp_path / "r"))

@@ -111,4 +111,4 @@ def age_label(seconds: str, clock: str) -> Column:
 def speed_label(ms: str) -> Column:
     """A latency as text: under a millisecond, in milliseconds, or in seconds."""
     return F.expr(f"CASE WHEN {ms} < 1 THEN '<1 ms' WHEN {ms} < 1000 THEN concat(cast(cast(bround({ms}, 0) AS bigint) AS string), ' ms')"
-                  f" ELSE concat(format_string('%.1f', round({ms} / 1000, 1)), ' s') END")
+                  f" ELSE concat(format_string('%.1f', bround({ms} / 1000, 1)), ' s') END")

@@ -79,14 +79,14 @@ ENTRY = f"""concat_ws(chr(10), '### ' || strftime(occurred_at, '%Y-%m-%d %H:%M')
 
 @query("report_markdown", f"""WITH {ACT}, e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'app ' || event_id % 5 END AS app,
     CASE WHEN event_id % 2 = 0 THEN coalesce(severity, '') END AS reason, 'event ' || event_id AS text FROM act),
-r AS (SELECT install_id, {ENTRY} AS entry, row_number() OVER (PARTITION BY install_id ORDER BY occurred_at DESC, event_id DESC) AS k FROM e)
-SELECT install_id, count(*)::BIGINT AS entries, md5(string_agg(entry, chr(10) ORDER BY k)) AS digest FROM r WHERE k <= 60 GROUP BY install_id""")
+r AS (SELECT install_id, event_id, {ENTRY} AS entry, -epoch_us(occurred_at) AS k FROM e)
+SELECT install_id, event_id, k AS place, md5(entry) AS digest FROM r""")
 def report_markdown(spark, sf):
     df = frames.activity(spark, sf).withColumns({
         "app": F.expr("if(event_id % 3 = 0, concat('app ', event_id % 5), null)"),
         "reason": F.expr("if(event_id % 2 = 0, coalesce(severity, ''), null)"),
         "text": F.expr("concat('event ', event_id)"), "rewritten": F.lit(None).cast("string")})
-    return sinks.report_markdown(df).select("install_id", F.col("entries").cast("bigint").alias("entries"), F.md5("body").alias("digest"))
+    return sinks.report_entries(df).select("install_id", "event_id", "place", F.md5("entry").alias("digest"))
 
 
 @query("review_verdicts", """WITH r AS (SELECT event_id, least(greatest(value / 50e0 - 0.1e0, 0e0), 1e0) AS s, least(value / 100e0, 1e0) AS c,
@@ -292,14 +292,14 @@ def allow_window(spark, sf):
     return A.allow_window(df.filter("kind != 'sent_anyway'"), df.filter("kind = 'sent_anyway'"), "install_id", "occurred_at").select("event_id", "install_id")
 
 
-@query("tail_covers", r"""WITH u AS (SELECT conv_id * 1000 + turn AS session, text AS typed FROM conversations),
-f AS (SELECT conv_id * 1000 + turn - turn % 2 AS session, text AS field FROM conversations WHERE turn % 2 = (conv_id % 2)),
+@query("tail_covers", r"""WITH u AS (SELECT conv_id * 100000 + turn AS session, text AS typed FROM conversations),
+f AS (SELECT conv_id * 100000 + turn AS session, CASE WHEN turn % 2 = conv_id % 2 THEN text ELSE left(text, length(text) // 2) END AS field FROM conversations),
 j AS (SELECT session, right(regexp_replace(lower(typed), '\s', '', 'g'), 12) AS tail, regexp_replace(lower(field), '\s', '', 'g') AS field FROM u JOIN f USING (session))
 SELECT session, length(tail) < 3 OR contains(field, tail) AS covers FROM j""")
 def tail_covers(spark, sf):
     conv = frames.table(spark, sf, "conversations")
-    typed = conv.select(F.expr("conv_id * 1000 + turn").alias("session"), F.col("text").alias("typed"))
-    field = conv.filter("turn % 2 = conv_id % 2").select(F.expr("conv_id * 1000 + turn - turn % 2").alias("session"), F.col("text").alias("field"))
+    typed = conv.select(F.expr("conv_id * 100000 + turn").alias("session"), F.col("text").alias("typed"))
+    field = conv.select(F.expr("conv_id * 100000 + turn").alias("session"), F.expr("if(turn % 2 = conv_id % 2, text, left(text, char_length(text) div 2))").alias("field"))
     return A.tail_covers(typed, field, "session", "typed", "field").select("session", "covers")
 
 
@@ -327,7 +327,7 @@ def age_label(spark, sf):
     return df.select("event_id", policy.age_label("s", "date_format(ts, 'HH:mm:ss')").alias("age"))
 
 
-@query("speed_label", """SELECT event_id, CASE WHEN ms < 1 THEN '<1 ms' WHEN ms < 1000 THEN round_even(ms, 0)::BIGINT || ' ms' ELSE printf('%.1f s', round(ms / 1000, 1)) END AS speed
+@query("speed_label", """SELECT event_id, CASE WHEN ms < 1 THEN '<1 ms' WHEN ms < 1000 THEN round_even(ms, 0)::BIGINT || ' ms' ELSE printf('%.1f s', round_even(ms / 1000, 1)) END AS speed
 FROM (SELECT event_id, value * 10 AS ms FROM events)""")
 def speed_label(spark, sf):
     df = frames.table(spark, sf, "events").withColumn("ms", F.expr("value * 10"))

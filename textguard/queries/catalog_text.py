@@ -560,12 +560,12 @@ def fragment_best(spark, sf):
 
 @query("group_rejoin", f"""WITH {O.MESSAGES}, {FRAGMENTS}, {O.local_ctes('frag')},
 covered AS (SELECT DISTINCT msg_id FROM local WHERE {O.held('balanced')}),
-grp2 AS (SELECT conv_id * 1000 + seq // 1000 AS gid, count(*) AS c, sum(length(t) + 1) AS chars, string_agg(t, ' ' ORDER BY seq) AS joined,
+grp2 AS (SELECT conv_id * 100000 + seq // 100000 AS gid, count(*) AS c, sum(length(t) + 1) AS chars, string_agg(t, ' ' ORDER BY seq) AS joined,
         bool_or(msg_id IN (SELECT msg_id FROM covered)) AS any_covered
     FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM msg) WHERE length(t) BETWEEN 2 AND 2000 GROUP BY 1)
 SELECT gid, md5(joined) AS digest, length(joined) AS chars FROM grp2 WHERE c >= 2 AND chars - 1 <= 2000 AND NOT any_covered""")
 def group_rejoin(spark, sf):
-    msgs = frames.messages(spark, sf).withColumn("gid", F.expr("conv_id * 1000 + seq div 1000"))
+    msgs = frames.messages(spark, sf).withColumn("gid", F.expr("conv_id * 100000 + seq div 100000"))
     covered = cascade.fragment_best(msgs, "msg_id")
     return cascade.rejoined_groups(msgs, covered, "msg_id", "gid", "seq").select(
         "gid", F.md5("joined").alias("digest"), F.char_length("joined").cast("bigint").alias("chars"))
@@ -573,17 +573,17 @@ def group_rejoin(spark, sf):
 
 @query("group_rejoin_scored")
 def group_rejoin_scored(spark, sf):
-    msgs = frames.messages(spark, sf).withColumn("gid", F.expr("conv_id * 1000 + seq div 1000"))
+    msgs = frames.messages(spark, sf).withColumn("gid", F.expr("conv_id * 100000 + seq div 100000"))
     return cascade.group_rejoin(msgs, cascade.fragment_best(msgs, "msg_id"), "msg_id", "gid", "seq").select("gid", *rounded("score"))
 
 
 # Conversation turns with a carrier behind each sentence, as one text per turn.
 TURN_TEXT = rf"""
-tparts AS (SELECT conv_id * 1000 + turn AS turn_id, pos, s || ' ' || c || '. ' AS p
+tparts AS (SELECT conv_id * 100000 + turn AS turn_id, pos, s || ' ' || c || '. ' AS p
     FROM (SELECT *, ({O.arr(frames.CARRIERS)})[(conv_id * 13 + turn * 7 + pos // 4) % {len(frames.CARRIERS)} + 1] AS c FROM sent)),
 whole_t AS (SELECT turn_id, string_agg(p, '' ORDER BY pos) AS whole FROM tparts GROUP BY turn_id),
 sparts AS (SELECT turn_id, whole, list_filter(string_split(regexp_replace(whole, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS parts FROM whole_t),
-sents AS (SELECT turn_id * 10000 + u.k - 1 AS id, turn_id, u.k - 1 AS pos, parts[u.k] AS text FROM sparts, unnest(range(1, len(parts) + 1)) AS u(k) WHERE len(parts) > 1)"""
+sents AS (SELECT turn_id * 100000 + u.k - 1 AS id, turn_id, u.k - 1 AS pos, parts[u.k] AS text FROM sparts, unnest(range(1, len(parts) + 1)) AS u(k) WHERE len(parts) > 1)"""
 
 
 def turn_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -592,7 +592,7 @@ def turn_texts(spark: SparkSession, sf: str) -> DataFrame:
     part = (rf"concat(regexp_replace(s, r'^\s+|\s+$', ''), ' ', get({frames.words(frames.CARRIERS)},"
             f" cast((conv_id * 13 + turn * 7 + i div 4) % {n} AS int)), '. ')")
     turns = frames.table(spark, sf, "conversations").withColumn("parts", T.sentences(F.col("text")))
-    return turns.select(F.expr("conv_id * 1000 + turn").alias("turn_id"), F.expr(f"array_join(transform(parts, (s, i) -> {part}), '')").alias("whole_text"))
+    return turns.select(F.expr("conv_id * 100000 + turn").alias("turn_id"), F.expr(f"array_join(transform(parts, (s, i) -> {part}), '')").alias("whole_text"))
 
 
 @query("offending_span", f"""WITH {O.MESSAGES}, {TURN_TEXT}, {O.local_ctes('sents')},
@@ -612,7 +612,7 @@ def span_redact(spark, sf):
 
 
 PAIRS_SQL = r"""
-pairs AS (SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, u.turn, u.text AS original, CASE (u.turn + u.conv_id) % 5 WHEN 0 THEN '"' || u.text || '"'
+pairs AS (SELECT u.conv_id * 100000 + u.turn AS id, u.conv_id, u.turn, u.text AS original, CASE (u.turn + u.conv_id) % 5 WHEN 0 THEN '"' || u.text || '"'
         WHEN 1 THEN 'I''m sorry, but ' || u.text WHEN 2 THEN 'you are such an idiot ' || u.text ELSE a.text END AS rewrite
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 cleaned AS (SELECT *, CASE WHEN length(r) > 1 AND starts_with(r, '"') AND ends_with(r, '"') THEN substr(r, 2, length(r) - 2) ELSE r END AS clean

@@ -52,27 +52,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """A table of texts, spread over the cores when it comes in fewer splits than there are.
-
-    Scoring is heavy per row. Large inputs have splits enough and are left as they are.
-    """
-    df = table(spark, sf, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table of texts. Scoring is heavy per row: splits are made small by ``spark.sql.files.maxPartitionBytes``, not by a shuffle."""
+    return table(spark, sf, name).select(*columns)
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """One message per sentence of every conversation turn: msg_id, conv_id, seq, role, ts, text."""
+    """One message per sentence of every conversation turn: msg_id, conv_id, seq, role, ts, text.
+
+    Ids are packed from conversation, turn and place. From 100,000 turns in a conversation or sentences in a turn on they would
+    collide, so the job ends there with a message instead.
+    """
     turns = text_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     n = len(CARRIERS)
     carrier = f"get({words(CARRIERS)}, cast((conv_id * 13 + turn * 7 + pos div 4) % {n} AS int))"
     sentence = r"regexp_replace(s, r'^\s+|\s+$', '')"
     df = turns.withColumns({
-        "seq": F.expr("turn * 1000 + pos"),
+        "seq": F.expr("if(turn < 100000 AND pos < 100000, cast(turn AS bigint) * 100000 + pos, raise_error('over 100,000 turns or sentences: ids would collide'))"),
         "carrier": F.expr(carrier), "s": F.expr(sentence),
     })
     return df.select(
-        F.expr("conv_id * 1000000 + seq").alias("msg_id"), "conv_id", "seq", "role",
+        F.expr("conv_id * 10000000000 + seq").alias("msg_id"), "conv_id", "seq", "role",
         F.expr(f"timestamp_seconds(unix_seconds(timestamp'{DAY} 00:00:00') + conv_id * 600 + turn * 60 + pos * 5)").alias("ts"),
         F.expr("CASE pos % 3 WHEN 0 THEN concat(carrier, ' ', s) WHEN 1 THEN concat(s, ' ', carrier)"
                " ELSE concat(s, ', ', carrier) END").alias("text"))

@@ -37,8 +37,8 @@ turns AS (SELECT conv_id, turn, role,
     FROM conversations),
 sent AS (SELECT conv_id, turn, role, u.k - 1 AS pos, regexp_replace(parts[u.k], '^\s+|\s+$', '', 'g') AS s
     FROM turns, unnest(range(1, len(parts) + 1)) AS u(k)),
-msg AS (SELECT conv_id * 1000000 + turn * 1000 + pos AS id, conv_id * 1000000 + turn * 1000 + pos AS msg_id, conv_id,
-    turn * 1000 + pos AS seq, role,
+msg AS (SELECT conv_id * 10000000000 + turn * 100000 + pos AS id, conv_id * 10000000000 + turn * 100000 + pos AS msg_id, conv_id,
+    turn * 100000 + pos AS seq, role,
     timestamp '{DAY} 00:00:00' + to_seconds(conv_id * 600 + turn * 60 + pos * 5) AS ts,
     CASE pos % 3 WHEN 0 THEN c || ' ' || s WHEN 1 THEN s || ' ' || c ELSE s || ', ' || c END AS text
     FROM (SELECT *, ({arr(CARRIERS)})[(conv_id * 13 + turn * 7 + pos // 4) % {len(CARRIERS)} + 1] AS c FROM sent))"""
@@ -357,7 +357,7 @@ v6 AS (SELECT *, greatest(CASE WHEN quoted THEN greatest(hard, soft) * 0.4e0 ELS
         CASE WHEN content_score > 0 THEN 0.95e0 ELSE 0e0 END, CASE WHEN exclusion_n > 0 THEN 0.6e0 ELSE 0e0 END,
         CASE WHEN pile_on_score > 0 THEN 0.70e0 ELSE 0e0 END) AS sure
     FROM v5),
-v7 AS (SELECT *, CASE WHEN raw_score >= 0.85e0 THEN 0e0 ELSE least(CASE WHEN second THEN 0.22e0 ELSE 0e0 END + least(0.30e0, 0.16e0 * sarcasm_n)
+v7 AS (SELECT *, CASE WHEN len(canonical) = 0 OR raw_score >= 0.85e0 THEN 0e0 ELSE least(CASE WHEN second THEN 0.22e0 ELSE 0e0 END + least(0.30e0, 0.16e0 * sarcasm_n)
     + least(0.22e0, 0.12e0 * judging) + CASE WHEN pointed_n + backhanded_n > 0 THEN 0.30e0 ELSE 0e0 END
     + CASE WHEN exclusion_n > 0 THEN 0.18e0 ELSE 0e0 END + CASE WHEN mockery_n > 0 THEN 0.18e0 ELSE 0e0 END + least(0.40e0, 0.22e0 * veiled_n)
     + CASE WHEN context_size > 0 THEN 0.08e0 ELSE 0e0 END + CASE WHEN context_size >= 2 THEN 0.06e0 ELSE 0e0 END

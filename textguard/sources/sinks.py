@@ -10,15 +10,15 @@ from textguard.functions.arrays import quote
 
 # How an event is worded in a report.
 KIND_LABELS = {
-    "caught": "Message paused", "rephrased": "Message rephrased", "edited": "Message edited", "deleted": "Message deleted",
-    "sent_anyway": "Sent unchanged", "covered": "Incoming message covered", "resources": "Support offered",
+    "caught": "Caught", "covered": "Covered", "rephrased": "Rephrased", "sent_anyway": "Sent anyway", "edited": "Edited", "deleted": "Deleted",
+    "resources": "Showed resources",
 }
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of every key; a map-side aggregation, so a hot key sends one row per task."""
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("b"))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("b"))  # equal stamps: by the other columns
     return best.select(*keys, "b.*").select(*df.columns)
 
 
@@ -32,7 +32,7 @@ def merge_installs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     rows = stored.unionByName(incoming)
     rest = [c for c in rows.columns if c not in ("install_id", "created_at", "last_seen_at")]
     best = rows.groupBy("install_id").agg(
-        F.max_by(F.struct(*rest), F.col("last_seen_at")).alias("b"),
+        F.max_by(F.struct(*rest), F.struct("last_seen_at", *rest)).alias("b"),
         F.min("created_at").alias("created_at"), F.max("last_seen_at").alias("last_seen_at"))
     return best.select("install_id", "b.*", "created_at", "last_seen_at").select(*rows.columns)
 
@@ -98,11 +98,10 @@ def report_entries(events: DataFrame, key: str = "install_id", tie: str = "event
     return events.select(key, F.expr("-unix_micros(cast(occurred_at AS timestamp))").alias("place"), tie, F.expr(report_entry()).alias("entry"))
 
 
-def report_markdown(events: DataFrame, key: str = "install_id", tie: str = "event_id", limit: int = 60) -> DataFrame:
-    """K4: the dated record of each key, newest first: (key, entries, body).
+def newest_report(events: DataFrame, limit: int, key: str = "install_id", tie: str = "event_id") -> DataFrame:
+    """K4, a short form on request: the newest ``limit`` events of each key as one text: (key, entries, body).
 
-    A record holds the newest ``limit`` events, which is what the activity log keeps. The whole
-    history goes through :func:`write_report`, which never puts a key into one row.
+    The whole record is :func:`report_entries` and :func:`write_report`, which never put a key into one row.
     """
     shown = newest(events.withColumn("_t", F.unix_micros(F.col("occurred_at").cast("timestamp"))), key, "_t", limit, 86_400_000_000, tie)
     lines = shown.select(key, "rank", F.expr(report_entry()).alias("entry"))
