@@ -64,16 +64,13 @@ def lookback(df: DataFrame, key: str, order: str, n: int, value: str, out: str,
     return df.join(carried, [key, "_chunk"], "left").withColumn(out, filled).drop("_chunk", "_carry", "_place", "_seen")
 
 
-def newest(df: DataFrame, key: str, order: str, n: int, chunk: int = CHUNK, tie: str | None = None) -> DataFrame:
+def newest(df: DataFrame, key: str, order: str, n: int, tie: str | None = None) -> DataFrame:
     """The newest ``n`` rows of every key with their ``rank`` (1 is the newest).
 
-    Picked per (key, chunk) first and per key second, so a hot key is never ranked in one task.
+    Spark limits each group before the shuffle as well as after it, so a hot key sends n rows from each task.
     """
     down = [F.col(c).desc() for c in ([order, tie] if tie else [order])]
-    some = (df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-            .withColumn("rank", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*down)))
-            .filter(F.col("rank") <= n).drop("_chunk"))
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*down))).filter(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*down))).filter(F.col("rank") <= n)
 
 
 def context_window(df: DataFrame, n: int = 12, key: str = "conv_id", order: str = "turn", text: str = "text",

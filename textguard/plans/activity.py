@@ -156,7 +156,7 @@ def running_quota(df: DataFrame, key: str, ts: str, tie: str, per_minute: int =
 
 def recent_per_key(df: DataFrame, key: str, ts: str, tie: str, n: int = 60) -> DataFrame:
     """The newest n rows of every key."""
-    return newest(df.withColumn("_t", micros(ts)), key, "_t", n, 24 * HOUR, tie).drop("_t")
+    return newest(df.withColumn("_t", micros(ts)), key, "_t", n, tie).drop("_t")
 
 
 def number_runs(df: DataFrame, key: str, order: str, tie: str, starts: str, out: str, chunk: int) -> DataFrame:

@@ -145,8 +145,6 @@ def model_scorer(model: PipelineModel, positive: int = 1):
     return score
 
 
-def probe_table(spark: SparkSession, probes: list[str], scorer) -> DataFrame:
-    """A scorer's opinion on a few fixed lines."""
-    from textguard.operators.normalize import normalize
-    rows = spark.createDataFrame(list(enumerate(probes)), "probe_id int, text string")
-    return scorer(normalize(rows)).select("probe_id", "text", "model_score")
+def probe_table(df: DataFrame, probe: str, scorer) -> DataFrame:
+    """A scorer's opinion on probe lines, wherever the (normalised) messages carry them: how often, and the highest score."""
+    return scorer(df).groupBy(probe).agg(F.count("*").alias("n"), F.max("model_score").alias("max_score"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.functions.arrays import same_key
 from textguard.operators.context import newest
 
 COUNTERS = ["caught", "rewritten", "dropped", "sent_anyway", "covered", "tier_rules", "tier_device", "tier_context"]
@@ -82,15 +83,18 @@ def daily_stats_build(events: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, by: str, value: str = "latency_ms", median_limit: float | None = None,
-                        p95_limit: float | None = None, width: float = 1.0) -> DataFrame:
+                        p95_limit: float | None = None, bins: int = 256) -> DataFrame:
     """Exact index picks, sorted[n div 2] and sorted[int(0.95 n)], per scorer.
 
     Ranks come from a histogram: values are counted per bin, the bin that holds the wanted rank
     is found among the bins, and only that bin's values are ranked. Equal values are counted,
-    not listed, so a scorer with any number of rows never sorts in one task.
+    not listed, and the bins' edges are approximate quantiles of each scorer, so no bin holds much
+    more than its share of the rest.
     """
-    bins = df.groupBy(by, value).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col(value) / width))
-    totals = bins.groupBy(by, "bin").agg(F.sum("n").alias("bin_n"))
+    edges = df.groupBy(by).agg(F.percentile_approx(value, [k / bins for k in range(1, bins)]).alias("_edges"))
+    counted = same_key(df.groupBy(by, value).agg(F.count("*").alias("n")), edges, [by])
+    counted = counted.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+    totals = counted.groupBy(by, "bin").agg(F.sum("n").alias("bin_n"))
     order = Window.partitionBy(by).orderBy("bin")
     totals = totals.withColumns({
         "upto": F.sum("bin_n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
@@ -100,7 +104,7 @@ def latency_percentiles(df: DataFrame, by: str, value: str = "latency_ms", media
         "array(struct('median' AS name, total div 2 AS pick), struct('p95' AS name, cast(floor(0.95e0 * total) AS bigint) AS pick))"
     )).alias("w")).select("*", "w.*").drop("w").filter("pick >= upto - bin_n AND pick < upto")
     inside = Window.partitionBy(by, "bin", "name").orderBy(value)
-    ranked = bins.join(wanted, [by, "bin"]).withColumn(
+    ranked = counted.join(wanted, [by, "bin"]).withColumn(
         "seen", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("upto") - F.col("bin_n"))
     picks = ranked.filter("pick < seen AND pick >= seen - n")
     out = picks.groupBy(by).agg(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,6 @@ from textguard.queries import catalog_text as X
 from textguard.queries import frames
 from textguard.queries import oracle_text as O
 from textguard.queries.registry import query
-from textguard.session import checkpoint_dir
 from textguard.sources import readers, sinks
 from textguard.streaming import streams
 
@@ -129,28 +127,19 @@ def train_bow(spark, sf):
 
 
 @query("probe_table", f"""WITH {O.MESSAGES}, {O.norm_ctes('msg')}, {O.L10}
-SELECT carrier, count(*) AS n, round(max(model_score), 6) AS max_score FROM (SELECT l10.model_score, ({O.arr(frames.CARRIERS)})[(msg.conv_id * 13 + (msg.seq // 1000) * 7 + (msg.seq % 1000) // 4) % {len(frames.CARRIERS)} + 1] AS carrier
+SELECT carrier, count(*) AS n, round(max(model_score), 6) AS max_score FROM (SELECT l10.model_score, ({O.arr(frames.CARRIERS)})[(msg.conv_id * 13 + (msg.seq // 100000) * 7 + (msg.seq % 100000) // 4) % {len(frames.CARRIERS)} + 1] AS carrier
     FROM l10 JOIN msg USING (id)) GROUP BY carrier""")
 def probe_table(spark, sf):
     """What the scorer says of each probe line, wherever the messages carry it."""
-    probe = f"get({frames.words(frames.CARRIERS)}, cast((conv_id * 13 + (seq div 1000) * 7 + (seq % 1000) div 4) % {len(frames.CARRIERS)} AS int))"
-    scored = cascade.lexical_scorer(X.normal_messages(spark, sf)).withColumn("carrier", F.expr(probe))
-    return scored.groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.max("model_score"), 6).alias("max_score"))
+    probe = f"get({frames.words(frames.CARRIERS)}, cast((conv_id * 13 + (seq div 100000) * 7 + (seq % 100000) div 4) % {len(frames.CARRIERS)} AS int))"
+    found = corpus.probe_table(X.normal_messages(spark, sf).withColumn("carrier", F.expr(probe)), "carrier", cascade.lexical_scorer)
+    return found.withColumn("max_score", F.round("max_score", 6))
 
 
 # ------------------------------------------------------------------ files: written, read back
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if "://" in base:
-        import uuid
-        return f"{base.rstrip('/')}/textguard/{uuid.uuid4().hex}/{name}"
-    return f"{tempfile.mkdtemp(prefix='textguard-', dir=base)}/{name}"
-
-
 @query("read_label_csv", f"""SELECT CASE WHEN toxic = 1 THEN '1' ELSE '0' END AS label, md5(text || chr(10) || '"quoted", text') AS digest FROM documents JOIN labels USING (doc_id)""")
 def read_label_csv(spark, sf):
-    path = folder(spark, "csv")
+    path = frames.folder(spark, "csv")
     df = X.docs(spark, sf).join(frames.table(spark, sf, "labels"), "doc_id")
     df.select("doc_id", F.expr("""concat(text, '\n"quoted", text')""").alias("comment_text"), F.col("toxic").alias("label")).write.option(
         "header", True).option("quoteAll", True).option("escape", '"').csv(path)
@@ -160,12 +149,12 @@ def read_label_csv(spark, sf):
 @query("read_fixtures", "SELECT conv_id::VARCHAR || '-' || turn AS id, CASE WHEN role = 'user' THEN 'hold' ELSE 'pass' END AS expect, md5(text) AS digest, 2::INTEGER AS lines FROM conversations")
 def read_fixtures(spark, sf):
     """Fixture files of one conversation each, written as JSON and read back as cases."""
-    path = folder(spark, "fixtures")
+    path = frames.folder(spark, "fixtures")
     case = F.struct(F.expr("concat(conv_id, '-', turn)").alias("id"), F.lit("t").alias("title"), F.lit("").alias("note"),
                     F.expr("if(role = 'user', 'hold', 'pass')").alias("expect"), F.array("role", "text").alias("context"), F.col("text").alias("draft"))
     # One case per file entry keeps every line small; a file holds as many entries as its task writes.
     frames.table(spark, sf, "conversations").select(F.lit(1).alias("version"), F.array(case).alias("cases")).write.json(path)
-    cases = spark.read.schema(readers.FIXTURES).json(path).select(F.explode("cases").alias("c")).select("c.*")
+    cases = readers.read_fixtures(spark, path, lines=True)
     return cases.select("id", "expect", F.md5("draft").alias("digest"), F.size("context").alias("lines"))
 
 
@@ -174,7 +163,7 @@ SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM w""")
 def read_wordlist(spark, sf):
     """The benchmark's distinct words as a word list in one text file, read back with line numbers."""
     from textguard.functions import text as T
-    path = folder(spark, "words")
+    path = frames.folder(spark, "words")
     words = frames.table(spark, sf, "benchmark").select(F.explode(T.tokenize(F.lower("text"))).alias("value")).distinct()
     words.orderBy("value").coalesce(1).write.text(path)
     return readers.read_wordlist(spark, path).select("term", F.col("id").cast("bigint").alias("id"))
@@ -182,21 +171,21 @@ def read_wordlist(spark, sf):
 
 @query("read_curated", "SELECT md5(text) AS digest, 'ok' AS label FROM benchmark")
 def read_curated(spark, sf):
-    path = folder(spark, "curated")
+    path = frames.folder(spark, "curated")
     rows = F.array(F.struct("text", F.lit("ok").alias("label"))).alias("rows")
     frames.table(spark, sf, "benchmark").select(rows).write.json(path)
-    return spark.read.schema(readers.CURATED).json(path).select(F.explode("rows").alias("r")).select(F.md5("r.text").alias("digest"), "r.label")
+    return readers.read_curated(spark, path, lines=True).select(F.md5("text").alias("digest"), "label")
 
 
 @query("write_train_json", f"{UNION} SELECT label, count(*) AS n FROM u GROUP BY label")
 def write_train_json(spark, sf):
-    return sinks.write_train_json(union(spark, sf).select("text", "label"), folder(spark, "train"))
+    return sinks.write_train_json(union(spark, sf).select("text", "label"), frames.folder(spark, "train"))
 
 
 # ------------------------------------------------------------------ streams
 def streamed(spark: SparkSession, df: DataFrame, build, mode: str = "append") -> DataFrame:
     """A batch frame written as files, streamed through ``build`` to its end, and read back."""
-    source, sink, state = (folder(spark, n) for n in ("in", "out", "state"))
+    source, sink, state = (frames.folder(spark, n) for n in ("in", "out", "state"))
     df.write.parquet(source)
     stream = readers.message_stream(spark, source, df.schema, files_per_trigger=4)
     q = (build(stream).writeStream.outputMode(mode).format("parquet").option("path", sink)
@@ -237,7 +226,7 @@ def stream_sessions(spark, sf):
     count(*) FILTER (kind = 'deleted') AS dropped, count(*) FILTER (kind = 'sent_anyway') AS sent_anyway, count(*) FILTER (kind = 'covered') AS covered FROM act GROUP BY 1, 2""")
 def stream_daily_rollup(spark, sf):
     """Events streamed into the daily table, which is upserted batch by batch."""
-    source, sink, state = (folder(spark, n) for n in ("in", "out", "state"))
+    source, sink, state = (frames.folder(spark, n) for n in ("in", "out", "state"))
     df = frames.activity(spark, sf).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).select("install_id", "kind", "occurred_at")
     df.write.parquet(source)
     stream = readers.message_stream(spark, source, df.schema)

@@ -54,7 +54,9 @@ def sink_daily_stats(spark, sf):
 @query("sink_events", f"WITH {ACT} SELECT event_id, install_id, kind, round(least(greatest(score * 1.2e0, 0e0), 1e0), 6) AS score, occurred_at::DATE AS day FROM act")
 def sink_events(spark, sf):
     df = frames.activity(spark, sf).withColumn("score", F.expr("score * 1.2e0"))
-    return sinks.event_rows(df).select("event_id", "install_id", "kind", F.round("score", 6).alias("score"), "day")
+    path = frames.folder(spark, "events")
+    sinks.sink_events(df, path)
+    return spark.read.parquet(path).select("event_id", "install_id", "kind", F.round("score", 6).alias("score"), "day")
 
 
 @query("sink_installs", f"""WITH {INST}, seen AS (SELECT i.* REPLACE ('attentive' AS sensitivity, f.lo AS created_at, f.hi AS last_seen_at) FROM inst i
@@ -66,7 +68,9 @@ def sink_installs(spark, sf):
     span = frames.activity(spark, sf).groupBy("install_id").agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"))
     seen = stored.join(span, "install_id").withColumns({
         "sensitivity": F.lit("attentive"), "created_at": F.col("lo"), "last_seen_at": F.col("hi")}).select(*stored.columns)
-    return sinks.merge_installs(stored, seen).select("install_id", "sensitivity", "created_at", "last_seen_at")
+    first, second = frames.folder(spark, "installs"), frames.folder(spark, "installs")
+    sinks.sink_installs(stored, first + "-none", first)
+    return sinks.sink_installs(seen, first, second).select("install_id", "sensitivity", "created_at", "last_seen_at")
 
 
 LABELS = " ".join(f"WHEN '{k}' THEN {O.q(v)}" for k, v in sinks.KIND_LABELS.items())
@@ -114,7 +118,9 @@ def review_quarantine(spark, sf):
 @query("telemetry_snapshot", f"WITH {TR} SELECT day, tier, count(*) AS n FROM tr WHERE day = DATE '2024-01-20' GROUP BY day, tier")
 def telemetry_snapshot(spark, sf):
     per = frames.traces(spark, sf).groupBy("day", "tier").agg(F.count("*").alias("n"))
-    return sinks.reload_snapshot(per, "DATE'2024-01-20'")
+    path = frames.folder(spark, "telemetry")
+    sinks.telemetry_snapshot(per, path)
+    return sinks.reload_snapshot(spark.read.parquet(path), "DATE'2024-01-20'").select(*per.columns)
 
 
 # ------------------------------------------------------------------ gates and checks

@@ -7,6 +7,8 @@ are as many and as varied as the table is large.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from textguard.functions.arrays import words
 from textguard.operators.context import with_context
 from textguard.operators.normalize import normalize
 from textguard.operators.tier0 import signals
+from textguard.session import checkpoint_dir
 
 CARRIERS = [
     "you are such an idiot", "what a loser", "this keyboard is stupid", "go kill yourself now",
@@ -47,6 +50,11 @@ CARRIERS = [
 DAY = "2024-01-01"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/textguard/{uuid.uuid4().hex}/{name}"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

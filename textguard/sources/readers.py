@@ -29,14 +29,14 @@ def read_label_csv(spark: SparkSession, path: str, text: str, label: str, text_a
         F.col("text").isNotNull() & F.col("label").isNotNull())
 
 
-def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case of a fixture file."""
-    return spark.read.schema(FIXTURES).option("multiLine", True).json(path).select(F.explode("cases").alias("c")).select("c.*")
+def read_fixtures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per case of a fixture file. With ``lines`` a file holds one object per line, and can be split."""
+    return spark.read.schema(FIXTURES).option("multiLine", not lines).json(path).select(F.explode("cases").alias("c")).select("c.*")
 
 
-def read_curated(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one row per curated text."""
-    return spark.read.schema(CURATED).option("multiLine", True).json(path).select(F.explode("rows").alias("r")).select("r.*")
+def read_curated(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """S3: one row per curated text; ``lines`` as for fixtures."""
+    return spark.read.schema(CURATED).option("multiLine", not lines).json(path).select(F.explode("rows").alias("r")).select("r.*")
 
 
 def read_wordlist(spark: SparkSession, path: str) -> DataFrame:

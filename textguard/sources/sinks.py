@@ -103,7 +103,7 @@ def newest_report(events: DataFrame, limit: int, key: str = "install_id", tie: s
 
     The whole record is :func:`report_entries` and :func:`write_report`, which never put a key into one row.
     """
-    shown = newest(events.withColumn("_t", F.unix_micros(F.col("occurred_at").cast("timestamp"))), key, "_t", limit, 86_400_000_000, tie)
+    shown = newest(events.withColumn("_t", F.unix_micros(F.col("occurred_at").cast("timestamp"))), key, "_t", limit, tie)
     lines = shown.select(key, "rank", F.expr(report_entry()).alias("entry"))
     return (lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("es"))
             .select(key, F.size("es").alias("entries"), F.expr("array_join(es.entry, '\n')").alias("body")))
