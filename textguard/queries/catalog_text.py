@@ -162,7 +162,19 @@ near AS (SELECT w, word FROM cand JOIN keys ON a = word[d[1]] WHERE len(d) = 1 A
 typo_fixes AS (SELECT w, min(word) AS fixed FROM near WHERE NOT {real_sql('w')} GROUP BY w)"""
 
 
-@query("is_real_word", f"WITH {WORDS} SELECT token, {real_sql('token')} AS is_real FROM cw")
+def stems_sql(source: str, word: str) -> str:
+    """stems(word, stem): the word itself and every stem it may be an inflection of."""
+    parts = [f"SELECT {word}, {word} AS stem FROM {source}"]
+    for s in normalize.SUFFIXES:
+        stem = f"left({word}, length({word}) - {len(s)})"
+        fits = f"ends_with({word}, '{s}') AND length({word}) > {len(s) + 2}"
+        parts += [f"SELECT {word}, {stem} FROM {source} WHERE {fits}", f"SELECT {word}, {stem} || 'e' FROM {source} WHERE {fits}",
+                  f"SELECT {word}, left({stem}, length({stem}) - 1) FROM {source} WHERE {fits} AND right({stem}, 1) = left(right({stem}, 2), 1)"]
+    return "stems AS (" + " UNION ".join(parts) + ")"
+
+
+@query("is_real_word", f"""WITH {WORDS}, {stems_sql('cw', 'token')}, found AS (SELECT DISTINCT token FROM stems SEMI JOIN dict ON dict.term = stems.stem)
+SELECT cw.token, found.token IS NOT NULL AS is_real FROM cw LEFT JOIN found ON found.token = cw.token""")
 def is_real_word(spark, sf):
     words = corpus_words(spark, sf)
     return normalize.is_real_word(words.select("token"), corpus_dictionary(spark, sf))
