@@ -287,6 +287,17 @@ def test_windows_agree_with_one_long_window(monkeypatch):
     assert len(set(short[0]) & set(long[0])) >= 0.95 * len(long[0])
 
 
+def test_windows_far_from_signs_have_no_say():
+    r, model, texts = random.Random(8), pii_tagger.trained(), []
+    for _ in range(60):
+        words = [pii_tagger.syllables(r) for _ in range(r.randint(0, 400))]
+        for _ in range(r.randint(0, 3)):
+            words.insert(r.randint(0, len(words)), r.choice([pii_tagger.personal(r)[0], pii_tagger.harmless(r), "at", "look at that dot", "at x.y"]))
+        texts.append(" ".join(words))
+    assert pii_tagger.tagged(texts, model) == pii_tagger.tagged(texts, model, every=True)
+    assert sum(len(pii_tagger.window_starts(t, False)) for t in texts) < sum(len(pii_tagger.window_starts(t, True)) for t in texts)
+
+
 def test_skipped_windows_hold_no_span():
     r, model = random.Random(4), pii_tagger.trained()
     x = np.array([pii_tagger.classes(pii_tagger.labelled(r, 120)[0]) for _ in range(200)]).T.copy()

@@ -35,7 +35,9 @@ PATTERNS = {
 DIGITS = b"0123456789"
 #: A span that the tagger adds has so many characters, and so many digits or (an address) an @, or "at" and a dot.
 LEAST_CHARS, LEAST_DIGITS = 7, 4
-AT = re.compile(r"@|\bat\b.*(?:\bdot\b|\.[a-z])")
+AT = re.compile(r"@|\bat\b.*(?:\bdot\b|\.[a-z])", re.DOTALL)
+#: What every such span holds at least one of: a digit, an @, the end of an address in words.
+SIGN = re.compile(r"[0-9@]|\bdot\b|\.[a-z]")
 Span = tuple[str, int, int]
 
 
@@ -308,11 +310,27 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return labels
 
 
-def tagged(texts: list[str], model: dict[str, np.ndarray]) -> list[list[Span]]:
-    """The tagger's spans in each text."""
-    found: list[list[Span]] = [[] for _ in texts]
+def window_starts(text: str, every: bool) -> list[int]:
+    """Where the windows of a text begin: all, or those that hold a sign of a kept span and their neighbours.
+
+    A span without a sign is dropped in the end, so a window that lies a whole window's stride away from all signs has no say in the
+    result (a span longer than a stride aside).
+    """
     stride = WINDOW - OVERLAP
-    places = [(k, a) for k, t in enumerate(texts) for a in range(0, max(1, len(t) - OVERLAP), stride) if t]
+    starts = range(0, max(1, len(text) - OVERLAP), stride) if text else range(0)
+    if every:
+        return list(starts)
+    near: set[int] = set()
+    for m in SIGN.finditer(text):
+        k = m.start() // stride
+        near.update((k - 2, k - 1, k, k + 1))
+    return [a for k, a in enumerate(starts) if k in near]
+
+
+def tagged(texts: list[str], model: dict[str, np.ndarray], every: bool = False) -> list[list[Span]]:
+    """The tagger's spans in each text; ``every`` reads also the windows that cannot matter."""
+    found: list[list[Span]] = [[] for _ in texts]
+    places = [(k, a) for k, t in enumerate(texts) for a in window_starts(t, every)]
     coded: dict[int, np.ndarray] = {}
     labels: dict[int, np.ndarray] = {}
     for at in range(0, len(places), LANES):
