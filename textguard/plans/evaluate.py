@@ -30,7 +30,8 @@ def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def doc_toxicity_eval(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The lexical verdict on documents against their labels: counts per (level, toxic).
 
-    Only documents with a label are scored; what is shuffled is an id and a score, never text.
+    Only documents with a label are scored. Where the labelled ids are too many to be broadcast, the semi-join shuffles id and
+    text once; after that only ids and scores move.
     """
     gold = labels.select("doc_id", "toxic")
     wanted = docs.select("doc_id", "text").join(gold.select("doc_id"), "doc_id", "left_semi")
