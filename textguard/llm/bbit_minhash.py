@@ -4,9 +4,10 @@ Map side, each document's set of word shingles gives ``MINIMA`` minima. Groups o
 are the signature. Documents that share a band key are candidates; the share of equal signature entries, corrected for chance
 collisions, estimates their similarity; what may reach the threshold is confirmed on the full sets.
 
-Nothing is listed pair by pair within a group. Equal sets count once (a class with a representative). Then, round by round, each band
-bucket compares its members with one leader, and only where they are not yet in one component. What these rounds leave open - buckets
-that still hold several components - is compared directly, component by component.
+Nothing is listed pair by pair within a group. Equal sets count once (a class with a representative). Each band bucket then compares its
+members with one leader only. What this leaves open are buckets that still hold several components: there, a document's private
+shingles, which no other document of these buckets has, bound what it can share with any other; most are alone for sure, and only
+pairs from different components that pass this bound, and the estimate, are confirmed.
 """
 from __future__ import annotations
 
@@ -25,8 +26,8 @@ MINIMA, BITS = 128, 4
 BAND_ROWS = 4
 #: Standard deviations that the estimate may fall short of the threshold before a pair is dropped unconfirmed.
 SLACK = 6.0
-#: Rounds of leaders; the rest is compared directly.
-LEADER_ROUNDS = 3
+#: Minima of the finer signature that documents in shared buckets get.
+FINE = 512
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -59,10 +60,10 @@ def shingle_set(text: str, words: int = 3) -> np.ndarray:
     return np.unique(s)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """MINIMA minima (uint32) of a non-empty set."""
-    rng = np.random.default_rng(7)
-    a, b = (rng.integers(0, 2**32, MINIMA, np.uint32)[:, None] for _ in range(2))
+def minima(hashes: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """n minima (uint32) of a non-empty set."""
+    rng = np.random.default_rng(n)
+    a, b = (rng.integers(0, 2**32, n, np.uint32)[:, None] for _ in range(2))
     a |= np.uint32(1)
     x, low = (hashes >> np.uint64(32)).astype(np.uint32), None
     for k in range(0, len(x), 2048):
@@ -80,7 +81,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def signature(low: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, packed into MINIMA * BITS / 64 longs."""
+    """The low BITS bits of each minimum, packed: BITS / 64 longs for each."""
     bits = (low[:, None] >> np.arange(BITS, dtype=np.uint32)) & 1
     return np.packbits(bits.astype(np.uint8).ravel()).view(np.int64)
 
@@ -109,10 +110,10 @@ def sketches(docs: DataFrame, words: int = 3) -> DataFrame:
     return texts_of(docs).mapInArrow(run, SKETCH)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, n: int = MINIMA) -> Column:
     """Similarity from two packed signatures: the share of equal entries, by bit counts, less what chance collisions give."""
     differing = F.lit(0)
-    for k in range(MINIMA * BITS // 64):
+    for k in range(n * BITS // 64):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         any_bit = x
         for j in range(1, BITS):
@@ -120,12 +121,12 @@ def estimate(a: Column, b: Column) -> Column:
         ones = sum(1 << (BITS * j) for j in range(64 // BITS))
         differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(ones - (1 << 64) if ones >= 1 << 63 else ones)))
     chance = 2.0**-BITS
-    return (1 - differing / F.lit(float(MINIMA)) - chance) / (1 - chance)
+    return (1 - differing / F.lit(float(n)) - chance) / (1 - chance)
 
 
-def least_estimate(threshold: float) -> float:
+def least_estimate(threshold: float, n: int = MINIMA) -> float:
     equal = threshold + (1 - threshold) * 2.0**-BITS
-    return threshold - SLACK * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - 2.0**-BITS)
+    return threshold - SLACK * (equal * (1 - equal) / n) ** 0.5 / (1 - 2.0**-BITS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,6 +174,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = np.frombuffer(s.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], names=["rep", "shingle"])
+
+
+def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rep, component of all ``rows`` under ``links``."""
+    return stored(rows.select("rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, kept.
 
@@ -187,54 +201,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     made = stored(made.join(classes, ["high", "low"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
     reps = made.where("n_shingles > 0 and doc_id = rep").select("rep", "n_shingles", "signature", "bands")
 
-    # Buckets of at least two different representatives, and who is in them.
-    posted = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = posted.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
+    # Buckets of at least two different representatives, and who is in them. The leader is the first by id.
+    posted = reps.select(F.posexplode("bands").alias("place", "key"), "rep")
+    shared = posted.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
     posted = stored(posted.join(shared, "key"))
-    active = posted.select("rep").distinct()
-    signs = stored(reps.select("rep", "n_shingles", "signature").join(active, "rep").dropDuplicates(["rep"]))
+    signs = stored(reps.select("rep", "n_shingles", "signature", "bands").join(posted.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
 
     def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "shingles"])
+            found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([signature(minima(s, FINE)) for s in found], pa.list_(pa.int64()))],
+                                             names=["rep", "shingles", "fine"])
 
-    sets = stored(texts_of(docs).join(signs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(set_of, "rep long, shingles binary"))
+    sets = stored(texts_of(docs).join(signs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(set_of, "rep long, shingles binary, fine array<long>"))
 
     near = least_estimate(threshold_percent / 100)
-    fits = (100 * F.least("na", "nb") >= threshold_percent * F.greatest("na", "nb")) & (estimate(F.col("sa"), F.col("sb")) >= near)
-    comp = signs.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    links = tested = None
-
-    def side(c: str) -> DataFrame:
-        return signs.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-
-    def settled(pairs: DataFrame) -> None:
-        """Confirm new pairs; bring links, tested pairs and components up to date."""
-        nonlocal links, tested, comp
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        found = stored(confirmed(pairs, sets, threshold_percent))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        comp = stored(signs.select(F.col("rep").alias("node")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-
-    for turn in range(LEADER_ROUNDS):
-        placed = posted.join(comp.withColumnRenamed("node", "rep"), "rep")
-        rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        lead = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(rank.alias("r"), "rep", "component")).alias("l")).where("x <> y")
-        pairs = placed.join(lead, "key").where("component <> l.component").select(F.greatest("rep", "l.rep").alias("a"), F.least("rep", "l.rep").alias("b")).distinct()
-        settled(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"))
-
-    # What is left: members of one bucket in different components.
-    placed = posted.join(comp.withColumnRenamed("node", "rep"), "rep")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = placed.join(mixed, "key").join(signs, "rep")
-    a, b = (placed.select("key", F.col("rep").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}")) for c in "ab")
-    settled(a.join(b, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct())
+    likely = estimate(F.col("sa"), F.col("sb")) >= near
+
+    def side(table: DataFrame, c: str, *more: str) -> DataFrame:
+        return table.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"), *[F.col(m.split(":")[-1]).alias(f"{m[0]}{c}") for m in more])
 
-    out = made.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    # Members against their buckets' leaders.
+    led = posted.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    sized = 100 * F.least("na", "nb") >= threshold_percent * F.greatest("na", "nb")
+    tested = stored(led.join(side(signs, "a"), "a").join(side(signs, "b"), "b").where(sized & likely).select("a", "b"))
+    links = stored(confirmed(tested, sets, threshold_percent))
+    comp = joined(signs, links)
+
+    # Buckets that still hold several components. Private shingles are counted among all that stand in one.
+    placed = posted.select("key", "place", "rep").join(comp, "rep")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    placed = stored(placed.join(mixed, "key"))
+    some = stored(signs.join(placed.select("rep", "component").distinct(), "rep"))
+    owned = (sets.join(some.select("rep"), "rep").mapInArrow(one_by_one, "rep long, shingle long").groupBy("shingle")
+             .agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("private")))
+    some = some.join(owned, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0)))
+    some = some.join(sets.select("rep", "fine"), "rep")
+    some = stored(some.where(100 * (F.col("n_shingles") - F.col("private")) >= threshold_percent * F.col("n_shingles")))
+    placed = placed.select("key", "place", "rep").join(some, "rep")
+    # The intersection holds no private shingle, the union all of the other's.
+    bounded = 100 * F.least(F.expr("na - pa"), F.expr("nb - pb")) >= threshold_percent * F.greatest(F.expr("na + pb"), F.expr("nb + pa"))
+    a, b = (side(placed, c, "component", "private", "key", "fine", "bands", "t:place") for c in "ab")
+    closely = estimate(F.col("fa"), F.col("fb"), FINE) >= least_estimate(threshold_percent / 100, FINE)
+    # Of the buckets that two share, the first one's has the pair.
+    first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("ta") + 1
+    rest = a.join(b, F.col("ka") == F.col("kb")).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & bounded & likely & closely & first).select("a", "b").distinct()
+    more = stored(confirmed(rest.join(tested, ["a", "b"], "left_anti"), sets, threshold_percent))
+    # These links join whole components.
+    first, second = (comp.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    over = components(more.join(first, "a").join(second, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    comp = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
+
+    out = made.join(comp, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
