@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import CACHE_ENTRIES, stored, texts_of, worker_cache
+from textguard.llm.common import only_cache, stored, texts_of
 
 MINIMA, BITS = 128, 4
 #: Rows of a band. At similarity 0.85 a pair shares none of the 32 bands with probability 6e-11.
@@ -28,6 +28,8 @@ BAND_ROWS = 4
 SLACK = 6.0
 #: Minima of the finer signature that documents in shared buckets get.
 FINE = 512
+#: Word hashes a worker remembers (some 40 MB); to make one anew is cheap.
+HASHED_WORDS = 200_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -38,8 +40,8 @@ class WordHashes(dict):
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    held = worker_cache("words").setdefault("hashes", WordHashes())
-    if len(held) > CACHE_ENTRIES:
+    held = only_cache("hashes").setdefault("words", WordHashes())
+    if len(held) > HASHED_WORDS:
         held.clear()
     return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
 

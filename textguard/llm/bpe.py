@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import CACHE_ENTRIES, PIECE, SPACE, texts_of, worker_cache
+from textguard.llm.common import CACHE_ENTRIES, PIECE, SPACE, only_cache, texts_of
 
 #: Words within a piece of text, as the byte-level tokenizer cuts them.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -120,7 +120,7 @@ class Merger:
 
 
 def merger(path: str) -> Merger:
-    held = worker_cache("mergers")
+    held = only_cache("mergers")
     if path not in held:
         held[path] = Merger(path)
     return held[path]

@@ -5,6 +5,7 @@ import re
 import sys
 import types
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +13,17 @@ from pyspark.sql import functions as F
 
 from textguard.session import checkpoint_dir
 
-#: Entries a worker's cache may hold before it starts anew (some 180 MB); what it returns is the same either way.
-CACHE_ENTRIES = 900_000
+#: Entries a worker's cache may hold before it starts anew (some 150 MB); what it returns is the same either way.
+CACHE_ENTRIES = 800_000
 #: White space as the tokenizers' patterns see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A text falls into these pieces whatever follows: no token of the byte tokenizer crosses their borders.
 PIECE = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
 
 
+OTHER_SPACE, NOT_SPACE = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), re.compile(f"[^{SPACE}]+")
 #: A letter, then ASCII marks up to the end.
+MARKS = frozenset(".,!?;:|%$*&#)")
 MARKED = re.compile("(.*[A-Za-z\u00e0-\u00f6\u00f8-\u00ff])([.,!?;:|%$*&#)]+)")
 
 
@@ -53,6 +56,14 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def only_cache(name: str) -> dict:
+    """Like ``worker_cache``, for large ones: a worker that goes on to another operator's lets go of the one before."""
+    for other, held in worker_cache("large").items():
+        if other != name:
+            held.clear()
+    return worker_cache("large").setdefault(name, {})
+
+
 def tokenizer(path: str):
     """The tokenizer of a file, loaded once for each worker, without truncation and padding."""
     held = worker_cache("tokenizers")
@@ -66,53 +77,76 @@ def tokenizer(path: str):
 
 
 class Encoded(dict):
-    """Piece of text -> its ids as little-endian uint32 bytes, by the tokenizers library; each distinct piece is encoded once."""
+    """Piece of text -> its ids as little-endian uint32 bytes, by the tokenizers library; each distinct piece is encoded once.
 
-    def __init__(self, path: str):
+    The keys leave out ``before``, a blank or nothing, which every piece starts with.
+    """
+
+    def __init__(self, path: str, before: str = ""):
         super().__init__()
-        self.path = path
+        self.path, self.before = path, before
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: Iterable[str]) -> None:
         """Encode what is new. A piece that ends in a letter and some marks is put together from the two: a token never holds both."""
         missing = [p for p in pieces if p not in self]
         if len(self) + 2 * len(missing) > CACHE_ENTRIES:
             self.clear()
             missing = list(pieces)
-        ended = [m for m in map(MARKED.fullmatch, missing) if m]
-        made = {m[0] for m in ended}
-        unknown = list({p for p in missing if p not in made} | {x for m in ended for x in m.groups() if x not in self})
-        self.encode(unknown)
-        for m in ended:
-            self[m[0]] = self[m[1]] + self[m[2]]
+        ended, whole = [], []
+        for p in missing:
+            if p[-1:] in MARKS and (m := MARKED.fullmatch(p)):
+                ended.append(m.group(0, 1, 2))
+            else:
+                whole.append(p)
+        heads, tails, marks = {m[1] for m in ended}, {m[2] for m in ended}, self
+        if self.before:  # the marks follow a letter
+            marks = encoded(self.path)
+            marks.learn(tails)
+            tails = set()
+        self.encode([*whole, *[p for p in (*heads, *tails) if p not in self]])
+        for piece, head, tail in ended:
+            self[piece] = self[head] + marks[tail]
 
     def encode(self, unknown: list[str]) -> None:
         """Many pieces go to the library as one text, a mark between them that always is a token of its own."""
-        tk = tokenizer(self.path)
+        tk, before = tokenizer(self.path), self.before
         mark = next((m for m in ("\n", " \0 ") if len(tk.encode(m, add_special_tokens=False).ids) == 1), None)
         if mark:
-            sign = mark.strip(" ")
-            odd = {p for p in unknown if sign in p or p.isspace()}
-            plain, unknown = [p for p in unknown if p not in odd], list(odd)
-            number = tk.encode(mark, add_special_tokens=False).ids[0]
+            sign, number = mark.strip(" "), tk.encode(mark, add_special_tokens=False).ids[0]
+            # Pieces that are white space, or hold the mark, go by themselves; what follows a blank is a word.
+            odd = {p for p in unknown if sign in p or not before and p.isspace()}
+            plain, unknown = [p for p in unknown if p not in odd] if odd else unknown, list(odd)
             groups = [plain[k:k + 256] for k in range(0, len(plain), 256)]
             for k in range(0, len(groups), 16):
                 some = groups[k:k + 16]
-                for group, one in zip(some, tk.encode_batch_fast([mark.join(g) for g in some], add_special_tokens=False), strict=True):
+                joined = [before + (mark + before).join(g) for g in some]
+                for group, one in zip(some, tk.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                     ids = np.asarray(one.ids, "<u4")
-                    raw, ends = ids.tobytes(), [-1, *np.flatnonzero(ids == number).tolist(), len(ids)]
+                    raw, ends = ids.tobytes(), [-4, *(4 * np.flatnonzero(ids == number)).tolist(), 4 * len(ids)]
                     for piece, a, b in zip(group, ends[:-1], ends[1:], strict=True):
-                        self[piece] = raw[4 * a + 4:4 * b]
+                        self[piece] = raw[a + 4:b]
         for k in range(0, len(unknown), 4096):
             part = unknown[k:k + 4096]
-            for piece, one in zip(part, tk.encode_batch(part, add_special_tokens=False), strict=True):
+            for piece, one in zip(part, tk.encode_batch([before + p for p in part], add_special_tokens=False), strict=True):
                 self[piece] = np.asarray(one.ids, "<u4").tobytes()
 
 
-def encoded(path: str) -> Encoded:
-    held = worker_cache("encoded")
-    if path not in held:
-        held[path] = Encoded(path)
-    return held[path]
+def encoded(path: str, before: str = "") -> Encoded:
+    held = only_cache("encoded")
+    if (path, before) not in held:
+        held[path, before] = Encoded(path, before)
+    return held[path, before]
+
+
+def whole_ids(text: str, path: str) -> bytes:
+    return np.asarray(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def plain_lines(text: str) -> list[list[str]] | None:
+    """The words of each line, if there is but one space between words and one line end between lines, and no other white space."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
+        return None
+    return [line.split(" ") for line in text.split("\n")]
 
 
 def byte_ids(texts: list[str], path: str, special: str = "<|endoftext|>") -> list[bytes]:
@@ -121,33 +155,38 @@ def byte_ids(texts: list[str], path: str, special: str = "<|endoftext|>") -> lis
     A text with the special token's string goes to the library whole; any other is encoded by pieces, which gives the same ids because
     the tokenizer has no normaliser and none of its tokens crosses a piece's border.
     """
-    held, out = encoded(path), []
-    for k in range(0, len(texts), 64):
-        cut = [None if special in t else PIECE.findall(t) for t in texts[k:k + 64]]
-        held.learn(set().union(*[c for c in cut if c is not None]))
-        get = held.__getitem__
-        for t, c in zip(texts[k:k + 64], cut, strict=True):
-            if c is None:
-                out.append(np.asarray(tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+    held, spaced, out = encoded(path), encoded(path, " "), []
+    for k in range(0, len(texts), 128):
+        some = texts[k:k + 128]
+        lines = [None if special in t else plain_lines(t) for t in some]
+        cut = [None if x is not None or special in t else PIECE.findall(t) for t, x in zip(some, lines, strict=True)]
+        spaced.learn(set().union(*[words[1:] for x in lines if x for words in x]))
+        held.learn(set().union(["\n"], [words[0] for x in lines if x for words in x], *[c for c in cut if c is not None]))
+        get, of, end = held.__getitem__, spaced.__getitem__, held["\n"]
+        for t, x, c in zip(some, lines, cut, strict=True):
+            if x is not None:
+                out.append(end.join([get(words[0]) + b"".join(map(of, words[1:])) for words in x]))
             else:
-                out.append(b"".join(map(get, c)))
+                out.append(b"".join(map(get, c)) if c is not None else whole_ids(t, path))
     return out
 
 
 def word_ids(texts: list[str], path: str, special: tuple[str, ...] = ("<|startoftext|>", "<|endoftext|>")) -> list[bytes]:
-    """The ids of each text (uint32 bytes) by the word tokenizer, whose tokens never cross white space.
+    """The ids of each text (uint32 bytes) by the word tokenizer, word by word.
 
-    ASCII texts are encoded word by word; any other goes through the same words unless composing could reach over a space, which it
-    cannot: a space composes with nothing. Texts holding a special token's string go to the library whole.
+    Its tokens never cross white space, and neither composing nor lower-casing looks over it. Texts holding a special token's
+    string go to the library whole.
     """
-    held, out, space = encoded(path), [], re.compile(f"[^{SPACE}]+")
-    for k in range(0, len(texts), 64):
-        cut = [None if any(s in t for s in special) else space.findall(t) for t in texts[k:k + 64]]
+    held, out = encoded(path), []
+    for k in range(0, len(texts), 128):
+        some = texts[k:k + 128]
+        cut = [None if any(s in t for s in special) else words_between(t) for t in some]
         held.learn(set().union(*[c for c in cut if c is not None]))
         get = held.__getitem__
-        for t, c in zip(texts[k:k + 64], cut, strict=True):
-            if c is None:
-                out.append(np.asarray(tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(get, c)))
+        out += [whole_ids(t, path) if c is None else b"".join(map(get, c)) for t, c in zip(some, cut, strict=True)]
     return out
+
+
+def words_between(text: str) -> list[str]:
+    """The words between the tokenizers' white space; Python's own has four more characters."""
+    return NOT_SPACE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
