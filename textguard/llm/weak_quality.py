@@ -30,6 +30,10 @@ LEAST_SEEN = 0.1
 GOOD_WEIGHT = 0.5
 #: Fewer words, runs or lines than these are too few for a labeller that looks at shares of them.
 LEAST_WORDS, LEAST_LINES = 30, 5
+#: A labeller that calls more than this share of the texts it votes on bad has its false alarms estimated, without the bound above.
+WIDE = 0.2
+#: Where more than this share of the letters are of scripts beyond Latin (many of them without spaces), measures by words give no vote.
+BEYOND_LATIN = 0.5
 #: Measure, "good" if within (low, high), "bad" beyond the bounds (below, above); else no vote.
 LABELLERS = [
     ("symbols", (-1.0, 0.01), (-1.0, 0.05)),
@@ -46,6 +50,8 @@ LABELLERS = [
 MEASURES = [name for name, _, _ in LABELLERS]
 NO_VOTE, GOOD, BAD = 0, 1, 2
 SYMBOLS = b"%$#&*@^~<>{}[]=+_\\/`"
+#: Bytes that go on with a code point, and the first bytes of letters of scripts beyond Latin: Greek to NKo, Indic to Khmer, kana, Han, Hangul.
+GOES_ON, OTHER_SCRIPTS = bytes(range(0x80, 0xC0)), bytes([*range(0xCE, 0xE2), *range(0xE3, 0xEE)])
 CAPITALS, LETTERS, DIGITS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)]), bytes(range(48, 58))
 
 
@@ -62,18 +68,23 @@ SHAPES = shape_classes()
 
 
 def measures(raw: bytes) -> list[float]:
-    """The labellers' measures of a text in UTF-8; not a number where the text is too short for one, throughout for an empty text."""
+    """The labellers' measures of a text in UTF-8; not a number where the text is too short for one or its script has no say in it, throughout
+    for an empty text. Words are as long as they have code points."""
     n, words = len(raw), raw.split()
     if not words:
         return [math.nan] * len(MEASURES)
     share = lambda chars: (n - len(raw.translate(None, chars))) / n
     lines = [x for x in raw.split(b"\n") if x.strip()]
     letters, long = share(LETTERS), len(words) >= LEAST_WORDS
+    points, other = (raw, 0) if raw.isascii() else (raw.translate(None, GOES_ON), n - len(raw.translate(None, OTHER_SCRIPTS)))
+    # One byte a code point; its letters are ASCII or first bytes.
+    spelt = not other or other <= BEYOND_LATIN * (len(points) - len(points.translate(None, LETTERS)))
+    sizes = [len(w) for w in points.split()] or [0]
     return [share(SYMBOLS), share(CAPITALS) / letters if letters else math.nan, share(b"|"), share(b"!"),
             1 - len(set(lines)) / len(lines) if len(lines) >= LEAST_LINES else math.nan,
             1 - len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if long else math.nan,
-            sum(map(len, words)) / len(words), sum(len(w) <= 3 for w in words) / len(words) if long else math.nan,
-            (raw.count(b".") + raw.count(b"?")) / len(words) if long else math.nan, share(DIGITS) if long else math.nan]
+            sum(sizes) / len(sizes) if spelt else math.nan, sum(k <= 3 for k in sizes) / len(sizes) if long and spelt else math.nan,
+            (raw.count(b".") + raw.count(b"?")) / len(words) if long and spelt else math.nan, share(DIGITS) if long else math.nan]
 
 
 def votes(found: list[float]) -> list[int]:
@@ -89,7 +100,8 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     """Probability of a bad text for each vote pattern, by expectation-maximisation over all patterns and their counts.
 
     Each labeller has its own chance of a bad vote on bad and on good texts, among the texts it votes on; no vote is no evidence. The
-    bounds ``FALSE_ALARM`` and ``LEAST_SEEN`` keep the classes from changing places. No pattern: nothing.
+    bounds ``FALSE_ALARM`` and ``LEAST_SEEN`` keep the classes from changing places. A labeller over ``WIDE`` is first taken to fire alike on
+    both, and its chances are found from the others'. No pattern: nothing.
     """
     if not counts:
         return {}
@@ -97,14 +109,16 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     n = np.array([counts[c] for c in codes.tolist()], float)
     said = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     bad, good = (said == BAD).astype(float), (said == GOOD).astype(float)
-    prior, seen, alarm = 0.15, np.full(len(LABELLERS), 0.25), np.full(len(LABELLERS), FALSE_ALARM)
+    fires = n @ bad / (n @ (bad + good) + 20)
+    most = np.where(fires > WIDE, np.minimum(fires, 0.95), FALSE_ALARM)
+    prior, seen, alarm = 0.15, np.maximum(0.25, most), most
     for _ in range(rounds):
         odds = np.log(prior / (1 - prior)) + bad @ np.log(seen / alarm) + GOOD_WEIGHT * (good @ np.log((1 - seen) / (1 - alarm)))
         post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         of_bad, of_good = post * n, (1 - post) * n
         prior = (of_bad.sum() + 1.5) / (n.sum() + 10)
         seen = np.clip((of_bad @ bad + 1) / (of_bad @ (bad + good) + 4), LEAST_SEEN, 0.95)
-        alarm = np.clip((of_good @ bad + 0.01) / (of_good @ (bad + good) + 4), 1e-4, FALSE_ALARM)
+        alarm = np.clip((of_good @ bad + 0.01) / (of_good @ (bad + good) + 4), 1e-4, most)
     return dict(zip(codes.tolist(), post.tolist(), strict=True))
 
 
