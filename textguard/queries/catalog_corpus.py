@@ -183,14 +183,31 @@ def write_train_json(spark, sf):
 
 
 # ------------------------------------------------------------------ streams
-def streamed(spark: SparkSession, df: DataFrame, build, mode: str = "append") -> DataFrame:
-    """A batch frame written as files, streamed through ``build`` to its end, and read back."""
+#: Covers whatever order the files of a table are read in.
+ANY_ORDER = "4000 days"
+
+
+def streamed(spark: SparkSession, df: DataFrame, build, mode: str = "append", ends: str | None = None) -> DataFrame:
+    """A batch frame written as files, streamed through ``build`` to its end, and read back.
+
+    ``ends`` names the event time (a timestamp, or microseconds) of a stream that holds rows until the watermark: a last row
+    far ahead, without a key, then lets all others go.
+    """
     source, sink, state = (frames.folder(spark, n) for n in ("in", "out", "state"))
     df.write.parquet(source)
     stream = readers.message_stream(spark, source, df.schema, files_per_trigger=4)
-    q = (build(stream).writeStream.outputMode(mode).format("parquet").option("path", sink)
-         .option("checkpointLocation", state).trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def run() -> None:
+        q = (build(stream).writeStream.outputMode(mode).format("parquet").option("path", sink)
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    if ends:
+        ahead = F.expr("timestamp'2200-01-01'")
+        last = [(F.unix_micros(ahead) if f.dataType.typeName() == "long" else ahead) if f.name == ends else F.lit(None) for f in df.schema]
+        spark.range(1).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(last, df.schema)]).coalesce(1).write.mode("append").parquet(source)
+        run()
     return spark.read.parquet(sink)
 
 
@@ -237,19 +254,19 @@ def stream_daily_rollup(spark, sf):
 @query("stream_rate_limit")
 def stream_rate_limit(spark, sf):
     df = frames.activity(spark, sf).select("event_id", "kind", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("at"))
-    return streamed(spark, df, lambda s: streams.rate_limit(s, "kind", "at", "event_id", 2, 40))
+    return streamed(spark, df, lambda s: streams.rate_limit(s, "kind", "at", "event_id", 2, 40, ordered=True, delay=ANY_ORDER), ends="at")
 
 
 @query("stream_context")
 def stream_context(spark, sf):
-    df = frames.table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return streamed(spark, df, lambda s: streams.stream_context(s, "conv_id", "turn")).select("conv_id", "turn", F.size("context").alias("n"))
+    df = frames.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.expr("timestamp_seconds(1000000000 + turn)").alias("ts"))
+    return streamed(spark, df, lambda s: streams.stream_context(s, "conv_id", "turn", ts="ts", delay=ANY_ORDER, ordered=True), ends="ts").select("conv_id", "turn", F.size("context").alias("n"))
 
 
 @query("debounced_stream")
 def debounced_stream(spark, sf):
     df = frames.activity(spark, sf).select("install_id", F.col("occurred_at").cast("timestamp").alias("ts"), F.col("kind").alias("text"))
-    return streamed(spark, df, lambda s: streams.debounced_stream(s, "install_id", gap_seconds=600))
+    return streamed(spark, df, lambda s: streams.debounced_stream(s, "install_id", gap_seconds=600, delay=ANY_ORDER, ordered=True), ends="ts")
 
 
 @query("late_policy", f"WITH {E.ACT} SELECT CASE WHEN occurred_at > occurred_at + to_hours((event_id % 40)::INTEGER) - INTERVAL 1 DAY THEN 'in time' ELSE 'late' END AS verdict, count(*) AS n FROM act GROUP BY 1")

@@ -1,7 +1,8 @@
 """Streams (T1-T10). Each takes a streaming DataFrame and returns one, or starts a query.
 
-State is bounded everywhere: watermarks drop old keys, and the custom states keep at most a
-limiter's stamps or a conversation's last twelve lines.
+State is bounded: watermarks drop old keys, and the custom states keep at most a limiter's stamps or a conversation's last twelve
+lines. Where ``ordered`` is asked for, they also hold the rows that the watermark has not passed yet, so that rows are taken in event
+order whatever order they arrive in; a key's waiting rows are one row of state.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,37 @@ def in_order(batches: Iterator[pd.DataFrame], order: str | list[str]) -> pd.Data
     return pd.concat(frames).sort_values(order, kind="stable") if frames else None
 
 
+#: Rows of a key that are handed on at once.
+ROWS_AT_ONCE = 10_000
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def passed(waiting: bytes | None, batches: Iterator[pd.DataFrame], order: list[str], watermark_ms: int) -> tuple[pd.DataFrame | None, pd.DataFrame | None]:
+    """A key's rows in event order: those the watermark has passed, after which no other can arrive, and those that go on waiting."""
+    held = [pa.ipc.open_stream(bytes(waiting)).read_all().to_pandas()] if waiting else []
+    frames = held + [b for b in batches if len(b)]
+    if not frames:
+        return None, None
+    rows = pd.concat(frames, ignore_index=True).sort_values(["_at", *order], kind="stable")
+    done = rows["_at"] <= watermark_ms * 1000
+    return (rows[done] if done.any() else None), (None if done.all() else rows[~done])
+
+
+def in_event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """The stream with its watermark, and ``_at``: the event time in microseconds, whatever the session's time zone."""
+    return stream.withWatermark(ts, delay).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+
+
+def wake(state: GroupState, at: int) -> None:
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
 def stream_moderate(stream: DataFrame, text: str = "text", sensitivity: str = "balanced", scorer=lexical_scorer, typos: dict[str, str] | None = None) -> DataFrame:
     """The batch verdict on every arriving message; stateless."""
     return moderate(stream, text, scorer, typos=typos).withColumn("held", F.expr(held(sensitivity)))
@@ -57,9 +90,13 @@ def cover_once(stream: DataFrame, key: str, ts: str = "ts", delay: str = "1 day"
     return once(stream, [key], ts, delay)
 
 
-def rate_limit(stream: DataFrame, key: str, at: str, tie: str, per_minute: int = PER_MINUTE, per_day: int = PER_DAY) -> DataFrame:
+def rate_limit(stream: DataFrame, key: str, at: str, tie: str, per_minute: int = PER_MINUTE, per_day: int = PER_DAY,
+               ordered: bool = False, delay: str = "1 day") -> DataFrame:
     """T4: the quota over a stream. ``at`` is in microseconds, and requests are taken in event order
-    within a micro-batch. The state is the limiter's stamps and the day's count."""
+    within a micro-batch. The state is the limiter's stamps and the day's count.
+
+    With ``ordered``, requests wait until the watermark passes them and are taken in event order over all micro-batches.
+    """
     columns = [f.name for f in stream.schema.fields]
     schema = stream.schema.simpleString()[len("struct<"):-1] + ",granted:boolean"
 
@@ -71,6 +108,21 @@ def rate_limit(stream: DataFrame, key: str, at: str, tie: str, per_minute: int =
             yield batch[columns].assign(granted=[quota.request(int(t)) for t in batch[at]])
         state.update((list(quota.stamps), quota.day, quota.used))
 
+    def decide_in_order(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stamps, day, used, waiting = state.get if state.exists else ([], -1, 0, None)
+        quota = Quota(per_minute, per_day, stamps, day, used)
+        done, rest = passed(waiting, iter(()) if state.hasTimedOut else batches, [tie], state.getCurrentWatermarkMs())
+        for k in range(0, 0 if done is None else len(done), ROWS_AT_ONCE):
+            part = done[k:k + ROWS_AT_ONCE]
+            yield part[columns].assign(granted=[quota.request(int(t)) for t in part[at]])
+        state.update((list(quota.stamps), quota.day, quota.used, None if rest is None else packed(rest)))
+        if rest is not None:
+            wake(state, int(rest["_at"].iloc[0]) // 1000)
+
+    if ordered:
+        timed = in_event_time(stream.withColumn("_ts", F.timestamp_micros(at)), "_ts", delay)
+        return timed.groupBy(key).applyInPandasWithState(
+            decide_in_order, schema, "stamps array<bigint>, day bigint, used bigint, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     return stream.groupBy(key).applyInPandasWithState(
         decide, schema, "stamps array<bigint>, day bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
 
@@ -114,12 +166,18 @@ def late_policy(stream: DataFrame, ts: str = "occurred_at", received: str = "rec
     return stream.filter(in_time), stream.filter(~in_time)
 
 
-def stream_context(stream: DataFrame, key: str, order: str, text: str = "text", n: int = 12, ts: str | None = None, delay: str = "1 day") -> DataFrame:
+def stream_context(stream: DataFrame, key: str, order: str, text: str = "text", n: int = 12, ts: str | None = None, delay: str = "1 day",
+                   ordered: bool = False) -> DataFrame:
     """Every message with the last twelve lines of its conversation before it.
 
     Within a micro-batch lines are taken by ``order``, from one micro-batch to the next as they arrive. With an event
     time ``ts``, a conversation over which the watermark has passed by 30 days is forgotten; without, each key keeps n lines for good.
+
+    With ``ordered`` (and ``ts``), messages wait until the watermark passes them and are taken by event time, then ``order``, over all
+    micro-batches; what is more than ``delay`` late is dropped.
     """
+    if ordered and not ts:
+        raise ValueError("an order over micro-batches needs an event time")
     columns = [f.name for f in stream.schema.fields]
     schema = stream.schema.simpleString()[len("struct<"):-1] + ",context:array<string>"
 
@@ -139,15 +197,37 @@ def stream_context(stream: DataFrame, key: str, order: str, text: str = "text",
         if ts:
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + FORGET_MS)
 
+    def remember_in_order(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lines, waiting = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        if state.hasTimedOut and not waiting:
+            state.remove()
+            return
+        done, rest = passed(waiting, iter(()) if state.hasTimedOut else batches, [order] if isinstance(order, str) else order, state.getCurrentWatermarkMs())
+        for k in range(0, 0 if done is None else len(done), ROWS_AT_ONCE):
+            part, contexts = done[k:k + ROWS_AT_ONCE], []
+            for line in part[text]:
+                contexts.append(list(lines))
+                lines = [*lines, line][-n:]
+            yield part[columns].assign(context=contexts)
+        state.update((lines, None if rest is None else packed(rest)))
+        wake(state, state.getCurrentWatermarkMs() + FORGET_MS if rest is None else int(rest["_at"].iloc[0]) // 1000)
+
+    if ordered:
+        return in_event_time(stream, ts, delay).groupBy(key).applyInPandasWithState(
+            remember_in_order, schema, "lines array<string>, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     watched, timeout = (stream.withWatermark(ts, delay), GroupStateTimeout.EventTimeTimeout) if ts else (stream, GroupStateTimeout.NoTimeout)
     return watched.groupBy(key).applyInPandasWithState(remember, schema, "lines array<string>", "append", timeout)
 
 
 def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "text", gap_seconds: float = 0.75,
-                     delay: str = "10 seconds") -> DataFrame:
+                     delay: str = "10 seconds", ordered: bool = False) -> DataFrame:
     """A draft comes out once no newer edit of its key followed within the gap.
 
-    Edits waiting in state are at most one per key; event time wakes them up.
+    Edits waiting in state are at most one per key; event time wakes them up. An edit that arrives after a newer one never replaces it;
+    it comes out by itself if the newer one is no sooner than the gap.
+
+    With ``ordered``, all edits wait until the watermark has passed them by the gap, so the drafts are those of the whole key in event
+    order (of edits at one moment, the last text); what is more than ``delay`` late is dropped.
     """
     gap = int(gap_seconds * 1000)
     key_type = stream.schema[key].dataType.simpleString()
@@ -160,18 +240,47 @@ def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "t
             yield pd.DataFrame({key: [k[0]], "at_ms": [at], text: [draft]})
             return
         pending = state.get if state.exists else None
-        out, batch = [], in_order(batches, ts)
+        out, late, batch = [], None, in_order(batches, ts)
         if batch is not None:
             for at, draft in zip(batch[ts].astype("datetime64[ms]").astype("int64"), batch[text]):
+                if pending and at < pending[0]:
+                    if late and at - late[0] >= gap:
+                        out.append((k[0], *late))
+                    late = (int(at), draft)
+                    continue
+                if late and pending[0] - late[0] >= gap:
+                    out.append((k[0], *late))
+                late = None
                 if pending and at - pending[0] >= gap:
                     out.append((k[0], *pending))
                 pending = (int(at), draft)
+            if late and pending[0] - late[0] >= gap:
+                out.append((k[0], *late))
         if pending is None:
             return
         state.update(pending)
         state.setTimeoutTimestamp(max(pending[0] + gap, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at_ms", text])
 
+    def settle_in_order(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        waiting = state.get[0] if state.exists else None
+        # An edit's fate is known when the watermark has passed it by the gap; then all its followers within the gap are here.
+        done, rest = passed(waiting, iter(()) if state.hasTimedOut else batches, [text], watermark - gap)
+        if done is not None:
+            follower = [*done["_at"][1:], int(rest["_at"].iloc[0]) if rest is not None else None]
+            out = [(k[0], int(at) // 1000, draft) for at, draft, then in zip(done["_at"], done[text], follower) if then is None or then - at >= gap * 1000]
+            yield pd.DataFrame(out, columns=[key, "at_ms", text])
+        if rest is None:
+            state.remove()
+        else:
+            state.update((packed(rest),))
+            wake(state, int(rest["_at"].iloc[0]) // 1000 + gap)
+
+    out_schema = f"{key} {key_type}, at_ms bigint, {text} string"
+    if ordered:
+        return in_event_time(stream.select(key, ts, text), ts, delay).groupBy(key).applyInPandasWithState(
+            settle_in_order, out_schema, "waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     return watched.groupBy(key).applyInPandasWithState(
-        settle, f"{key} {key_type}, at_ms bigint, {text} string", "at_ms bigint, draft string", "append",
+        settle, out_schema, "at_ms bigint, draft string", "append",
         GroupStateTimeout.EventTimeTimeout)
