@@ -112,8 +112,9 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[P
                 elif f == w:
                     n, pattern = have // 2, ((w, 2),)
                 else:
-                    # An exact complement and a lonely partner stay so for each further w; else look anew after one.
-                    n, pattern = (min(have, left.counts[f]) if f == r or sum(small[:2]) > r else 1), ((w, 1), (f, 1))
+                    # What is sure of one w stays so for each further one while w and f last: with fewer pieces left, f is still the largest
+                    # that fits, no three fit and no pair is longer.
+                    n, pattern = min(have, left.counts[f]), ((w, 1), (f, 1))
                 for s, k in pattern:
                     left.take(s, k * n)
                 fixed.append((pattern, n))
