@@ -33,11 +33,16 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 DIGITS = b"0123456789"
-#: A span that the tagger adds has so many characters, and so many digits or (an address) an @, or "at" and a dot.
+#: A span that the tagger adds has so many characters, and so many digits or (an address) an @, or "at" and a dot, or (an ip) groups of hex digits.
 LEAST_CHARS, LEAST_DIGITS = 7, 4
-AT = re.compile(r"@|\bat\b.*(?:\bdot\b|\.[a-z])", re.DOTALL)
-#: What every such span holds at least one of: a digit, an @, the end of an address in words.
-SIGN = re.compile(r"[0-9@]|\bdot\b|\.[a-z]")
+AT = re.compile(r"@|\bat\b.*(?:\bdot\b|\.[a-z])", re.DOTALL | re.IGNORECASE)
+#: Hex groups between colons, some left out or at least four.
+GROUPS = re.compile(r"(?<![0-9a-z])(?:(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*|(?:[0-9a-f]{1,4}:){3,}[0-9a-f]{1,4})(?![0-9a-z])", re.IGNORECASE)
+#: What every such span holds at least one of: a digit, an @, the end of an address in words, two colons of an ip.
+SIGN = re.compile(r"[0-9@]|\bdot\b|\.[a-z]|:[0-9a-f]{0,4}:", re.IGNORECASE)
+#: An address in words with capitals, which the tagger has not been trained on: its text is read once more in small letters.
+LOUD = re.compile(r"\b(?:AT|At|aT)\b.{0,80}?(?:\b(?i:dot)\b|\.[A-Za-z])|\bat\b.{0,80}?(?:\b(?:DOT|Dot)\b|\.[A-Z])", re.DOTALL)
+SMALL = {k: k + 32 for k in range(65, 91)}
 Span = tuple[str, int, int]
 
 
@@ -329,6 +334,24 @@ def window_starts(text: str, every: bool) -> list[int]:
 
 def tagged(texts: list[str], model: dict[str, np.ndarray], every: bool = False) -> list[list[Span]]:
     """The tagger's spans in each text; ``every`` reads also the windows that cannot matter."""
+    found = tagged_as_written(texts, model, every)
+    loud = [k for k, t in enumerate(texts) if LOUD.search(t)]
+    for k, more in zip(loud, tagged_as_written([texts[k].translate(SMALL) for k in loud], model, every) if loud else (), strict=True):
+        new = [s for s in more if s[0] == "email" and not any(s[1] < b and a < s[2] for _, a, b in found[k])]
+        found[k] = sorted(found[k] + new, key=lambda s: s[1])
+    return found
+
+
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span of an ip in hex groups, grown to the groups it touches; one of at most 39 characters."""
+    low = max(0, a - 40)
+    for m in GROUPS.finditer(text[low:b + 40]):
+        if low + m.start() < b and a < low + m.end():
+            a, b = min(a, low + m.start()), max(b, low + m.end())
+    return a, b
+
+
+def tagged_as_written(texts: list[str], model: dict[str, np.ndarray], every: bool) -> list[list[Span]]:
     found: list[list[Span]] = [[] for _ in texts]
     places = [(k, a) for k, t in enumerate(texts) for a in window_starts(t, every)]
     coded: dict[int, np.ndarray] = {}
@@ -360,14 +383,25 @@ def tagged(texts: list[str], model: dict[str, np.ndarray], every: bool = False)
                 kind, piece = KINDS[whole[a] - 1], texts[k][a:b]
                 a, b = a + len(piece) - len(piece.lstrip(" \t\n.,;:")), b - (len(piece) - len(piece.rstrip(" \t\n.,;:")))
                 piece = texts[k][a:b]
-                if len(piece) >= LEAST_CHARS and (sum(c in "0123456789" for c in piece) >= LEAST_DIGITS or kind == "email" and AT.search(piece)):
+                if kind == "ip":
+                    a, b = whole_address(texts[k], a, b)
+                    piece = texts[k][a:b]
+                sign = sum(c in "0123456789" for c in piece) >= LEAST_DIGITS or kind == "email" and AT.search(piece) or kind == "ip" and GROUPS.search(piece)
+                if len(piece) >= LEAST_CHARS and sign and (kind, a, b) not in found[k][-1:]:
                     found[k].append((kind, a, b))
     return found
 
 
 def all_spans(base: list[Span], more: list[Span]) -> list[Span]:
-    """The base spans and the tagger's that touch none of them, by kind, then start."""
-    kept = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    """The base spans and the tagger's that are not within their union, by kind, then start; a base span stays beside a tagger's that reaches
+    beyond it."""
+    covered: list[list[int]] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    kept = [s for s in more if not any(a <= s[1] and s[2] <= b for a, b in covered)]
     return sorted(base + kept, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
