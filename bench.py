@@ -21,7 +21,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("textguard-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-             .config("spark.driver.memory", "10g").config("spark.sql.files.maxPartitionBytes", "2m).config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "10g").config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from textguard.queries import QUERIES
 
