@@ -91,8 +91,8 @@ def latency_percentiles(df: DataFrame, by: str, value: str = "latency_ms", media
     not listed, and the bins' edges are approximate quantiles of each scorer, so no bin holds much
     more than its share of the rest.
     """
-    inner = [k / bins for k in range(1, bins)]
-    edges = df.groupBy(by).agg((F.percentile_approx(value, inner) if inner else F.array().cast("array<double>")).alias("_edges"))
+    bins = max(bins, 2)  # one bin has no edge to tell it by
+    edges = df.groupBy(by).agg(F.percentile_approx(value, [k / bins for k in range(1, bins)]).alias("_edges"))
     counted = same_key(df.groupBy(by, value).agg(F.count("*").alias("n")), edges, [by])
     counted = counted.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
     totals = counted.groupBy(by, "bin").agg(F.sum("n").alias("bin_n"))
