@@ -10,7 +10,7 @@ from textguard.llm import bbit_minhash, packing, permutation_index, pii_tagger,
 
 DATA = "/root/testdata/sf0.001"
 OPERATORS = ["op1_bbit_minhash", "op2_permutation_index", "op3_context_coder", "op4_best_fit_packing", "op5_scaled_sketch", "op6_backoff_lm", "op7_license_rules", "op8_pii_tagger", "op9_bpe",
-             "op10_weak_quality", "pipeline"]
+             "op10_weak_quality", "op11_centroid_matrix", "op12_count_bitmaps", "op13_entropy_secrets", "pipeline"]
 
 
 def exact(ids, vectors, query, k=5):
@@ -70,7 +70,9 @@ def test_query_runs_over_the_whole_table(spark, name):
     if name in ("op2_permutation_index",):
         n = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").count()
         assert len(got) == 5 * n
-    elif name not in ("op4_best_fit_packing", "pipeline"):
+    elif name == "op11_centroid_matrix":
+        assert sorted(r["vec_id"] for r in got) == [r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").orderBy("vec_id").collect()]
+    elif name not in ("op4_best_fit_packing", "op12_count_bitmaps", "pipeline"):
         assert sorted(r["doc_id"] for r in got) == [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").orderBy("doc_id").collect()]
 
 

@@ -54,8 +54,8 @@ ANY_RUN = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 BEFORE = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|crc32|etag|commit|revision|checksum|integrity|fingerprint|digest|uuid|guid|base64)[\s\"'=:,(-]{1,4}$", re.IGNORECASE)
 UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PLACEHOLDER = re.compile("example|sample|placeholder|changeme|dummy|your|redacted|xxxx|0000000|1234567|abcdefg|lorem|deadbeef", re.IGNORECASE)
-WORD = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{4,}(?![a-z])")
-VOWEL = re.compile("[aeiouyAEIOUY]")
+WORD = re.compile("[A-Z]?[a-z]{3,}|[A-Z]{6,}(?![a-z])")
+VOWEL, CLUSTER = re.compile("[aeiouy]", re.IGNORECASE), re.compile("[b-df-hj-np-tv-xz]{4}", re.IGNORECASE)
 
 #: c * log2(c) of each count in a window, in units of 2^-32, so that sums are exact however they are brought up to date.
 UNIT = 1 << 32
@@ -96,8 +96,8 @@ def neighbours(found: str) -> float:
 
 
 def wordy(found: str) -> float:
-    """The share of characters in runs of letters that read as words: three or more of one case, with a vowel."""
-    return sum(len(w) for w in WORD.findall(found) if VOWEL.search(w)) / len(found)
+    """The share of characters in runs of letters that read as words: long ones, with a vowel, without four consonants in a row."""
+    return sum(len(w) for w in WORD.findall(found) if VOWEL.search(w) and not CLUSTER.search(w)) / len(found)
 
 
 def allowed(text: str, a: int, b: int) -> bool:
