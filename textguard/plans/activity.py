@@ -123,12 +123,22 @@ def transition_filter(df: DataFrame, key: str, ts: str, value: str, tie: str, ch
     return seen.filter(f"size(_prev) = 0 OR NOT (get(_prev, 0) <=> {value})").drop("_t", "_prev")
 
 
-def debounce(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, chunk: int = HOUR) -> DataFrame:
-    """Rows with no newer edit of their key within the gap."""
+#: A draft whose last word is complete: white space or punctuation follows it.
+WORD_ENDED = r"[\p{P}\p{Z}\s]\z"
+
+
+def debounce(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, chunk: int = HOUR, text: str | None = None,
+             short_gap_seconds: float | None = None) -> DataFrame:
+    """Rows with no newer edit of their key within the gap.
+
+    With ``short_gap_seconds``, a ``text`` whose last word is complete settles after that time already.
+    """
     back = df.withColumns({"_t": micros(ts), "_neg": -micros(ts), "_tie": -F.col(tie)})
     seen = lookback(back, key, "_neg", 1, "_t", "_next", chunk, "_tie")
-    quiet = f"size(_next) = 0 OR get(_next, 0) - _t >= {int(gap_seconds * SECOND)}"
-    return seen.filter(quiet).drop("_t", "_neg", "_tie", "_next")
+    gap = str(round(gap_seconds * SECOND))
+    if short_gap_seconds is not None:
+        gap = f"if(coalesce({text} RLIKE r'{WORD_ENDED}', false), {round(short_gap_seconds * SECOND)}, {gap})"
+    return seen.filter(f"size(_next) = 0 OR get(_next, 0) - _t >= {gap}").drop("_t", "_neg", "_tie", "_next")
 
 
 def running_quota(df: DataFrame, key: str, ts: str, tie: str, per_minute: int = 12, per_day: int = 480) -> DataFrame:

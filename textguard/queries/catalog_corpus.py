@@ -211,6 +211,31 @@ def streamed(spark: SparkSession, df: DataFrame, build, mode: str = "append", en
     return spark.read.parquet(sink)
 
 
+def replayed(spark: SparkSession, df: DataFrame, ts: str, build, slices: int = 3, mode: str = "append") -> DataFrame:
+    """A batch frame streamed as it came about: slices of event time arrive one after the other, each as unordered files.
+
+    The stream is started anew for each slice and goes on from its checkpoint. A last row far ahead, without any other value, then passes
+    the watermark over all the rest.
+    """
+    staged, source, sink, state = (frames.folder(spark, n) for n in ("staged", "in", "out", "state"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    edges = df.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)])).first()[0] or []
+    df.withColumn("_slice", sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0))).write.partitionBy("_slice").parquet(staged)
+    last = [F.expr("timestamp'2200-01-01'").cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType) for f in df.schema]
+    ahead = spark.range(1).select(*[c.alias(f.name) for c, f in zip(last, df.schema)])
+    parts = spark.read.schema(f"{schema_text(df)}, _slice int").parquet(staged)
+    for part in [*[parts.where(F.col("_slice") == k).drop("_slice") for k in range(len(edges) + 1)], ahead]:
+        part.write.mode("append").parquet(source)
+        stream = readers.message_stream(spark, source, df.schema, files_per_trigger=100_000)
+        (build(stream).writeStream.outputMode(mode).format("parquet").option("path", sink)
+         .option("checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def schema_text(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 @query("stream_moderate", f"WITH {O.MESSAGES}, {O.local_ctes('msg')} SELECT msg_id, round(score, 6) AS score, {O.held('balanced')} AS held FROM local")
 def stream_moderate(spark, sf):
     out = streamed(spark, frames.messages(spark, sf).select("msg_id", "ts", "text"), lambda s: streams.stream_moderate(s).select("msg_id", "score", "held"))
@@ -257,16 +282,23 @@ def stream_rate_limit(spark, sf):
     return streamed(spark, df, lambda s: streams.rate_limit(s, "kind", "at", "event_id", 2, 40, ordered=True, delay=ANY_ORDER), ends="at")
 
 
-@query("stream_context")
+@query("stream_context", """SELECT conv_id, turn, len(c) AS n, md5(array_to_string(c, '|')) AS context FROM (SELECT conv_id, turn,
+    coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), []) AS c FROM conversations)""")
 def stream_context(spark, sf):
-    df = frames.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.expr("timestamp_seconds(1000000000 + turn)").alias("ts"))
-    return streamed(spark, df, lambda s: streams.stream_context(s, "conv_id", "turn", ts="ts", delay=ANY_ORDER, ordered=True), ends="ts").select("conv_id", "turn", F.size("context").alias("n"))
+    """A conversation's turns follow each other by a minute, and conversations start ten minutes apart."""
+    df = frames.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.expr(f"timestamp_seconds(unix_seconds(timestamp'{frames.DAY} 00:00:00') + conv_id * 600 + turn * 60)").alias("ts"))
+    out = replayed(spark, df, "ts", lambda s: streams.stream_context(s, "conv_id", "turn", ts="ts", delay="1 hour", width="1 hour", ordered=True))
+    return out.select("conv_id", "turn", F.size("context").cast("bigint").alias("n"), F.md5(F.array_join("context", "|")).alias("context"))
 
 
-@query("debounced_stream")
+@query("debounced_stream", f"""WITH {E.ACT}, l AS (SELECT *, lead(occurred_at) OVER (PARTITION BY install_id ORDER BY occurred_at, event_id) AS nx FROM act)
+SELECT event_id, install_id, kind FROM l WHERE nx IS NULL OR nx - occurred_at >= CASE WHEN kind = 'covered' THEN INTERVAL 60 SECOND ELSE INTERVAL 600 SECOND END""")
 def debounced_stream(spark, sf):
-    df = frames.activity(spark, sf).select("install_id", F.col("occurred_at").cast("timestamp").alias("ts"), F.col("kind").alias("text"))
-    return streamed(spark, df, lambda s: streams.debounced_stream(s, "install_id", gap_seconds=600, delay=ANY_ORDER, ordered=True), ends="ts")
+    """Drafts are the kinds of events; one that ends in a full stop ('covered.') has the short gap."""
+    df = frames.activity(spark, sf).select("event_id", "install_id", F.col("occurred_at").cast("timestamp").alias("ts"), F.expr("if(kind = 'covered', 'covered.', kind)").alias("text"))
+    out = replayed(spark, df, "ts", lambda s: streams.debounced_stream(
+        s, "install_id", gap_seconds=600, short_gap_seconds=60, delay="1 hour", width="1 day", ordered=True, tie=["event_id"]))
+    return out.select("event_id", "install_id", F.expr("rtrim('.', text)").alias("kind"))
 
 
 @query("late_policy", f"WITH {E.ACT} SELECT CASE WHEN occurred_at > occurred_at + to_hours((event_id % 40)::INTEGER) - INTERVAL 1 DAY THEN 'in time' ELSE 'late' END AS verdict, count(*) AS n FROM act GROUP BY 1")

@@ -1,8 +1,8 @@
 """Streams (T1-T10). Each takes a streaming DataFrame and returns one, or starts a query.
 
 State is bounded: watermarks drop old keys, and the custom states keep at most a limiter's stamps or a conversation's last twelve
-lines. Where ``ordered`` is asked for, they also hold the rows that the watermark has not passed yet, so that rows are taken in event
-order whatever order they arrive in; a key's waiting rows are one row of state.
+lines. Where ``ordered`` is asked for, rows wait until the watermark has passed them, so that they are taken in event order whatever
+order they arrive in (:mod:`textguard.streaming.ordered`; in ``rate_limit`` a key's waiting rows are one row of state).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from textguard.operators.normalize import normalize
 from textguard.operators.policy import held
 from textguard.plans.quota import PER_DAY, PER_MINUTE, Quota
 from textguard.sources.sinks import sink_daily_stats
+from textguard.streaming import ordered as in_order_of_time
 
 
 # Tasks get these functions by value, so executors need no installed copy of the package.
@@ -167,14 +168,14 @@ def late_policy(stream: DataFrame, ts: str = "occurred_at", received: str = "rec
 
 
 def stream_context(stream: DataFrame, key: str, order: str, text: str = "text", n: int = 12, ts: str | None = None, delay: str = "1 day",
-                   ordered: bool = False) -> DataFrame:
+                   ordered: bool = False, width: str | None = None) -> DataFrame:
     """Every message with the last twelve lines of its conversation before it.
 
     Within a micro-batch lines are taken by ``order``, from one micro-batch to the next as they arrive. With an event
     time ``ts``, a conversation over which the watermark has passed by 30 days is forgotten; without, each key keeps n lines for good.
 
     With ``ordered`` (and ``ts``), messages wait until the watermark passes them and are taken by event time, then ``order``, over all
-    micro-batches; what is more than ``delay`` late is dropped.
+    micro-batches; what is more than ``delay`` late is dropped. ``width`` is how much event time comes out at once.
     """
     if ordered and not ts:
         raise ValueError("an order over micro-batches needs an event time")
@@ -197,38 +198,30 @@ def stream_context(stream: DataFrame, key: str, order: str, text: str = "text",
         if ts:
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + FORGET_MS)
 
-    def remember_in_order(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lines, waiting = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        if state.hasTimedOut and not waiting:
-            state.remove()
-            return
-        done, rest = passed(waiting, iter(()) if state.hasTimedOut else batches, [order] if isinstance(order, str) else order, state.getCurrentWatermarkMs())
-        for k in range(0, 0 if done is None else len(done), ROWS_AT_ONCE):
-            part, contexts = done[k:k + ROWS_AT_ONCE], []
-            for line in part[text]:
-                contexts.append(list(lines))
-                lines = [*lines, line][-n:]
-            yield part[columns].assign(context=contexts)
-        state.update((lines, None if rest is None else packed(rest)))
-        wake(state, state.getCurrentWatermarkMs() + FORGET_MS if rest is None else int(rest["_at"].iloc[0]) // 1000)
-
     if ordered:
-        return in_event_time(stream, ts, delay).groupBy(key).applyInPandasWithState(
-            remember_in_order, schema, "lines array<string>, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+        return in_order_of_time.context(stream, key, [order] if isinstance(order, str) else order, text, n, ts, delay, width)
     watched, timeout = (stream.withWatermark(ts, delay), GroupStateTimeout.EventTimeTimeout) if ts else (stream, GroupStateTimeout.NoTimeout)
     return watched.groupBy(key).applyInPandasWithState(remember, schema, "lines array<string>", "append", timeout)
 
 
 def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "text", gap_seconds: float = 0.75,
-                     delay: str = "10 seconds", ordered: bool = False) -> DataFrame:
+                     delay: str = "10 seconds", ordered: bool = False, tie: list[str] | None = None, width: str | None = None,
+                     short_gap_seconds: float | None = None) -> DataFrame:
     """A draft comes out once no newer edit of its key followed within the gap.
 
     Edits waiting in state are at most one per key; event time wakes them up. An edit that arrives after a newer one never replaces it;
     it comes out by itself if the newer one is no sooner than the gap.
 
     With ``ordered``, all edits wait until the watermark has passed them by the gap, so the drafts are those of the whole key in event
-    order (of edits at one moment, the last text); what is more than ``delay`` late is dropped.
+    order (of edits at one moment, the last by ``tie``, or else by text); what is more than ``delay`` late is dropped. ``short_gap_seconds`` is
+    the gap of a draft whose last word is complete. ``tie`` columns come out beside the draft.
     """
+    if ordered:
+        tie = tie or []
+        found = in_order_of_time.settled(stream.select(key, ts, text, *tie), key, tie or [text], text, gap_seconds, ts, delay, short_gap_seconds, width)
+        return found.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("at_ms"), text, *tie)
+    if tie or short_gap_seconds is not None:
+        raise ValueError("ties and the short gap need ordered=True")
     gap = int(gap_seconds * 1000)
     key_type = stream.schema[key].dataType.simpleString()
     watched = stream.withWatermark(ts, delay)
@@ -262,25 +255,7 @@ def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "t
         state.setTimeoutTimestamp(max(pending[0] + gap, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at_ms", text])
 
-    def settle_in_order(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        watermark = state.getCurrentWatermarkMs()
-        waiting = state.get[0] if state.exists else None
-        # An edit's fate is known when the watermark has passed it by the gap; then all its followers within the gap are here.
-        done, rest = passed(waiting, iter(()) if state.hasTimedOut else batches, [text], watermark - gap)
-        if done is not None:
-            follower = [*done["_at"][1:], int(rest["_at"].iloc[0]) if rest is not None else None]
-            out = [(k[0], int(at) // 1000, draft) for at, draft, then in zip(done["_at"], done[text], follower) if then is None or then - at >= gap * 1000]
-            yield pd.DataFrame(out, columns=[key, "at_ms", text])
-        if rest is None:
-            state.remove()
-        else:
-            state.update((packed(rest),))
-            wake(state, int(rest["_at"].iloc[0]) // 1000 + gap)
-
     out_schema = f"{key} {key_type}, at_ms bigint, {text} string"
-    if ordered:
-        return in_event_time(stream.select(key, ts, text), ts, delay).groupBy(key).applyInPandasWithState(
-            settle_in_order, out_schema, "waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     return watched.groupBy(key).applyInPandasWithState(
         settle, out_schema, "at_ms bigint, draft string", "append",
         GroupStateTimeout.EventTimeTimeout)
