@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.operators import cascade, normalize
-from textguard.plans import corpus, evaluate, rollups
+from textguard.plans import corpus, evaluate, rollups, traces
 from textguard.queries import catalog_events as E
 from textguard.queries import catalog_text as X
 from textguard.queries import frames
@@ -211,25 +211,35 @@ def streamed(spark: SparkSession, df: DataFrame, build, mode: str = "append", en
     return spark.read.parquet(sink)
 
 
-def replayed(spark: SparkSession, df: DataFrame, ts: str, build, slices: int = 3, mode: str = "append") -> DataFrame:
-    """A batch frame streamed as it came about: slices of event time arrive one after the other, each as unordered files.
+def replayed(spark: SparkSession, df: DataFrame | list[DataFrame], ts: str, build, slices: int = 3, mode: str = "append", write=None, ahead: dict[str, str] | None = None) -> DataFrame:
+    """Batch frames streamed as they came about: slices of event time arrive one after the other, each as unordered files.
 
-    The stream is started anew for each slice and goes on from its checkpoint. A last row far ahead, without any other value, then passes
-    the watermark over all the rest.
+    The stream is started anew for each slice and goes on from its checkpoint. A last row far ahead, without other values than those
+    of ``ahead``, then passes the watermark over all the rest. (A join's key needs a value there: rows without one are
+    dropped before the watermark sees them.) ``build`` makes the result of the streams; ``write`` may start it otherwise than into a table.
     """
-    staged, source, sink, state = (frames.folder(spark, n) for n in ("staged", "in", "out", "state"))
+    dfs = df if isinstance(df, list) else [df]
+    sink, state = (frames.folder(spark, n) for n in ("out", "state"))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    edges = df.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)])).first()[0] or []
-    df.withColumn("_slice", sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0))).write.partitionBy("_slice").parquet(staged)
-    last = [F.expr("timestamp'2200-01-01'").cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType) for f in df.schema]
-    ahead = spark.range(1).select(*[c.alias(f.name) for c, f in zip(last, df.schema)])
-    parts = spark.read.schema(f"{schema_text(df)}, _slice int").parquet(staged)
-    for part in [*[parts.where(F.col("_slice") == k).drop("_slice") for k in range(len(edges) + 1)], ahead]:
-        part.write.mode("append").parquet(source)
-        stream = readers.message_stream(spark, source, df.schema, files_per_trigger=100_000)
-        (build(stream).writeStream.outputMode(mode).format("parquet").option("path", sink)
-         .option("checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
-    return spark.read.parquet(sink)
+    feeds = []
+    edges = dfs[0].agg(F.percentile_approx(at, [k / slices for k in range(1, slices)])).first()[0] or []
+    for one in dfs:
+        staged, source = frames.folder(spark, "staged"), frames.folder(spark, "in")
+        one.withColumn("_slice", sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0))).write.partitionBy("_slice").parquet(staged)
+        far = {ts: F.expr("timestamp'2200-01-01'"), **{c: F.lit(v) for c, v in (ahead or {}).items()}}
+        end = spark.range(1).select(*[far.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in one.schema])
+        parts = spark.read.schema(f"{schema_text(one)}, _slice int").parquet(staged)
+        feeds.append((source, one.schema, [*[parts.where(F.col("_slice") == k).drop("_slice") for k in range(len(edges) + 1)], end]))
+
+    def into_table(out: DataFrame):
+        return out.writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    for step in range(len(edges) + 2):
+        for source, _, parts in feeds:
+            parts[step].write.mode("append").parquet(source)
+        out = build(*[readers.message_stream(spark, source, schema, files_per_trigger=100_000) for source, schema, _ in feeds])
+        (write(out, sink, state) if write else into_table(out)).awaitTermination()
+    return sink if write else spark.read.parquet(sink)
 
 
 def schema_text(df: DataFrame) -> str:
@@ -259,21 +269,19 @@ def cover_once(spark, sf):
 s AS (SELECT *, sum(CASE WHEN p IS NULL OR occurred_at - p >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY install_id, kind ORDER BY occurred_at) AS g FROM l)
 SELECT install_id, kind, min(occurred_at) AS started, max(occurred_at) + INTERVAL 12 HOUR AS ended, count(*) AS edits FROM s GROUP BY install_id, kind, g""")
 def stream_sessions(spark, sf):
-    """The batch form: the same session window without a watermark, so the open sessions show too."""
-    df = frames.activity(spark, sf).withColumn("ts", F.col("occurred_at").cast("timestamp"))
-    return streams.stream_sessions(df, "install_id", "kind", gap="12 hours")
+    """Sessions as the stream closes them, slice by slice."""
+    df = frames.activity(spark, sf).select("install_id", "kind", F.col("occurred_at").cast("timestamp").alias("ts"))
+    return replayed(spark, df, "ts", lambda s: streams.stream_sessions(s, "install_id", "kind", gap="12 hours", delay="1 hour"))
 
 
-@query("stream_daily_rollup", f"""WITH {E.ACT} SELECT install_id, occurred_at::DATE AS day, count(*) FILTER (kind = 'caught') AS caught, count(*) FILTER (kind = 'rephrased') AS rewritten,
-    count(*) FILTER (kind = 'deleted') AS dropped, count(*) FILTER (kind = 'sent_anyway') AS sent_anyway, count(*) FILTER (kind = 'covered') AS covered FROM act GROUP BY 1, 2""")
+@query("stream_daily_rollup", f"WITH {E.ACT}, {E.TR}, {E.DAILY} SELECT install_id, day, {E.COLS}, updated_at FROM daily")
 def stream_daily_rollup(spark, sf):
-    """Events streamed into the daily table, which is upserted batch by batch."""
-    source, sink, state = (frames.folder(spark, n) for n in ("in", "out", "state"))
-    df = frames.activity(spark, sf).withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).select("install_id", "kind", "occurred_at")
-    df.write.parquet(source)
-    stream = readers.message_stream(spark, source, df.schema)
-    streams.push_daily_rollup(stream, sink, state, availableNow=True).awaitTermination()
-    return spark.read.parquet(sink).select("install_id", "day", *[c for c in rollups.COUNTERS[:5]])
+    """Events and traces streamed into the daily table, batch by batch; no row comes after the last, as counters are in update mode."""
+    events = frames.activity(spark, sf).select("install_id", "kind", F.lit(None).cast("string").alias("tier"), F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    traces = frames.traces(spark, sf).select("install_id", F.lit(None).cast("string").alias("kind"), "tier", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    path = replayed(spark, events.unionByName(traces), "occurred_at", lambda s: s.where("install_id IS NOT NULL"),
+                    write=lambda out, sink, state: streams.push_daily_rollup(out, sink, state, availableNow=True))
+    return streams.daily_rollup_table(spark, path).select("install_id", "day", *rollups.COUNTERS, F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query("stream_rate_limit")
@@ -301,19 +309,49 @@ def debounced_stream(spark, sf):
     return out.select("event_id", "install_id", F.expr("rtrim('.', text)").alias("kind"))
 
 
-@query("late_policy", f"WITH {E.ACT} SELECT CASE WHEN occurred_at > occurred_at + to_hours((event_id % 40)::INTEGER) - INTERVAL 1 DAY THEN 'in time' ELSE 'late' END AS verdict, count(*) AS n FROM act GROUP BY 1")
-def late_policy(spark, sf):
-    df = frames.activity(spark, sf).withColumn("received_at", F.expr("occurred_at + make_interval(0, 0, 0, 0, event_id % 40, 0, 0)"))
-    on_time, late = streams.late_policy(df)
-    both = on_time.withColumn("verdict", F.lit("in time")).unionByName(late.withColumn("verdict", F.lit("late")))
-    return both.groupBy("verdict").agg(F.count("*").alias("n"))
+LATE = """late_in AS (SELECT event_id, ts::DATE AS day, ts + to_hours((event_id % 40)::INTEGER) AS received_at, ts AS occurred_at FROM events),
+daily_in AS (SELECT event_id, day, day + to_days((event_id % 5)::INTEGER) AS received_at FROM late_in)"""
 
 
+@query("late_policy", f"""WITH {LATE} SELECT 'events' AS rule, event_id, CASE WHEN occurred_at > received_at - INTERVAL 1 DAY THEN 'in time' ELSE 'late' END AS verdict FROM late_in
+UNION ALL SELECT 'daily', event_id, CASE WHEN day > received_at - INTERVAL 2 DAY THEN 'in time' ELSE 'late' END FROM daily_in""")
+def late_policy(spark, sf):
+    """Both rules over streams: events a day late, daily rows two; each row lands in one of two tables."""
+    df = frames.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("occurred_at"))
+    events = df.withColumn("received_at", F.expr("occurred_at + make_interval(0, 0, 0, 0, cast(event_id % 40 AS int), 0, 0)"))
+    daily = df.select("event_id", F.date_trunc("day", "occurred_at").alias("occurred_at")).withColumn("received_at", F.expr("occurred_at + make_interval(0, 0, 0, cast(event_id % 5 AS int))"))
+    out = []
+    for rule, rows, limit in (("events", events, "1 DAY"), ("daily", daily, "2 DAY")):
+        path = replayed(spark, rows, "occurred_at", lambda s: s.where("event_id IS NOT NULL"), slices=2, write=lambda o, sink, state, limit=limit: streams.push_late_split(
+            o, sink, state, limit=limit, received="received_at", availableNow=True))
+        for name, verdict in (("accepted", "in time"), ("quarantine", "late")):
+            out.append(spark.read.schema("event_id long").parquet(f"{path}/{name}").select(F.lit(rule).alias("rule"), "event_id", F.lit(verdict).alias("verdict")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("allow_ttl", f"""WITH {E.ACT} SELECT m.event_id, m.install_id FROM act m WHERE m.kind <> 'sent_anyway' AND NOT EXISTS (
-    SELECT 1 FROM act a WHERE a.kind = 'sent_anyway' AND a.install_id = m.install_id AND m.occurred_at >= a.occurred_at AND m.occurred_at <= a.occurred_at + INTERVAL 600 SECOND)""")
+    SELECT 1 FROM act a WHERE a.kind = 'sent_anyway' AND a.install_id = m.install_id AND m.occurred_at >= a.occurred_at AND m.occurred_at <= a.occurred_at + INTERVAL 12 HOUR)""")
 def allow_ttl(spark, sf):
-    """The batch form of the stream-stream join, so that the last messages are not held back."""
-    df = frames.activity(spark, sf).withColumn("ts", F.col("occurred_at").cast("timestamp"))
-    return streams.allow_ttl(df.filter("kind != 'sent_anyway'"), df.filter("kind = 'sent_anyway'"), "install_id").select("event_id", "install_id")
+    """Messages and allows as two streams. The events are sparse, so an allow lasts half a day here."""
+    df = frames.activity(spark, sf).select("event_id", "install_id", "kind", F.col("occurred_at").cast("timestamp").alias("ts"))
+    messages, allows = df.filter("kind != 'sent_anyway'").drop("kind"), df.filter("kind = 'sent_anyway'").select("install_id", "ts")
+    out = replayed(spark, [messages, allows], "ts", lambda m, a: streams.allow_ttl(m, a, "install_id", ttl="12 hours", delay="1 hour"), ahead={"install_id": "nobody"})
+    return out.where("event_id IS NOT NULL").select("event_id", "install_id")
+
+
+@query("stream_trace_hook", f"""WITH {E.TR} SELECT tier, count(*) AS n, round(sum(latency_ms), 3) AS latency_sum, round(avg(latency_ms), 6) AS latency_avg, count(*) FILTER (escalated) AS escalated,
+    round(count(*) / sum(count(*)) OVER (), 9) AS share FROM tr GROUP BY tier""")
+def stream_trace_hook(spark, sf):
+    """Traces streamed into their table; the telemetry is what the listener saw go by."""
+    df = frames.traces(spark, sf).select("event_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"), "day", "tier", "latency_ms", "escalated")
+    totals = traces.Totals()
+    spark.streams.addListener(totals)
+    try:
+        def write(out, sink, state):
+            return traces.stream_traces(out, sink, state, availableNow=True)
+
+        replayed(spark, df, "occurred_at", lambda s: s.where("event_id IS NOT NULL"), write=write)
+        totals.ended.wait(60)
+    finally:
+        spark.streams.removeListener(totals)
+    return traces.telemetry(spark, totals.sums).withColumns({"latency_sum": F.round("latency_sum", 3), "latency_avg": F.round("latency_avg", 6), "share": F.round("share", 9)})

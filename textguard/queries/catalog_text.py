@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from textguard.functions import text as T
 from textguard.operators import aim, cascade, context, normalize, phrases, policy, rules, tier0
+from textguard.operators import verdict_store as store
 from textguard.plans import activity as A
-from textguard.plans import evaluate
+from textguard.plans import evaluate, traces
 from textguard.queries import frames
 from textguard.queries import oracle_text as O
 from textguard.queries.registry import query
@@ -553,6 +554,38 @@ def cached_verdict(spark, sf):
     return cascade.cached_verdict(df, "text_key", "text", score_once, row_id="doc_id").select("doc_id", *rounded("model_score"))
 
 
+# W1's lines, as the store's key sees them.
+STORE_LINES = "array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), '|')"
+
+
+@query("verdict_store", f"""{MSG_NORM}, {O.L10}, lines AS (SELECT msg_id, role, text, coalesce({STORE_LINES}, '') AS lines FROM msg)
+SELECT msg_id, round(model_score, 6) AS model_score, EXISTS (SELECT 1 FROM lines b WHERE b.role = 'user' AND b.text = a.text AND b.lines = a.lines) AS from_store
+FROM lines a JOIN l10 ON l10.id = a.msg_id""")
+def verdict_store(spark, sf):
+    """A first run over the users' messages, a second one over all: what the first has scored is not scored again."""
+    path = frames.folder(spark, "verdicts")
+    df = store.with_key(context.context_window(frames.messages(spark, sf), order="seq")).select("msg_id", "role", "text", "verdict_key")
+
+    def score(rows: DataFrame) -> DataFrame:
+        return cascade.lexical_scorer(normalize.normalize(rows)).select("verdict_key", "model_score")
+
+    def run(rows: DataFrame, version: int) -> DataFrame:
+        return store.cached(rows, path, version, score, ["model_score"], "msg_id", keep=["text"])
+
+    run(df.filter("role = 'user'"), 1)
+    return run(df, 2).select("msg_id", *rounded("model_score"), "from_store")
+
+
+@query("trace_hook", f"""{MSG_LOCAL}, {REVIEW_SQL}, asked AS (SELECT rev.* FROM rev JOIN local USING (msg_id) WHERE {GATE}), {merge_sql('asked')}
+SELECT tier, count(*) AS n, sum(latency_ms) AS latency_sum, round(avg(latency_ms), 6) AS latency_avg, count(*) FILTER (reviewed AND tier = 'context') AS escalated,
+    round(count(*) / sum(count(*)) OVER (), 9) AS share FROM merged GROUP BY tier""")
+def trace_hook(spark, sf):
+    """Every message's trace written; the telemetry is what was observed on the way."""
+    routed = cascade.cascade_route(local(spark, sf).withColumn("latency_ms", F.lit(1.0)), reviews(spark, sf), "msg_id")
+    found = traces.write_traces(traces.trace_rows(routed, "msg_id", "ts"), frames.folder(spark, "traces"))
+    return found.withColumns({"latency_avg": F.round("latency_avg", 6), "share": F.round("share", 9)})
+
+
 # Fragments: the message, the message without labels, and its comma-separated parts.
 FRAGMENTS = rf"""
 whole AS (SELECT msg_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS whole FROM msg),

@@ -13,16 +13,17 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textguard.functions.arrays import same_key
 from textguard.operators.cascade import lexical_scorer, moderate
 from textguard.operators.normalize import normalize
 from textguard.operators.policy import held
 from textguard.plans.quota import PER_DAY, PER_MINUTE, Quota
-from textguard.sources.sinks import sink_daily_stats
+from textguard.sources.sinks import exists, latest
 from textguard.streaming import ordered as in_order_of_time
 
 
@@ -129,11 +130,18 @@ def rate_limit(stream: DataFrame, key: str, at: str, tie: str, per_minute: int =
 
 
 def allow_ttl(messages: DataFrame, allows: DataFrame, key: str, ts: str = "ts", ttl: str = "600 seconds", delay: str = "10 minutes") -> DataFrame:
-    """T5: messages no allow of their key covers, by an interval join of two streams."""
-    m = messages.withWatermark(ts, delay).alias("m")
-    a = allows.select(F.col(key).alias("a_key"), F.col(ts).alias("a_ts")).withWatermark("a_ts", delay)
-    meets = F.expr(f"m.{key} = a_key AND m.{ts} >= a_ts AND m.{ts} <= a_ts + INTERVAL {ttl}")
-    return m.join(a, meets, "left_outer").filter("a_ts IS NULL").drop("a_key", "a_ts")
+    """T5: messages no allow of their key covers, by an outer interval join of two streams.
+
+    Allows are reduced first: of each key and each span as long as the time to live, the earliest and the latest decide, as in J7. So
+    a message meets two rows at most, however many allows a key has. Unmatched messages come out once the watermark says that no
+    allow can cover them any more.
+    """
+    span = F.window("a_ts", ttl)
+    per = (allows.select(F.col(key).alias("a_key"), F.col(ts).alias("a_ts")).withWatermark("a_ts", delay).groupBy("a_key", span.alias("w"))
+           .agg(F.min("a_ts").alias("lo"), F.max("a_ts").alias("hi")).select("a_key", "lo", "hi", F.window_time("w").alias("a_end")))
+    # window_time is the last microsecond of a span.
+    meets = F.expr(f"m.{key} = a_key AND m.{ts} > a_end - INTERVAL {ttl} AND m.{ts} <= a_end + INTERVAL {ttl} AND m.{ts} >= lo AND m.{ts} <= hi + INTERVAL {ttl}")
+    return messages.withWatermark(ts, delay).alias("m").join(per, meets, "left_outer").filter("a_end IS NULL").drop("a_key", "lo", "hi", "a_end")
 
 
 def stream_sessions(stream: DataFrame, key: str, app: str, ts: str = "ts", gap: str = "120 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -143,30 +151,103 @@ def stream_sessions(stream: DataFrame, key: str, app: str, ts: str = "ts", gap:
             .select(key, app, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "edits"))
 
 
+def open_sessions(df: DataFrame, key: str, app: str, watermark: str, ts: str = "ts", gap: str = "120 seconds") -> DataFrame:
+    """T6, what a stream over these rows still holds: the sessions that a row after ``watermark`` (an SQL timestamp) could still join.
+
+    ``df`` is a batch frame of all rows so far; the closed sessions are the other ones of :func:`stream_sessions` on it.
+    """
+    every = (df.groupBy(key, app, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("edits"))
+             .select(key, app, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "edits"))
+    return every.filter(f"ended > {watermark}")
+
+
+#: The counters of a day: from what kind of event, or what tier of trace.
+OUTCOMES = {"caught": "caught", "rewritten": "rephrased", "dropped": "deleted", "sent_anyway": "sent_anyway", "covered": "covered"}
+TIER_COUNTERS = {"tier_rules": "rules", "tier_device": "on_device", "tier_context": "context"}
+
+
 def stream_daily_rollup(stream: DataFrame, ts: str = "occurred_at", delay: str = "2 days") -> DataFrame:
-    """Running day counters per install, in update mode."""
-    names = {"caught": "caught", "rewritten": "rephrased", "dropped": "deleted", "sent_anyway": "sent_anyway", "covered": "covered"}
+    """Running day counters per install, in update mode. Where the stream has a ``tier`` (of traces, whose kind is null), tiers are counted too."""
+    counts = [F.count(F.when(F.col("kind") == k, 1)).alias(n) for n, k in OUTCOMES.items()]
+    if "tier" in stream.columns:
+        counts += [F.count(F.when(F.col("tier") == t, 1)).alias(n) for n, t in TIER_COUNTERS.items()]
     return (stream.withWatermark(ts, delay).groupBy("install_id", F.window(ts, "1 day").alias("w"))
-            .agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(n) for n, k in names.items()], F.max(ts).alias("updated_at"))
+            .agg(*counts, F.max(ts).alias("updated_at"))
             .withColumn("day", F.to_date("w.start")).drop("w"))
 
 
-def push_daily_rollup(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """T7 into the daily table: each micro-batch holds only the counters that changed."""
-    def push(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sink_daily_stats(batch, path)
+def daily_rollup_table(spark: SparkSession, path: str) -> DataFrame:
+    """The pushed table: the newest snapshot of each install and day. Counters only grow, and each batch writes a snapshot of its own."""
+    rows = spark.read.parquet(path)
+    return latest(rows, ["install_id", "day"], "batch_id").drop("batch_id", "digest")
+
 
-    return (stream_daily_rollup(stream).writeStream.outputMode("update").foreachBatch(push)
+def push_snapshot(batch: DataFrame, batch_id: int, path: str) -> None:
+    """One micro-batch of counters into the table, as the partitions (day, batch).
+
+    What an earlier batch already said in the same counters is skipped. Running a batch again writes the same partitions
+    again: earlier batches alone are compared with, so a replay, or a run that was killed half-way, ends in the same table.
+    """
+    spark = batch.sparkSession
+    counters = [c for c in batch.columns if c not in ("install_id", "day", "updated_at")]
+    rows = batch.withColumn("digest", F.xxhash64(*counters))
+    if exists(spark, path):
+        days = F.broadcast(batch.select("day").distinct())  # at most one row per calendar day
+        before = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).join(days, "day", "left_semi")
+        sent = before.groupBy("install_id", "day").agg(F.max_by("digest", "batch_id").alias("_sent"))
+        rows = same_key(rows, sent, ["install_id", "day"], "left").filter(~F.col("digest").eqNullSafe(F.col("_sent"))).drop("_sent")
+    rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(path)
+
+
+def push_daily_rollup(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """T7 into the daily table, which :func:`daily_rollup_table` reads: each micro-batch holds only the counters that changed."""
+    return (stream_daily_rollup(stream).writeStream.outputMode("update").foreachBatch(lambda batch, n: push_snapshot(batch, n, path))
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "300 seconds"})).start())
 
 
-def late_policy(stream: DataFrame, ts: str = "occurred_at", received: str = "received_at") -> tuple[DataFrame, DataFrame]:
-    """(rows in time, rows more than a day late)."""
-    in_time = F.expr(f"{ts} > {received} - INTERVAL 1 DAY")
+def late_policy(stream: DataFrame, ts: str = "occurred_at", received: str = "received_at", limit: str = "1 DAY") -> tuple[DataFrame, DataFrame]:
+    """T8, by each row's own time of arrival: (rows in time, rows more than ``limit`` late). A row without one of the times is late."""
+    in_time = F.expr(f"coalesce({ts} > {received} - INTERVAL {limit}, false)")
     return stream.filter(in_time), stream.filter(~in_time)
 
 
+def split_late(batch: DataFrame, batch_id: int, ts: str, limit: str, accepted: str, quarantine: str, ledger: str, received: str | None = None) -> None:
+    """One micro-batch parted into the accepted and the quarantine table, and its line in the ledger.
+
+    Without ``received``, a row is late when its time is not after the watermark: the latest time of all earlier batches less ``limit``.
+    All three tables are written by batch, so running a batch again leaves them as they are. Counts come from the writes themselves.
+    """
+    spark = batch.sparkSession
+    before = spark.read.parquet(ledger).filter(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0] if exists(spark, ledger) else None
+    mark = None if received else before
+    if received:
+        in_time, late = late_policy(batch, ts, received, limit)
+    else:
+        fine = F.col(ts).isNotNull() & (F.lit(mark is None) | (F.col(ts).cast("timestamp") > F.timestamp_micros(F.lit(mark or 0)) - F.expr(f"INTERVAL {limit}")))
+        in_time, late = batch.filter(fine), batch.filter(~fine)
+    latest_at = F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("latest")
+    counted = {}
+    for rows, path, name in ((in_time, accepted, "accepted"), (late, quarantine, "late")):
+        seen = Observation(name)
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), latest_at).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        counted[name] = seen.get
+    times = [t for t in (before, *(c["latest"] for c in counted.values())) if t is not None]
+    line = [(mark, max(times, default=None), counted["accepted"]["n"], counted["late"]["n"], batch_id)]
+    spark.createDataFrame(line, "watermark bigint, latest bigint, accepted bigint, late bigint, batch_id bigint").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(ledger)
+
+
+def push_late_split(stream: DataFrame, folder: str, checkpoint: str, ts: str = "occurred_at", limit: str = "1 DAY", received: str | None = None, **trigger) -> StreamingQuery:
+    """The stream parted into ``folder``/accepted and ``folder``/quarantine; ``folder``/ledger has each batch's watermark and counts.
+
+    Events are late after a day, daily rows (``ts`` their day) after two: ``limit``.
+    """
+    return (stream.writeStream.outputMode("append").foreachBatch(
+        lambda batch, n: split_late(batch, n, ts, limit, f"{folder}/accepted", f"{folder}/quarantine", f"{folder}/ledger", received))
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "300 seconds"})).start())
+
+
 def stream_context(stream: DataFrame, key: str, order: str, text: str = "text", n: int = 12, ts: str | None = None, delay: str = "1 day",
                    ordered: bool = False, width: str | None = None) -> DataFrame:
     """Every message with the last twelve lines of its conversation before it.
