@@ -88,6 +88,7 @@ class Counts:
         kept = stored(kept.withColumn("band", F.floor(F.log2("lang_n")).cast("int")))
         bands = kept.groupBy("lang", "band").agg(F.ceil(F.count("*") / chunk_terms).alias("buckets"))
         dealt = kept.join(bands, ["lang", "band"]).withColumn("bucket", F.pmod(F.xxhash64("term"), "buckets").cast("int"))
+        dealt = dealt.repartition("lang", "band", "bucket")  # the join left a whole band in one task
         place = F.row_number().over(Window.partitionBy("lang", "band", "bucket").orderBy("term")) - 1
         self.terms = stored(dealt.select("lang", "term", "lang_n", "band", "bucket", place.alias("id")))
         self.cells = stored(all_counts.select("lang", "source", "term", "n").join(self.terms, ["lang", "term"]))
