@@ -130,3 +130,26 @@ def test_slot_fill_draws_from_the_grammar(spark):
     rows = [r.line for r in corpus.slot_fill(spark.range(500), frames, slots, "id").collect()]
     every = {f"{y} {a}" for y in ("ur", "you are", "what") for a in ("an idiot", "a clown")}
     assert set(rows) == every and len(rows) == len(every)
+
+
+def test_line_numbers_over_split_files(spark, tmp_path):
+    texts = ["".join(f"w{i}\n" if i % 7 else "\n" for i in range(50)), "einzeln", "", "".join(f"é{i}\r\n" for i in range(40)) + "\r\n", "tail\n\nend\n"]
+    folder = tmp_path / "words"
+    folder.mkdir()
+    for k, text in enumerate(texts):
+        (folder / f"part-{k}.txt").write_bytes(text.encode())
+    want, n = [], 0
+    for text in texts:
+        for line in text.removesuffix("\n").split("\n") if text else []:
+            if line.removesuffix("\r"):
+                want.append((n, line.removesuffix("\r")))
+            n += 1
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "37"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "4m" if size == "128m" else "1")
+            assert sorted((r.id, r.term) for r in readers.read_wordlist(spark, str(folder)).collect()) == want
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)

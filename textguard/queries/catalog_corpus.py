@@ -161,11 +161,11 @@ def read_fixtures(spark, sf):
 @query("read_wordlist", f"""WITH w AS (SELECT DISTINCT unnest({O.tokens('lower(text)')}) AS term FROM benchmark)
 SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM w""")
 def read_wordlist(spark, sf):
-    """The benchmark's distinct words as a word list in one text file, read back with line numbers."""
+    """The benchmark's distinct words as a word list in range-sorted text files, read back with line numbers."""
     from textguard.functions import text as T
     path = frames.folder(spark, "words")
     words = frames.table(spark, sf, "benchmark").select(F.explode(T.tokenize(F.lower("text"))).alias("value")).distinct()
-    words.orderBy("value").coalesce(1).write.text(path)
+    words.orderBy("value").write.text(path)
     return readers.read_wordlist(spark, path).select("term", F.col("id").cast("bigint").alias("id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,19 @@ def read_curated(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
-    """One term per line with its line number, from zero.
+    """One term per line with its line number, from zero; empty lines count but have no row.
 
-    Line numbers come from the position in the whole file; a word list is a few megabytes.
+    Files may be large and many: they follow each other by name, and are read in splits. A line's number is its place in its split, and the
+    lines of the splits and files before it, which are one count a split.
     """
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    return (spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("id", "term"))
-            .select("term", "id").filter(F.col("term") != ""))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\r$", "").alias("term"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    placed = lines.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    found = placed.join(splits.drop("_n"), ["_file", "_block"])
+    return found.select("term", (F.col("_before") + F.col("_place") - 1).cast("bigint").alias("id")).filter(F.col("term") != "")
 
 
 def message_stream(spark: SparkSession, path: str, schema: str | T.StructType = MESSAGES, fmt: str = "parquet",
