@@ -1,6 +1,7 @@
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from textguard.plans import activity as A
@@ -153,3 +154,10 @@ def test_line_numbers_over_split_files(spark, tmp_path):
     finally:
         for name, value in held.items():
             spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("text, n", [("two words", 2), ("a,b", 3), ("中文字", 3), ("ab中cd", 3), ("\U00020000\u3400\uf900x", 4), ("a\u0000b\u200dc\ufeffd\ufffde\u0007f", 1), ("a\tb\nc\rd\u00a0e\u3000f", 6),
+                                     ("カナかな", 1), ("한국 말", 2), ("$5+3=8", 6), ("\u0001\u200b", 0), ("", 0), ("été naïf", 2), ("a\u2028b", 1)])
+def test_basic_tokens(spark, text, n):
+    from textguard.plans import evaluate
+    assert evaluate.token_lengths(spark.createDataFrame([(1, text)], "id int, text string"), "id").first().n_tokens == n

@@ -39,10 +39,18 @@ def doc_toxicity_eval(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("docs"), F.round(F.avg("model_score"), 6).alias("avg_score")))
 
 
+# Characters that are a token each, first and last of each block of ideographs.
+IDEOGRAPHS = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+PUNCTUATION = r"\p{P}$+<=>^`|~"
+
+
 def token_lengths(df: DataFrame, key: str, text: str = "text", budget: int = 64) -> DataFrame:
-    """Basic tokens (words, and punctuation on its own) per text against a token budget."""
-    folded = T.fold_unicode(F.col(text))
-    pieces = F.regexp_extract_all(folded, F.lit(r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+"), F.lit(0))
+    """Basic tokens per text against a token budget: words, and punctuation and ideographs each on their own.
+
+    Control and format characters, other than tab and line ends, and replacement characters are dropped before; only spaces, tabs and line ends part words.
+    """
+    shown = F.regexp_replace(F.col(text), r"[\p{C}\x{FFFD}&&[^\t\n\r]]", "")
+    pieces = F.regexp_extract_all(T.fold_unicode(shown), F.lit(rf"[{PUNCTUATION}{IDEOGRAPHS}]|[^ \t\n\r\p{{Zs}}{PUNCTUATION}{IDEOGRAPHS}]+"), F.lit(0))
     return df.select(key, F.size(pieces).alias("n_tokens")).withColumn("over_budget", F.col("n_tokens") > budget)
 
 

@@ -818,9 +818,13 @@ def verdict_parity(spark, sf):
     return evaluate.verdict_parity(full, plain, "doc_id")
 
 
-# Punctuation and ASCII symbols, spelled out.
-@query("token_lengths", r"""SELECT doc_id, len(t)::BIGINT AS n_tokens, len(t) > 64 AS over_budget FROM (
-SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+') AS t FROM documents)""")
+# Punctuation, ASCII symbols, ideographs and the characters that are dropped, spelled out.
+IDEOGRAPHS = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2CEAF}\x{2F800}-\x{2FA1F}"
+
+
+@query("token_lengths", rf"""SELECT doc_id, len(t)::BIGINT AS n_tokens, len(t) > 64 AS over_budget FROM (
+SELECT doc_id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{{Cf}}\p{{Co}}\x{{FFFD}}]', '', 'g'))),
+    '[\p{{P}}$+<=>^`|~{IDEOGRAPHS}]|[^ \t\n\r\p{{Zs}}\p{{P}}$+<=>^`|~{IDEOGRAPHS}]+') AS t FROM documents)""")
 def token_lengths(spark, sf):
     df = evaluate.token_lengths(docs(spark, sf), "doc_id")
     return df.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "over_budget")
