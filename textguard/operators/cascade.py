@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import text as T
 from textguard.functions.arrays import quote, same_key, settle
+from textguard.operators.model_scorer import BatchScorer
 from textguard.operators.normalize import word_forms
 from textguard.operators.phrases import lexical_fallback_score
 from textguard.operators.policy import held
@@ -57,13 +58,15 @@ def local_verdict(verdicts: DataFrame, scorer: Scorer = lexical_scorer, transfor
                   reachable: bool = False, lexical: bool = True) -> DataFrame:
     """The rule tier's verdict with the model as a second opinion.
 
-    Rows that are already decided never reach the scorer: the frame is split, and only the
-    undecided part is scored. With the built-in scorer no Python runs, so no split is needed and
-    one pass does both.
+    Rows that are already decided never reach the scorer. A ``BatchScorer`` is told which rows to
+    leave out. For any other the frame is split, and only the undecided part is scored. With the
+    built-in scorer no Python runs, so no split is needed and one pass does both.
     """
     decided = f"(self_directed OR trivial OR score >= {DECISIVE})"
     if scorer is lexical_scorer:
         df = scorer(verdicts).withColumn("model_score", F.expr(f"if({decided}, 0e0, model_score)"))
+    elif isinstance(scorer, BatchScorer):
+        df = scorer(verdicts, f"NOT {decided}")
     else:
         skipped = verdicts.filter(decided).withColumn("model_score", F.lit(0.0))
         df = scorer(verdicts.filter(f"NOT {decided}")).unionByName(skipped)
