@@ -110,10 +110,10 @@ def test_a_hundred_thousand_phrases_and_a_hot_word(spark, tmp_path, monkeypatch)
     assert {(r.id, r.phrase) for r in found.collect()} == {(i, p) for i, p in want if p in listed}
 
 
-def test_a_phrase_is_posted_under_its_rarest_word(spark):
-    needles = spark.createDataFrame([(" a b c ",), (" b c ",), (" c d ",), (" a a ",)], "needle string")
-    counts = spark.createDataFrame([("a", 9), ("b", 4), ("c", 4)], "word string, n long")
-    assert {(r.needle, r.word) for r in phrase_index.rarest_words(needles, counts).collect()} == {(" a b c ", "b"), (" b c ", "b"), (" a a ", "a")}
+def test_a_phrase_is_posted_under_its_rarest_part(spark):
+    needles = spark.createDataFrame([(" a b c ",), (" b c ",), (" c d ",), (" a ",), (" a a ",)], "needle string")
+    counts = spark.createDataFrame([("a b", 9), ("b c", 4), ("a", 70), ("a a", 1), ("c", 1)], "part string, n long")
+    assert {(r.needle, r.part, r.n) for r in phrase_index.rarest_parts(needles, counts).collect()} == {(" a b c ", "b c", 4), (" b c ", "b c", 4), (" a ", "a", 70), (" a a ", "a a", 1)}
 
 
 # ------------------------------------------------------------------ X1 / C1

@@ -1,7 +1,8 @@
-"""Phrase lists of any size as a table, found by their rarest words.
+"""Phrase lists of any size as a table, found by their rarest parts.
 
-A phrase can only be where its rarest word is. Each phrase is posted under that word, the words of the texts meet the postings in an
-equi-join, and only then is the phrase looked up in the text. The lists of :mod:`textguard.operators.phrases` are some 500 phrases and part
+A phrase can only be where each two neighbouring words of it are. It is posted under the rarest such pair (a phrase of one word under that word), the
+words and pairs of the texts meet the postings in an equi-join, and only then is the phrase looked up in the text. By single words, a text
+would meet every phrase whose rarest word it has: 70 a text with 5,000 four-word phrases, and more with every phrase added. The lists of :mod:`textguard.operators.phrases` are some 500 phrases and part
 of the plan; here phrases are rows, so a list may have hundreds of thousands.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from textguard.operators import phrases as P
 from textguard.operators.normalize import normalize
 
-#: A word with more than this share of all (text, word) rows is spread over several tasks. There can be no more such words than 1 / share.
+#: A part with more than this share of all (text, part) rows is spread over several tasks. There can be no more such parts than 1 / share.
 HOT_SHARE = 0.001
 
 
@@ -28,19 +29,31 @@ def with_needles(phrases: DataFrame, typos: dict[str, str] | None = None) -> Dat
     return normalize(phrases.select("list", "phrase", "evasive"), "phrase", typos).select("list", "phrase", "evasive", F.col("ctext").alias("needle"))
 
 
-def words_of(*forms: str) -> str:
-    """The distinct words of padded texts, as an array expression."""
-    return f"array_distinct(concat({', '.join(f'''split(trim({f}), ' ')''' for f in forms)}))"
+def pairs(words: str) -> str:
+    """The neighbouring words of an array, two by two."""
+    return f"array_compact(zip_with({words}, slice({words}, 2, greatest(size({words}), 1)), (a, b) -> concat(a, ' ', b)))"
 
 
-def rarest_words(needles: DataFrame, counts: DataFrame) -> DataFrame:
-    """The postings (needle, word): each needle under the word fewest texts have, ties to the first in order.
+def text_parts(*forms: str) -> str:
+    """The distinct words and pairs of padded texts, as an array expression."""
+    found = [x for ws in (f"split(trim({f}), ' ')" for f in forms) for x in (ws, pairs(ws))]
+    return f"array_distinct(concat({', '.join(found)}))"
 
-    ``counts`` is (word, n). A needle with a word that no text has can be in no text and gets no posting.
+
+def needle_parts(needle: str = "needle") -> str:
+    """The parts a padded phrase may be posted under: its pairs, or its only word."""
+    words = f"split(trim({needle}), ' ')"
+    return f"array_distinct(CASE WHEN size({words}) > 1 THEN {pairs(words)} ELSE {words} END)"
+
+
+def rarest_parts(needles: DataFrame, counts: DataFrame) -> DataFrame:
+    """The postings (needle, part, n): each needle under the part fewest texts have, ties to the first in order.
+
+    ``counts`` is (part, n). A needle with a part that no text has can be in no text and gets no posting.
     """
-    parts = needles.select("needle").distinct().select("needle", F.explode(F.expr(words_of("needle"))).alias("word"))
-    ranked = parts.join(counts, "word", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("_r"))
-    return ranked.filter("_r.n > 0").select("needle", "_r.word", "_r.n")
+    parts = needles.select("needle").distinct().select("needle", F.explode(F.expr(needle_parts())).alias("part"))
+    ranked = parts.join(counts, "part", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("_r"))
+    return ranked.filter("_r.n > 0").select("needle", "_r.part", "_r.n")
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -53,7 +66,7 @@ def phrase_matches(df: DataFrame, phrases: DataFrame, key: str, path: str, form:
     """L3 for a table of phrases: one row (key, list, phrase) for each phrase that a text has as whole words.
 
     ``phrases`` has list, phrase, evasive and needle (see :func:`with_needles`); ``form`` is the padded text, and evasive phrases are also looked up in
-    ``joined``, where spelled-out letters are glued back. Both forms, the phrases and the word counts are written below the folder ``path`` and read
+    ``joined``, where spelled-out letters are glued back. Both forms, the phrases and the counts of parts are written below the folder ``path`` and read
     from there, so whatever makes them (normalising is the dear part) runs once.
 
     Texts without a key take no part; rows that share a key are parts of one text; a null text has no words. Null phrases, and phrases without
@@ -64,20 +77,20 @@ def phrase_matches(df: DataFrame, phrases: DataFrame, key: str, path: str, form:
     rows = phrases.select("list", "phrase", F.coalesce("evasive", F.lit(False)).alias("evasive"), "needle")
     rows = stored(rows.filter("phrase IS NOT NULL AND trim(needle) != ''").distinct(), f"{path}/phrases")
 
-    wanted = rows.select(F.explode(F.expr(words_of("needle"))).alias("word")).distinct()
-    words = texts.select("_key", F.explode(F.expr(f"CASE WHEN _joined = _form THEN {words_of('_form')} ELSE {words_of('_form', '_joined')} END")).alias("word"))
-    words = words.join(wanted, "word", "left_semi")
-    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")), f"{path}/words")
+    wanted = rows.select(F.explode(F.expr(needle_parts())).alias("part")).distinct()
+    of_text = f"CASE WHEN _joined = _form THEN {text_parts('_form')} ELSE {text_parts('_form', '_joined')} END"
+    parts = texts.select("_key", F.explode(F.expr(of_text)).alias("part")).join(wanted, "part", "left_semi")
+    counts = stored(parts.groupBy("part").agg(F.count("*").alias("n")), f"{path}/parts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
-    part = max(int(total * HOT_SHARE), 1000)
-
-    # Hot words hold over 1 / HOT_SHARE of the rows each, so at most a thousand are broadcast, and their splits add up to two thousand at most.
-    hot = counts.filter(F.col("n") > part).select("word", F.ceil(F.col("n") / part).cast("int").alias("splits"))
-    postings = rows.join(rarest_words(rows, counts), "needle")
-    postings = postings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / part).cast("int") - 1))).drop("n")
-    salted = words.join(F.broadcast(hot), "word", "left").select(
-        "_key", "word", F.pmod(F.xxhash64("_key"), F.coalesce("splits", F.lit(1))).cast("int").alias("salt"))
-    maybe = salted.join(postings, ["word", "salt"]).select("_key", "list", "phrase", "evasive", "needle")
+    share = max(int(total * HOT_SHARE), 1000)
+
+    # Hot parts hold over HOT_SHARE of the rows each, so at most a thousand are broadcast, and their splits add up to two thousand at most.
+    hot = counts.filter(F.col("n") > share).select("part", F.ceil(F.col("n") / share).cast("int").alias("splits"))
+    postings = rows.join(rarest_parts(rows, counts), "needle")
+    postings = postings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share).cast("int") - 1))).drop("n")
+    salted = parts.join(F.broadcast(hot), "part", "left").select(
+        "_key", "part", F.pmod(F.xxhash64("_key"), F.coalesce("splits", F.lit(1))).cast("int").alias("salt"))
+    maybe = salted.join(postings, ["part", "salt"]).select("_key", "list", "phrase", "evasive", "needle")
 
     there = F.expr("contains(_form, needle) OR (evasive AND contains(_joined, needle))")
     found = texts.join(maybe, "_key").filter(there).select(F.col("_key").alias(key), "list", "phrase")

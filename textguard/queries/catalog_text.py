@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import text as T
-from textguard.operators import aim, cascade, context, normalize, phrases, policy, rules, tier0
+from textguard.operators import aim, cascade, context, normalize, passages, phrase_index, phrases, policy, rules, tier0
 from textguard.operators import verdict_store as store
+from textguard.operators.model_scorer import BatchScorer
 from textguard.plans import activity as A
 from textguard.plans import evaluate, traces
 from textguard.queries import frames
@@ -245,6 +246,27 @@ def passage_window(spark, sf):
         F.md5("passage_text").alias("digest"))
 
 
+PASSAGE_LEX = f"""least((0.30e0 * least(len(list_intersect(ws, {O.arr(O.L.DEGRADING_WORDS)})), 3) + 0.18e0 * least(len(list_intersect(ws, {O.arr(O.L.STRONG_PROFANITY + O.L.MILD_PROFANITY)})), 3)
+    + 0.45e0 * least(len(list_intersect(ws, {O.arr(O.L.SLURS)})), 2)) * CASE WHEN list_has_any(ws, {O.arr(O.L.SECOND_PERSON)}) THEN 1.5e0 ELSE 0.6e0 END, 0.99e0)"""
+
+
+@query("best_passage", rf"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, text, u.k * 640 AS start FROM s, unnest(range(0, CASE WHEN n <= 1500 THEN 1 ELSE (n - 1500 + 639) // 640 + 1 END)) AS u(k)),
+w AS (SELECT doc_id, start, CASE WHEN start > 0 AND NOT regexp_matches(substr(text, start, 1), '\s')
+    THEN regexp_replace(substr(text, start + 1, 1500), '^\S+', '') ELSE substr(text, start + 1, 1500) END AS passage FROM p),
+t AS (SELECT doc_id, start, {O.tokens('lower(passage)')} AS ws FROM w),
+j AS (SELECT doc_id, start, round({PASSAGE_LEX}, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round({PASSAGE_LEX}, 6) DESC, start) AS k,
+    count(*) OVER (PARTITION BY doc_id) AS passages FROM t)
+SELECT doc_id, start, score, passages FROM j WHERE k = 1""")
+def best_passage(spark, sf):
+    """The passage of each document with the highest word score; the words are taken as they are written."""
+    def worded(windows):
+        df = windows.withColumn("word_set", T.tokenize(F.lower("passage_text")))
+        return phrases.lexical_fallback_score(df, "score").withColumn("score", F.round("score", 6))
+
+    return passages.best_passage(docs(spark, sf), "doc_id", score_fn=worded).withColumn("start", F.col("start").cast("bigint"))
+
+
 @query("salted_digest", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN sha256(c_name || ':' || (100000 + c_custkey)::VARCHAR) END AS digest FROM customer")
 def salted_digest(spark, sf):
     df = frames.table(spark, sf, "customer").withColumn("salt", F.expr("if(c_custkey % 5 = 0, null, c_name)"))
@@ -313,6 +335,23 @@ def listed(name: str) -> str:
     return f"array_to_string(list_sort({name}), ',')"
 
 
+@query("phrase_index", f"""WITH b AS (SELECT {O.tokens('lower(text)')} AS ws FROM benchmark),
+phr AS (SELECT DISTINCT array_to_string(ws[u.k:u.k + 3], ' ') AS phrase FROM b, unnest(range(1, len(ws) + 1, 4)) AS u(k)),
+d AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM (SELECT doc_id, {O.tokens('lower(text)')} AS ws FROM documents)),
+g AS (SELECT doc_id, w AS a, w || ' ' || lead(w, 1) OVER o AS b, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS c,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS d FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+grams AS (SELECT doc_id, a AS phrase FROM g UNION SELECT doc_id, b FROM g UNION SELECT doc_id, c FROM g UNION SELECT doc_id, d FROM g)
+SELECT doc_id, 'benchmark' AS list, phrase FROM grams JOIN phr USING (phrase)""")
+def phrase_index_query(spark, sf):
+    """Pieces of four words of the benchmark, looked for in the documents."""
+    worded = T.tokenize(F.lower("text"))
+    pieces = F.expr("transform(sequence(0, (size(ws) - 1) div 4), k -> array_join(slice(ws, k * 4 + 1, 4), ' '))")
+    listed = frames.table(spark, sf, "benchmark").select(worded.alias("ws")).filter("size(ws) > 0").select(F.explode(pieces).alias("phrase")).distinct()
+    listed = listed.select(F.lit("benchmark").alias("list"), "phrase", F.lit(False).alias("evasive"), T.padded(F.split("phrase", " ")).alias("needle"))
+    texts = docs(spark, sf).select("doc_id", T.padded(worded).alias("ctext"))
+    return phrase_index.phrase_matches(texts, listed, "doc_id", frames.folder(spark, "phrase_index"), joined=None)
+
+
 @query("content_score", f"""{MSG_SIG} SELECT msg_id, round(content_score, 6) AS content_score, content_category FROM sig3 WHERE content_score > 0""")
 def content_score(spark, sf):
     return signals(spark, sf).filter("content_score > 0").select("msg_id", *rounded("content_score"), "content_category")
@@ -479,6 +518,37 @@ def offline_fallback(spark, sf):
     return transformer_local(spark, sf, False).select("msg_id", *rounded("score"), "level", *rounded("confidence"), cats(), "tier")
 
 
+# A stand-in for a trained model: what it makes of each word as it is written.
+MODEL_WORDS = {"loser": 0.55, "idiot": 0.5, "stupid": 0.45, "dumb": 0.4, "trash": 0.4, "ugly": 0.35, "clown": 0.35, "hate": 0.25, "bitch": 0.6, "asshole": 0.6, "you": 0.2, "your": 0.15}
+
+
+def word_model():
+    import numpy as np
+
+    def model(texts):
+        return np.array([min(0.99, 0.05 + sum(MODEL_WORDS.get(w, 0.0) for w in set(t.lower().split(" ")))) for t in texts])
+
+    return model
+
+
+def model_words_sql(text: str) -> str:
+    weights = ", ".join(f"({O.q(w)}, {p}e0)" for w, p in MODEL_WORDS.items())
+    return f"least(0.99e0, 0.05e0 + coalesce((SELECT sum(p) FROM (VALUES {weights}) AS mw(w, p) WHERE list_contains(string_split(lower({text}), ' '), mw.w)), 0e0))"
+
+
+@query("model_second_look", f"""{MSG_T0}, tr AS (SELECT t0.*, {DECIDED} AS decided, trim(text) AS bare FROM t0),
+lk AS (SELECT *, NOT decided AND bare <> '' AS one, NOT decided AND regexp_matches(bare, '[*#%@$0134578]') AND plain <> lower(bare) AS two FROM tr),
+ms AS (SELECT *, CASE WHEN one THEN {model_words_sql('bare')} ELSE 0e0 END AS s1, CASE WHEN two THEN {model_words_sql('plain')} ELSE 0e0 END AS s2 FROM lk),
+mm AS (SELECT *, greatest(s1, s2) AS m FROM ms),
+fb AS (SELECT *, NOT decided AND NOT affectionate AND NOT quoted AND addressed AND m >= 0.90e0 AND score < 0.62e0 AND m >= 0.98e0 AS sure_model FROM mm)
+SELECT msg_id, one::INT + two::INT AS looks, round(m, 6) AS model_score, round(CASE WHEN sure_model THEN greatest(score, 0.5e0) ELSE score END, 6) AS score,
+    CASE WHEN sure_model THEN 'on_device' ELSE 'rules' END AS tier FROM fb""")
+def model_second_look(spark, sf):
+    """The cascade with a model in batches: rows nobody has decided are read, disguised ones twice."""
+    df = cascade.local_verdict(verdicts(spark, sf), BatchScorer(word_model), transformer=True, lexical=False)
+    return df.select("msg_id", "looks", *rounded("model_score", "score"), "tier")
+
+
 @query("cover_policy", f"""{MSG_T0}, {SUSPECT}, pol(sensitivity, threshold, floor) AS (VALUES ('light', 0.80e0, 0.70e0), ('balanced', 0.62e0, 0.35e0), ('attentive', 0.45e0, 0.35e0))
 SELECT msg_id, sensitivity, NOT self_directed AND ((score >= floor AND score >= threshold) OR (suspect AND model_score >= 0.98e0 AND sensitivity <> 'light')) AS covered
 FROM susc, pol""")
