@@ -41,6 +41,11 @@ def severity_label(score: str) -> Column:
     return F.expr(f"CASE WHEN {s} < 0.55e0 THEN 'Sharp' WHEN {s} < 0.78e0 THEN 'Harsh' ELSE 'Cruel' END")
 
 
+#: Every message is paired with every row of a policy, so a policy is small.
+MAX_PROFILES = 1000
+PROFILES = "array<struct<sensitivity:string,threshold:double,minimum_level:int>>"
+
+
 def level_rank(level: str) -> str:
     return f"array_position(array('clear', 'borderline', 'harmful'), {level}) - 1"
 
@@ -59,16 +64,22 @@ def held(sensitivity: str, score: str = "score", level: str = "level", own: str
 def hold_policy(df: DataFrame, policy: DataFrame | None = None) -> DataFrame:
     """one row per (message, sensitivity) with ``held``.
 
-    The policy has a handful of rows; each message is paired with all of them by exploding
-    a literal when the default table is used, so nothing is joined at all.
+    The policy has a handful of rows; each message is paired with all of them by exploding a literal, so nothing is joined at all. A policy
+    of one's own (sensitivity, threshold, minimum_level) may have up to ``MAX_PROFILES`` rows, and more end the job with a message; a row with a null threshold or
+    level holds nothing, an empty policy gives no rows, and columns of these names in ``df`` give way to the policy's.
     """
+    rule = f"NOT self_directed AND {level_rank('level')} >= minimum_level AND score >= threshold"
     if policy is None:
         rows = ", ".join(f"struct('{n}' AS sensitivity, {t}e0 AS threshold, {m} AS minimum_level)" for n, t, m in SENSITIVITIES)
-        paired = df.withColumn("policy", F.explode(F.expr(f"array({rows})"))).select("*", "policy.*").drop("policy")
+        profiles = F.expr(f"array({rows})")
     else:
-        profiles = policy.groupBy().agg(F.collect_list(F.struct("sensitivity", "threshold", "minimum_level")).alias("policy"))
-        paired = df.join(F.broadcast(profiles)).withColumn("policy", F.explode("policy")).select("*", "policy.*").drop("policy")
-    rule = f"NOT self_directed AND {level_rank('level')} >= minimum_level AND score >= threshold"
+        given = policy.select("sensitivity", F.col("threshold").cast("double"), F.col("minimum_level").cast("int")).limit(MAX_PROFILES + 1).collect()
+        if len(given) > MAX_PROFILES:
+            raise ValueError(f"a policy has at most {MAX_PROFILES} rows")
+        profiles = F.array(*[F.struct(F.lit(n), F.lit(t), F.lit(m)) for n, t, m in given]).cast(PROFILES)
+        rule = f"coalesce({rule}, false)"
+        df = df.drop("sensitivity", "threshold", "minimum_level")
+    paired = df.withColumn("policy", F.explode(profiles)).select("*", "policy.*").drop("policy")
     return paired.withColumn("held", F.expr(rule)).drop("threshold", "minimum_level")
 
 

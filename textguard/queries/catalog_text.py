@@ -773,6 +773,16 @@ def hold_policy(spark, sf):
     return policy.hold_policy(local(spark, sf)).select("msg_id", "sensitivity", "held")
 
 
+@query("policy_table", f"""WITH s AS (SELECT event_id, least(value / 50e0, 1e0) AS score FROM events),
+e AS (SELECT event_id, score, CASE {O.level('score')} WHEN 'harmful' THEN 2 WHEN 'borderline' THEN 1 ELSE 0 END AS lv FROM s)
+SELECT event_id, n_name AS sensitivity, score >= 0.3e0 + n_nationkey / 50e0 AND lv >= n_nationkey % 3 AS held FROM e, nation""")
+def policy_from_a_table(spark, sf):
+    """Scores under a policy that is a table: each nation has a threshold and a least level of its own."""
+    profiles = frames.table(spark, sf, "nation").selectExpr("n_name AS sensitivity", "0.3e0 + n_nationkey / 50e0 AS threshold", "n_nationkey % 3 AS minimum_level")
+    scored = frames.activity(spark, sf).withColumns({"level": F.expr(tier0.level_of("score")), "self_directed": F.lit(False)})
+    return policy.hold_policy(scored, profiles).select("event_id", "sensitivity", "held")
+
+
 @query("offer_policy", f"{MSG_T0} SELECT msg_id, self_directed AS incoming_too FROM t0 WHERE distress")
 def offer_policy(spark, sf):
     return policy.offer_policy(verdicts(spark, sf)).select("msg_id", F.col("self_directed").alias("incoming_too"))
