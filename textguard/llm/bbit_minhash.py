@@ -5,9 +5,11 @@ are the signature. Documents that share a band key are candidates; the share of
 collisions, estimates their similarity; what may reach the threshold is confirmed on the full sets.
 
 Nothing is listed pair by pair within a group. Equal sets count once (a class with a representative). Each band bucket then compares its
-members with one leader only. What this leaves open are buckets that still hold several components: there, a document's private
-shingles, which no other document of these buckets has, bound what it can share with any other; most are alone for sure, and only
-pairs from different components that pass this bound, and the estimate, are confirmed.
+members with one leader only. What this leaves open are buckets that still hold several components. Their documents are posted under
+their rarest shingles, as many as a partner that reaches the threshold must share one of (prefix filter, exact); shingles that only one
+component has count as rarest of all and are not posted. In a list, only documents outside its largest component look for partners, so
+a family that is one component already is not paired with itself. A document that is not linked to its family's leader has so many
+shingles of its own that the family's common ones do not come into its prefix.
 """
 from __future__ import annotations
 
@@ -26,8 +28,6 @@ MINIMA, BITS = 128, 4
 BAND_ROWS = 4
 #: Standard deviations that the estimate may fall short of the threshold before a pair is dropped unconfirmed.
 SLACK = 6.0
-#: Minima of the finer signature that documents in shared buckets get.
-FINE = 512
 #: Word hashes a worker remembers (some 40 MB); to make one anew is cheap.
 HASHED_WORDS = 200_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -176,12 +176,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+SHINGLES = "rep long, part int, n_shingles int, component long, shingle long"
+
+
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each set."""
+    """A row for each shingle of each set; part tells the sets of one id apart."""
     for batch in batches:
-        for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = np.frombuffer(s.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], names=["rep", "shingle"])
+        for rep, component, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            values, part = np.frombuffer(s.as_buffer(), np.int64), xxhash.xxh32_intdigest(s.as_buffer()) >> 1
+            n = len(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, component)), pa.array(values)],
+                                             names=["rep", "part", "n_shingles", "component", "shingle"])
+
+
+def prefixes(members: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
+    """The postings (rep, component, n_shingles, shingle, pos) of the documents ``members`` (rep, component).
+
+    Shingles are ordered by whether two components have them, by how many documents do, and by value. pos is a shingle's place in its
+    document's order; postings go up to the last place at which the first shingle shared with a partner may stand. An id with several
+    texts has the postings of each; repeated rows count once.
+    """
+    each = sets.join(members, "rep").select("rep", "component", "shingles").mapInArrow(one_by_one, SHINGLES)
+    across = (each.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("df"))
+              .where("x <> y").select("shingle", "df"))
+    ordered = each.join(across, "shingle").groupBy("rep", "part", "n_shingles").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("s"))
+    # Too few shingles in common with any other component: alone for sure.
+    own = ordered.withColumn("least", F.expr(f"cast(({threshold_percent} * n_shingles + 99) div 100 AS int)")).where("size(s) >= least").join(members, "rep")
+    posted = own.select("rep", "component", "n_shingles", F.expr("n_shingles - size(s)").alias("own"), F.posexplode(F.expr("slice(s, 1, size(s) - least + 1)")).alias("at", "e"))
+    return posted.select("rep", "component", "n_shingles", F.col("e.shingle").alias("shingle"), (F.col("own") + F.col("at")).alias("pos"))
+
+
+def across_components(postings: DataFrame, threshold_percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that share a posting at places where the threshold can still be reached.
+
+    Every linked pair of different components is among them. Partners are looked for by size, first among the sizes that a list has.
+    """
+    held = postings.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    major = held.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    lists = stored(postings.join(major, "shingle"))
+    a = lists.where("component <> major").select("shingle", "major", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("pos").alias("pa"))
+    b = lists.select("shingle", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("pos").alias("pb"))
+    needed = f"({threshold_percent} * (na + nb) + {99 + threshold_percent}) div {100 + threshold_percent}"
+    sizes = b.groupBy("shingle", "nb").agg(F.min("pb").alias("first"))
+    asked = a.join(sizes, "shingle").withColumn("needed", F.expr(needed)).where("least(na, nb) >= needed and pa <= na - needed and first <= nb - needed")
+    met = asked.join(b, ["shingle", "nb"]).where("ca <> cb and pb <= nb - needed and (cb = major or a > b)")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def joined(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -204,51 +243,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold_percent: int = 80
     reps = made.where("n_shingles > 0 and doc_id = rep").select("rep", "n_shingles", "signature", "bands")
 
     # Buckets of at least two different representatives, and who is in them. The leader is the first by id.
-    posted = reps.select(F.posexplode("bands").alias("place", "key"), "rep")
+    posted = reps.select(F.explode("bands").alias("key"), "rep")
     shared = posted.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
     posted = stored(posted.join(shared, "key"))
-    signs = stored(reps.select("rep", "n_shingles", "signature", "bands").join(posted.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
+    signs = stored(reps.select("rep", "n_shingles", "signature").join(posted.select("rep").distinct(), "rep").distinct())
 
     def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([signature(minima(s, FINE)) for s in found], pa.list_(pa.int64()))],
-                                             names=["rep", "shingles", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "shingles"])
 
-    sets = stored(texts_of(docs).join(signs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(set_of, "rep long, shingles binary, fine array<long>"))
+    sets = stored(texts_of(docs).join(signs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(set_of, "rep long, shingles binary"))
 
     near = least_estimate(threshold_percent / 100)
     likely = estimate(F.col("sa"), F.col("sb")) >= near
 
-    def side(table: DataFrame, c: str, *more: str) -> DataFrame:
-        return table.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"), *[F.col(m.split(":")[-1]).alias(f"{m[0]}{c}") for m in more])
+    def side(c: str) -> DataFrame:
+        return signs.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
 
     # Members against their buckets' leaders.
     led = posted.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     sized = 100 * F.least("na", "nb") >= threshold_percent * F.greatest("na", "nb")
-    tested = stored(led.join(side(signs, "a"), "a").join(side(signs, "b"), "b").where(sized & likely).select("a", "b"))
+    tested = stored(led.join(side("a"), "a").join(side("b"), "b").where(sized & likely).select("a", "b"))
     links = stored(confirmed(tested, sets, threshold_percent))
-    comp = joined(signs, links)
+    comp = joined(signs.select("rep").distinct(), links)
 
-    # Buckets that still hold several components. Private shingles are counted among all that stand in one.
-    placed = posted.select("key", "place", "rep").join(comp, "rep")
+    # Buckets that still hold several components.
+    placed = posted.select("key", "rep").join(comp, "rep")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = stored(placed.join(mixed, "key"))
-    some = stored(signs.join(placed.select("rep", "component").distinct(), "rep"))
-    owned = (sets.join(some.select("rep"), "rep").mapInArrow(one_by_one, "rep long, shingle long").groupBy("shingle")
-             .agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("private")))
-    some = some.join(owned, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0)))
-    some = some.join(sets.select("rep", "fine"), "rep")
-    some = stored(some.where(100 * (F.col("n_shingles") - F.col("private")) >= threshold_percent * F.col("n_shingles")))
-    placed = placed.select("key", "place", "rep").join(some, "rep")
-    # The intersection holds no private shingle, the union all of the other's.
-    bounded = 100 * F.least(F.expr("na - pa"), F.expr("nb - pb")) >= threshold_percent * F.greatest(F.expr("na + pb"), F.expr("nb + pa"))
-    a, b = (side(placed, c, "component", "private", "key", "fine", "bands", "t:place") for c in "ab")
-    closely = estimate(F.col("fa"), F.col("fb"), FINE) >= least_estimate(threshold_percent / 100, FINE)
-    # Of the buckets that two share, the first one's has the pair.
-    first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("ta") + 1
-    rest = a.join(b, F.col("ka") == F.col("kb")).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & bounded & likely & closely & first).select("a", "b").distinct()
-    more = stored(confirmed(rest.join(tested, ["a", "b"], "left_anti"), sets, threshold_percent))
+    members = stored(placed.join(mixed, "key").select("rep", "component").distinct())
+    rest = across_components(stored(prefixes(members, sets, threshold_percent)), threshold_percent)
+    rest = stored(rest.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"))
+    more = stored(confirmed(rest, sets, threshold_percent))
     # These links join whole components.
     first, second = (comp.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     over = components(more.join(first, "a").join(second, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
