@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from textguard.plans.quota import Quota
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: How long the last lines of a silent key are kept.
@@ -178,6 +180,27 @@ class Settled(InOrder):
             self.pending.clear()
 
 
+class Limited(InOrder):
+    """Each row with whether the quota grants it. The place ``at`` has the moment of the request."""
+
+    def __init__(self, names: list[str], places: list[int], width_ms: int, at: int, per_minute: int, per_day: int):
+        super().__init__(names, places, width_ms)
+        self.at, self.per_minute, self.per_day = at, per_minute, per_day
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.used = handle.getValueState("used", "stamps array<bigint>, day bigint, used bigint")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, made, some = self.used.get(), Row(*self.names), False
+        quota = Quota(self.per_minute, self.per_day, *((list(held[0]), held[1], held[2]) if held else ()))
+        for row in self.released(expiredTimerInfo.getExpiryTimeInMs()):
+            some = True
+            yield made(*row[:len(self.names) - 1], quota.request(row[self.at]))
+        if some:
+            self.used.update((list(quota.stamps), quota.day, quota.used))
+
+
 def ended(text: str | None) -> bool:
     """Whether a draft's last word is complete: white space or punctuation follows it (``plans.activity.WORD_ENDED``)."""
     return bool(text) and (text[-1] in "\t\n\v\f\r" or unicodedata.category(text[-1])[0] in "PZ")
@@ -219,3 +242,11 @@ def settled(stream: DataFrame, key: str, order: list[str], text: str, gap_second
     gap = round(gap_seconds * 1_000_000)
     short = gap if short_gap_seconds is None else round(short_gap_seconds * 1_000_000)
     return run(rows, key, Settled(stream.columns, places, bucket_width(spark, delay, width), rows.columns.index(text), gap, short), schema_of(stream))
+
+
+def limited(stream: DataFrame, key: str, at: str, tie: str, per_minute: int, per_day: int, delay: str, width: str | None = None) -> DataFrame:
+    """Every row with ``granted``: the quota over each key's requests by ``at`` (microseconds), then ``tie``, nulls first. Rows without a moment are dropped."""
+    spark, rows = stream.sparkSession, timed(stream.withColumn("_ts", F.timestamp_micros(at)), "_ts", delay)
+    places = [rows.columns.index(c) for c in ["_at", tie]]
+    return run(rows, key, Limited([*stream.columns, "granted"], places, bucket_width(spark, delay, width), rows.columns.index(at), per_minute, per_day),
+               f"{schema_of(stream)}, granted boolean")

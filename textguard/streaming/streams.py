@@ -2,7 +2,7 @@
 
 State is bounded: watermarks drop old keys, and the custom states keep at most a limiter's stamps or a conversation's last twelve
 lines. Where ``ordered`` is asked for, rows wait until the watermark has passed them, so that they are taken in event order whatever
-order they arrive in (:mod:`textguard.streaming.ordered`; in ``rate_limit`` a key's waiting rows are one row of state).
+order they arrive in (:mod:`textguard.streaming.ordered`).
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -41,37 +40,6 @@ def in_order(batches: Iterator[pd.DataFrame], order: str | list[str]) -> pd.Data
     return pd.concat(frames).sort_values(order, kind="stable") if frames else None
 
 
-#: Rows of a key that are handed on at once.
-ROWS_AT_ONCE = 10_000
-
-
-def packed(rows: pd.DataFrame) -> bytes:
-    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema) as writer:
-        writer.write_table(table)
-    return out.getvalue().to_pybytes()
-
-
-def passed(waiting: bytes | None, batches: Iterator[pd.DataFrame], order: list[str], watermark_ms: int) -> tuple[pd.DataFrame | None, pd.DataFrame | None]:
-    """A key's rows in event order: those the watermark has passed, after which no other can arrive, and those that go on waiting."""
-    held = [pa.ipc.open_stream(bytes(waiting)).read_all().to_pandas()] if waiting else []
-    frames = held + [b for b in batches if len(b)]
-    if not frames:
-        return None, None
-    rows = pd.concat(frames, ignore_index=True).sort_values(["_at", *order], kind="stable")
-    done = rows["_at"] <= watermark_ms * 1000
-    return (rows[done] if done.any() else None), (None if done.all() else rows[~done])
-
-
-def in_event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
-    """The stream with its watermark, and ``_at``: the event time in microseconds, whatever the session's time zone."""
-    return stream.withWatermark(ts, delay).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-
-
-def wake(state: GroupState, at: int) -> None:
-    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-
-
 def stream_moderate(stream: DataFrame, text: str = "text", sensitivity: str = "balanced", scorer=lexical_scorer, typos: dict[str, str] | None = None) -> DataFrame:
     """The batch verdict on every arriving message; stateless."""
     return moderate(stream, text, scorer, typos=typos).withColumn("held", F.expr(held(sensitivity)))
@@ -110,21 +78,8 @@ def rate_limit(stream: DataFrame, key: str, at: str, tie: str, per_minute: int =
             yield batch[columns].assign(granted=[quota.request(int(t)) for t in batch[at]])
         state.update((list(quota.stamps), quota.day, quota.used))
 
-    def decide_in_order(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stamps, day, used, waiting = state.get if state.exists else ([], -1, 0, None)
-        quota = Quota(per_minute, per_day, stamps, day, used)
-        done, rest = passed(waiting, iter(()) if state.hasTimedOut else batches, [tie], state.getCurrentWatermarkMs())
-        for k in range(0, 0 if done is None else len(done), ROWS_AT_ONCE):
-            part = done[k:k + ROWS_AT_ONCE]
-            yield part[columns].assign(granted=[quota.request(int(t)) for t in part[at]])
-        state.update((list(quota.stamps), quota.day, quota.used, None if rest is None else packed(rest)))
-        if rest is not None:
-            wake(state, int(rest["_at"].iloc[0]) // 1000)
-
     if ordered:
-        timed = in_event_time(stream.withColumn("_ts", F.timestamp_micros(at)), "_ts", delay)
-        return timed.groupBy(key).applyInPandasWithState(
-            decide_in_order, schema, "stamps array<bigint>, day bigint, used bigint, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+        return in_order_of_time.limited(stream, key, at, tie, per_minute, per_day, delay)
     return stream.groupBy(key).applyInPandasWithState(
         decide, schema, "stamps array<bigint>, day bigint, used bigint", "append", GroupStateTimeout.NoTimeout)
 
