@@ -16,6 +16,24 @@ def plan(df) -> str:
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_bow_model_scores_in_a_session_that_observed_something(spark):
+    """A fitted model holds its session; once a session has an observation manager it cannot be sent to tasks."""
+    spark.range(3).observe(Observation("seen"), F.count("*")).collect()
+    rows = [(["you", "idiot"], "harmful"), (["nice", "day"], "ok")] * 5
+    score = corpus.model_scorer(corpus.train_bow(spark.createDataFrame(rows, "tokens array<string>, label string")))
+    got = [r.model_score for r in score(spark.createDataFrame([(["idiot"],), (["day"],)], "tokens array<string>")).collect()]
+    assert got[0] > 0.5 > got[1]
+
+
+def test_training_rows_are_normalised_once(spark, tmp_path):
+    spark.createDataFrame([(1, "so n1ce"), (2, "you 1diot"), (3, None), (None, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = catalog_corpus.training(spark, str(tmp_path))
+    assert "regexp_replace" not in plan(df)
+    got = sorted((r.doc_id, r.tokens, r.label) for r in df.collect() if r.tokens)
+    assert got == [(1, ["so", "nice"], "ok"), (2, ["you", "idiot"], "harmful"), (2, ["you", "idiot"], "harmful")]
+
+
 def test_normalize_keeps_what_is_asked_for(spark):
     df = spark.createDataFrame([(1, "Y0u  @re soooo d*mb", "p")], "id long, text string, plain string")
     full = normalize.normalize(df).first().asDict()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from textguard.functions import text as T
 from textguard.functions.arrays import words
 from textguard.operators.normalize import resolve_masks
+from textguard.session import checkpoint_dir
 
 # Endings put behind templates and behind plain chat lines.
 TEMPLATE_TAILS = ["", "lol", "honestly", "fr", "tbh", "…", "!", ".", "i guess", "anyway",
@@ -121,15 +124,22 @@ def label_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("origin", "label").agg(F.count("*").alias("n"))
 
 
-def train_bow(df: DataFrame, tokens: str = "tokens", label: str = "label", features: int = 1 << 16) -> PipelineModel:
-    """M8: a bag-of-words classifier on normalised tokens; ok is class 0, harmful class 1."""
+def train_bow(df: DataFrame, tokens: str = "tokens", label: str = "label", features: int = 1 << 16, path: str | None = None) -> PipelineModel:
+    """M8: a bag-of-words classifier on normalised tokens; ok is class 0, harmful class 1.
+
+    The model is written to the folder ``path`` (a new one below the checkpoint folder, if none is given) and read from there. As it comes from the fit
+    it holds on to a training summary and with that to the session, which cannot be sent to tasks once anything in it was observed.
+    ``df`` is read several times: normalise it beforehand.
+    """
     stages = [
         StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetDesc", handleInvalid="skip"),
         HashingTF(inputCol=tokens, outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=20, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(df)
+    path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/textguard/{uuid.uuid4().hex}/bow"
+    Pipeline(stages=stages).fit(df).write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
 def model_scorer(model: PipelineModel, positive: int = 1):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.operators import cascade, normalize
+from textguard.operators.phrase_index import stored
 from textguard.plans import corpus, evaluate, rollups, traces
 from textguard.queries import catalog_events as E
 from textguard.queries import catalog_text as X
@@ -114,14 +115,15 @@ def split(spark, sf):
 
 def training(spark: SparkSession, sf: str) -> DataFrame:
     labels = frames.table(spark, sf, "labels").select("doc_id", F.expr("if(toxic = 1, 'harmful', 'ok')").alias("label"))
-    return normalize.normalize(X.docs(spark, sf).join(labels, "doc_id")).select("doc_id", "tokens", "label")
+    rows = normalize.normalize(X.docs(spark, sf).join(labels, "doc_id"), keep=["tokens"]).select("doc_id", "tokens", "label")
+    return stored(rows, frames.folder(spark, "training"))  # the stages of the classifier each read it again
 
 
 @query("train_bow")
 def train_bow(spark, sf):
     """A classifier trained on 85 % of the labelled documents, counted on the rest."""
     train, test = corpus.split(training(spark, sf), "doc_id")
-    score = corpus.model_scorer(corpus.train_bow(train))
+    score = corpus.model_scorer(corpus.train_bow(train, path=frames.folder(spark, "bow")))
     judged = score(test).select(F.expr("if(label = 'harmful', 1, 0)").alias("actual"), F.expr("if(model_score >= 0.5, 1, 0)").alias("predicted"))
     return evaluate.evaluate_classifier(judged)
 
