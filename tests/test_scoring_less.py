@@ -44,6 +44,22 @@ def test_normalize_keeps_what_is_asked_for(spark):
     assert normalize.normalize(df, keep=["tokens"]).columns == ["id", "text", "plain", "tokens"]
 
 
+@pytest.mark.parametrize("query,spared", [(X.join_singles, "destretched"), (X.word_hits, "cjoined"), (X.insult_aim_documents, "cjoined"), (X.evaluate_classifier, "cjoined")])
+def test_document_queries_settle_what_they_read(spark, tmp_path, query, spared):
+    spark.createDataFrame([(1, "you i d i o t"), (2, "fine")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = query(spark, str(tmp_path))
+    settled = [x for x in plan(df).split("\n") if "Generate explode(array(struct(" in x]
+    assert settled and not any(f"{spared}#" in x for x in settled)
+    df.collect()
+
+
+def test_only_labelled_documents_are_scored(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted(r.text for r in evaluate.labelled(docs, labels).collect()) == ["a", "b"]
+
+
 def by_steps(text):
     """N1-N3 one after the other."""
     return T.fold_confusables(T.fold_unicode(T.strip_invisible(text)))

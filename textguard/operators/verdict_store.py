@@ -37,7 +37,7 @@ def with_key(df: DataFrame, text: str = "text", context: str | None = "context",
     if variant == "trimmed":
         return df.withColumn("_bare", F.regexp_replace(text, r"^\s+|\s+$", "")).withColumn(out, verdict_key("_bare", context)).drop("_bare")
     kept = df.columns
-    return normalize(df, text).withColumn(out, verdict_key("squashed", context)).select(*kept, out)
+    return normalize(df, text, keep=["squashed"]).withColumn(out, verdict_key("squashed", context)).select(*kept, out)
 
 
 def read_store(df: DataFrame, path: str, columns: list[str], before: int | None = None) -> DataFrame | None:

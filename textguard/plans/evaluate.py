@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import text as T
 from textguard.operators.cascade import lexical_scorer, local_verdict
-from textguard.operators.normalize import normalize
+from textguard.operators.normalize import LEXICAL, normalize
 from textguard.operators.phrase_index import stored
 from textguard.operators.policy import expectation_met, hold_policy
 from textguard.operators.tier0 import level_of, tier0_verdict
@@ -24,10 +24,15 @@ def evaluate_classifier(df: DataFrame, actual: str = "actual", predicted: str =
 
 def document_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The lexical score and level of every document."""
-    scored = lexical_scorer(normalize(docs.select(key, text), text))
+    scored = lexical_scorer(normalize(docs.select(key, text), text, keep=LEXICAL))
     return scored.select(key, "model_score", F.expr(level_of("model_score")).alias("level"))
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Ids and texts of the documents that have a label; the others need no score to be held against one."""
+    return docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
 def doc_toxicity_eval(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The lexical verdict on documents against their labels: counts per (level, toxic).
 
@@ -35,8 +40,7 @@ def doc_toxicity_eval(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text once; after that only ids and scores move.
     """
     gold = labels.select("doc_id", "toxic")
-    wanted = docs.select("doc_id", "text").join(gold.select("doc_id"), "doc_id", "left_semi")
-    return (document_scores(wanted).join(gold, "doc_id").groupBy("level", "toxic")
+    return (document_scores(labelled(docs, gold)).join(gold, "doc_id").groupBy("level", "toxic")
             .agg(F.count("*").alias("docs"), F.round(F.avg("model_score"), 6).alias("avg_score")))
 
 
@@ -80,7 +84,7 @@ def attach_context(df: DataFrame, key: str, context: str = "context") -> DataFra
     A line's words come from the same normaliser; the few lines of a case are regrouped by key.
     """
     lines = df.select(key, F.posexplode(context).alias("pos", "line"))
-    tokens = normalize(lines, "line").select(key, "pos", F.expr("array_distinct(filter(tokens, w -> char_length(w) > 2))").alias("w"))
+    tokens = normalize(lines, "line", keep=["tokens"]).select(key, "pos", F.expr("array_distinct(filter(tokens, w -> char_length(w) > 2))").alias("w"))
     grouped = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
     joined = df.join(grouped, key, "left")
     return joined.withColumns({
