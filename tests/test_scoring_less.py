@@ -104,3 +104,15 @@ def test_a_word_the_lexicon_knows_stays(spark):
 
     got = {r.token: r.canonical for r in normalize.canonicalize(df, typos).collect()}
     assert got == {w: canonical(w) for w in words_}
+
+
+def test_texts_without_a_scoring_word_score_nothing(spark):
+    """Whatever the tiers give a score to has a word they are let through by."""
+    lines = [*frames.CARRIERS, *[p for ps in phrases.PHRASE_LISTS.values() for p in ps], *tier0.scoring_words(), "k y s", "you i d i o t", "fine day", "", None]
+    df = spark.createDataFrame([(i, t, f"{t} today" if t else t) for i, t in enumerate(lines)], "id long, a string, b string")
+    for text in ("a", "b"):
+        judged = cascade.moderate(normalize.normalize(df, text).withColumn("may", F.expr(tier0.may_score())), text, keep=["id", text, "may"])
+        rows = judged.collect()
+        assert [r[text] for r in rows if r.score > 0 and not r.may] == [] and any(r.may is False for r in rows)
+        held = {r.id: r.score for r in cascade.held_of(df, text, "attentive").collect()}
+        assert held == {r.id: r.score for r in judged.filter(cascade.held("attentive")).collect()} and held
