@@ -116,3 +116,13 @@ def test_texts_without_a_scoring_word_score_nothing(spark):
         assert [r[text] for r in rows if r.score > 0 and not r.may] == [] and any(r.may is False for r in rows)
         held = {r.id: r.score for r in cascade.held_of(df, text, "attentive").collect()}
         assert held == {r.id: r.score for r in judged.filter(cascade.held("attentive")).collect()} and held
+
+
+def test_offers_look_for_distress_first(spark, monkeypatch):
+    monkeypatch.setattr(streams, "once", lambda df, keys, ts, delay: df.dropDuplicates(keys))  # a batch has no watermark
+    rows = [(1, "i want to die"), (2, "I WANT to die!!"), (3, "nice day"), (4, None), (5, "i hate myself")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("ts", F.timestamp_seconds("id"))
+    whole = cascade.moderate(normalize.normalize(df)).filter("distress").dropDuplicates(["squashed"])
+    got = streams.offer_once(df)
+    assert set(got.columns) == set(whole.columns)
+    assert {r.squashed: (r.score, r.level) for r in got.collect()} == {r.squashed: (r.score, r.level) for r in whole.collect()} and got.count() == 2
