@@ -30,8 +30,8 @@ def test_training_rows_are_normalised_once(spark, tmp_path):
     spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     df = catalog_corpus.training(spark, str(tmp_path))
     assert "regexp_replace" not in plan(df)
-    got = sorted((r.doc_id, r.tokens, r.label) for r in df.collect() if r.tokens)
-    assert got == [(1, ["so", "nice"], "ok"), (2, ["you", "idiot"], "harmful"), (2, ["you", "idiot"], "harmful")]
+    got = sorted((r.doc_id, r.tokens, r.label) for r in df.collect())
+    assert got == [(1, ["so", "nice"], "ok"), (2, ["you", "idiot"], "harmful"), (2, ["you", "idiot"], "harmful"), (3, [], "harmful")]
 
 
 def test_normalize_keeps_what_is_asked_for(spark):

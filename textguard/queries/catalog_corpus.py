@@ -115,7 +115,8 @@ def split(spark, sf):
 
 def training(spark: SparkSession, sf: str) -> DataFrame:
     labels = frames.table(spark, sf, "labels").select("doc_id", F.expr("if(toxic = 1, 'harmful', 'ok')").alias("label"))
-    rows = normalize.normalize(X.docs(spark, sf).join(labels, "doc_id"), keep=["tokens"]).select("doc_id", "tokens", "label")
+    rows = normalize.normalize(X.docs(spark, sf).join(labels, "doc_id"), keep=["tokens"])
+    rows = rows.select("doc_id", F.expr("coalesce(tokens, cast(array() AS array<string>))").alias("tokens"), "label")  # a null text has no words
     return stored(rows, frames.folder(spark, "training"))  # the stages of the classifier each read it again
 
 
