@@ -2,9 +2,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textguard.functions import text as T
 from textguard.operators import cascade, normalize, passages, phrase_index, phrases, tier0
 from textguard.operators.model_scorer import DISGUISES, BatchScorer
 from textguard.queries.frames import CARRIERS
@@ -116,6 +118,53 @@ def test_a_phrase_is_posted_under_its_rarest_part(spark):
     assert {(r.needle, r.part, r.n) for r in phrase_index.rarest_parts(needles, counts).collect()} == {(" a b c ", "b c", 4), (" b c ", "b c", 4), (" a ", "a", 70), (" a a ", "a a", 1)}
 
 
+def test_phrase_table_stores_no_texts(spark, tmp_path):
+    rng = random.Random(4)
+    vocab = [f"word{i}" for i in range(5000)]
+    rows = [(i, " " + " ".join(rng.choice(vocab) for _ in range(400)) + " ") for i in range(300)]
+    listed = [" ".join(t.split()[7:11]) for _, t in rows[:50]]
+    table = spark.createDataFrame([("l", p, False, f" {p} ") for p in listed], "list string, phrase string, evasive boolean, needle string")
+    found = phrase_index.phrase_matches(spark.createDataFrame(rows, "id long, ctext string"), table, "id", str(tmp_path / "a"), joined=None).collect()
+    assert {(r.id, r.phrase) for r in found} == {(i, p) for i, t in rows for p in listed if f" {p} " in t}
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert written < sum(len(t) for _, t in rows) / 10
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
+def test_phrases_are_where_their_needles_are(spark, chunk):
+    rng = random.Random(5)
+    words = ["a", "b", "é", "😀", "ab", ""]
+    forms = ["", " ", "  ", "a", " a", "a ", " a b ", "a b c", " a  b "] + [rng.choice(["", " "]) + " ".join(rng.choice(words) for _ in range(rng.randrange(60))) + rng.choice(["", " "]) for _ in range(300)]
+    runs = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(400)} - {""})
+    table = spark.createDataFrame([(r,) for r in runs], "run string")
+    bitmap, bits, sizes = phrase_index.known_runs(table)
+    assert sizes == sorted({r.count(" ") + 1 for r in runs})
+    data, borders = phrase_index.utf8(pa.array(["cut off", *forms])[1:])
+    met, before = set(), phrase_index.CHUNK
+    phrase_index.CHUNK = chunk
+    try:
+        for a, b in phrase_index.chunks(borders):
+            met |= {(a + t, r.decode()) for t, r in phrase_index.runs_met(data[borders[a]:borders[b]], borders[a:b + 1] - borders[a], bitmap, bits, sizes)}
+    finally:
+        phrase_index.CHUNK = before
+    want = {(i, r) for i, form in enumerate(forms) for r in runs if f" {r} " in form}
+    assert len(want) > 500 and want <= met and len(met - want) < 20
+
+
+def test_evasive_phrases_in_the_joined_form(spark, tmp_path):
+    texts = [(1, " k y s ", " kys "), (1, " go ", " go "), (None, " kys ", " kys "), (2, None, " kys "), (3, " kys now then you five six ", None), (4, " now then you five ", " now then you five ")]
+    table = [("l", "kys", True, " kys "), ("l", "go", None, " go "), ("m", "kys", False, " kys "), ("l", "long", False, " now then you five six "), ("l", "word", True, " absent "), ("l", "gap", False, "  ")]
+    df, rows = spark.createDataFrame(texts, "id long, ctext string, cjoined string"), spark.createDataFrame(table, "list string, phrase string, evasive boolean, needle string")
+    got = phrase_index.phrase_matches(df, rows, "id", str(tmp_path / "a")).collect()
+    assert sorted(map(tuple, got)) == [(1, "l", "go"), (1, "l", "kys"), (2, "l", "kys"), (3, "l", "kys"), (3, "l", "long"), (3, "m", "kys")]
+
+
+def test_padded_words_are_the_words_padded(spark):
+    texts = ["", " ", "don't stop", "'", "a-b  c", "--a", "a--", "Ünï cödé, 'quoted'! ٣ x", "é", "…", "tab\tnew\nline", "\0a\x1fb", None, "ß²½", "a\u00a0b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.padded_words(F.col("t")).alias("got"), T.padded(T.tokenize(F.col("t"))).alias("want"))
+    assert all(r.got == r.want for r in df.collect())
+
+
 # ------------------------------------------------------------------ X1 / C1
 def counting_model(folder):
     """A stand-in that writes down each text it reads; 'loser' is 0.9, 'bad' 0.6, 'nan' no number."""
