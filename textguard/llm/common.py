@@ -1,6 +1,8 @@
 """Small helpers the training-data operators share."""
 from __future__ import annotations
 
+import codecs
+import json
 import re
 import sys
 import types
@@ -8,6 +10,8 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,17 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PIECE = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
 
 
-OTHER_SPACE, NOT_SPACE = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), re.compile(f"[^{SPACE}]+")
+OTHER_SPACE = re.compile("[\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A letter, then ASCII marks up to the end.
-MARKS = frozenset(".,!?;:|%$*&#)")
+AFTER = ".,!?;:|%$*&#)"
+MARKS = frozenset(AFTER)
+#: What marks part from: letters and figures that are such to Python and the tokenizer alike.
+BEFORE = frozenset("0123456789" + "".join(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xc0, 0xd7), *range(0xd8, 0xf7), *range(0xf8, 0x100)]))
+#: Characters of the texts whose words are looked up together.
+GROUP_CHARACTERS = 1 << 22
+#: The signs that stand for bytes in byte-level vocabularies: the byte's own if it prints, else one from 256 on; a blank stays here.
+PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = "".join(" " if b == 32 else chr(b) if b in PRINTS else chr(256 + b - sum(p < b for p in PRINTS)) for b in range(256))
 MARKED = re.compile("(.*[A-Za-z\u00e0-\u00f6\u00f8-\u00ff])([.,!?;:|%$*&#)]+)")
 
 
@@ -171,22 +183,108 @@ def byte_ids(texts: list[str], path: str, special: str = "<|endoftext|>") -> lis
     return out
 
 
+class Words:
+    """Head of a word -> its ids as little-endian uint32 bytes, by the tokenizers library's word tokenizer.
+
+    Latin letters, small to Python and the tokenizer alike, are one piece and go to the library's model past its normaliser. Other heads
+    go to the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.heads, self.path = {"": b""}, path
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in kind["merges"]]
+        self.model = Tokenizer(models.BPE(vocab=kind["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=kind["end_of_word_suffix"]))
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(kind["vocab"].values()) + 1, bool)
+        self.ends[[n for token, n in kind["vocab"].items() if token.endswith(kind["end_of_word_suffix"])]] = True
+
+    def ids(self, heads: list[str]) -> list[bytes]:
+        """The ids of each of some distinct heads; the empty one has none."""
+        found = list(map(self.heads.get, heads))
+        new = [k for k, x in enumerate(found) if x is None]
+        if len(self.heads) + len(new) > CACHE_ENTRIES:
+            self.heads = {"": b""}
+        plain, other = [], []
+        for k in new:
+            head = heads[k]
+            (plain if head.isalpha() and (head.isascii() or max(head) <= "\xff") else other).append(head)
+        self.encode(plain)
+        whole = encoded(self.path)
+        whole.learn(other)
+        self.heads.update((head, whole[head]) for head in other)
+        for k in new:
+            found[k] = self.heads[heads[k]]
+        return found
+
+    def encode(self, unknown: list[str]) -> None:
+        """Many heads go to the model as one text; each one's last token says so."""
+        groups = [unknown[k:k + 256] for k in range(0, len(unknown), 256)]
+        for k in range(0, len(groups), 16):
+            some = groups[k:k + 16]
+            joined = [codecs.charmap_decode(" ".join(g).lower().encode(), "strict", BYTE_SIGNS)[0] for g in some]
+            for group, one in zip(some, self.model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.asarray(one.ids, "<u4")
+                raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                for head, a, b in zip(group, [0, *ends[:-1]], ends, strict=True):
+                    self.heads[head] = raw[a:b]
+
+
+def joined_rows(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``data`` that begin there, one after the other."""
+    at = np.repeat(begin - np.cumsum(length) + length, length)
+    at += np.arange(len(at))
+    return data.take(at)
+
+
 def word_ids(texts: list[str], path: str, special: tuple[str, ...] = ("<|startoftext|>", "<|endoftext|>")) -> list[bytes]:
     """The ids of each text (uint32 bytes) by the word tokenizer, word by word.
 
-    Its tokens never cross white space, and neither composing nor lower-casing looks over it. Texts holding a special token's
-    string go to the library whole.
+    Its tokens never cross white space, and neither composing nor lower-casing looks over it. Marks after a letter or figure are a piece of
+    their own, so a word is put together from its head and its marks, and of many texts each distinct head is looked up once. Texts holding
+    a special token's string, in capitals or not, go to the library whole.
     """
-    held, out = encoded(path), []
-    for k in range(0, len(texts), 128):
-        some = texts[k:k + 128]
-        cut = [None if any(s in t for s in special) else words_between(t) for t in some]
-        held.learn(set().union(*[c for c in cut if c is not None]))
-        get = held.__getitem__
-        out += [whole_ids(t, path) if c is None else b"".join(map(get, c)) for t, c in zip(some, cut, strict=True)]
+    cache = only_cache("encoded")
+    if (path, None) not in cache:
+        cache[path, None] = Words(path)
+    known, out, at = cache[path, None], [], 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and size < GROUP_CHARACTERS:
+            some.append(texts[at])
+            size += len(texts[at])
+            at += 1
+        low = [t.lower() for t in some]
+        whole = [any(s in t for s in special) for t in low]
+        column = pa.array(["" if w else t for t, w in zip(some, whole, strict=True)], pa.large_string())
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        words = cut.flatten()
+        coded = pc.ascii_rtrim(words, characters=AFTER).dictionary_encode()
+        heads, head = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        # Marks after a sign belong to it: such a word is looked up whole.
+        fast = np.array([not h or h[-1] in BEFORE for h in heads], bool)
+        marked = pc.binary_length(words).to_numpy() - np.fromiter((len(h.encode()) for h in heads), np.int64, len(heads))[head]
+        odd = np.flatnonzero((marked > 0) & ~fast[head])
+        more = words.take(pa.array(odd)).dictionary_encode()
+        head[odd] = len(heads) + more.indices.to_numpy()
+        marked[odd] = 0
+        ended = np.flatnonzero(marked)
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:][1:len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        offsets = np.r_[0, np.cumsum(marked[ended])]
+        tails = pa.LargeStringArray.from_buffers(len(ended), pa.py_buffer(offsets), pa.py_buffer(joined_rows(data, ends[ended] - marked[ended], marked[ended]))).dictionary_encode()
+        names = heads + more.dictionary.to_pylist()
+        # Head and marks are two rows of ids; the last row is empty.
+        rows = [*known.ids(names), *known.ids(tails.dictionary.to_pylist()), b""]
+        row = np.full((len(words), 2), len(rows) - 1)
+        row[:, 0] = head
+        row[ended, 1] = len(names) + tails.indices.to_numpy()
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        times = lengths[row]
+        raw = joined_rows(np.frombuffer(b"".join(rows), "<u4"), (np.cumsum(lengths) - lengths)[row].ravel(), times.ravel()).tobytes()
+        borders = (4 * np.r_[0, np.cumsum(times.sum(axis=1))][cut.offsets.to_numpy()]).tolist()
+        out += [whole_ids(t, path) if w else raw[a:b] for t, w, a, b in zip(some, whole, borders[:-1], borders[1:], strict=True)]
     return out
-
-
-def words_between(text: str) -> list[str]:
-    """The words between the tokenizers' white space; Python's own has four more characters."""
-    return NOT_SPACE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()

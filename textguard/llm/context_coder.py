@@ -1,13 +1,14 @@
 """Token ids in compressed files: an adaptive context-mixing range coder.
 
-A segment's most frequent ids get twelve-bit numbers in order of frequency; any other id is an escape, and stands literally beside the
-code. A number is coded as three symbols of four bits, highest first. For each symbol, three orders predict: one knows the symbols
-before it in the number (order 0), one the number before as well (order 1), one the two numbers before (order 2). A prediction is a
-cumulative distribution over the 16 symbols that moves towards what was seen. The three are mixed by weights that follow how well each
-has predicted of late, and the mix drives a carry-less range coder. All arithmetic is on integers, so every machine decodes alike.
+A segment's ids get numbers in order of frequency; each is coded as one symbol. Three orders predict it: one knows how often each
+number has come (order 0), one how often it has come after the number before (order 1; the frequent numbers are contexts of their own,
+the rest share one), one what came last after the two numbers before (order 2). The first two are mixed by how much a context has seen
+and of how many kinds, the third by how often it was right of late. The mix drives a carry-less range coder. All arithmetic is on
+integers or single steps on floats that are rounded alike everywhere, so every machine decodes alike.
 
-Ids are coded in blocks. Each starts from fresh tables and carries its own checksum, so any block can be read without the others. Many
-blocks are coded side by side, one lane each, in numpy.
+Ids are coded in blocks. Each starts from fresh tables and carries its own checksum, so any block can be read without the others. The
+stretches of a block are coded side by side, one lane each, in numpy: they share the tables. What came last is noted after each step,
+counts and weights at the end of a round of steps.
 
 A segment holds whole documents, up to some millions of ids: header, document index, alphabet, block table, blocks.
 """
@@ -22,218 +23,276 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textguard.llm.common import shared_folder, texts_of, word_ids
-
-MAGIC = b"TGCM1\0\0\0"
-#: Blocks of a segment, and ids of a block: a small segment has shorter blocks rather than fewer.
-LANES, LEAST_BLOCK, MOST_BLOCK = 1024, 512, 4096
-#: A row's shares sum up to TOTAL, and seen or not a symbol keeps about half of LEAST_SHARE; the mix has 16 bits.
-TOTAL, LEAST_SHARE, MIX_BITS = 1 << 14, 32, 16
-SYMBOLS, ESCAPE = 3, 4095
-#: log2 of the rows of each order's table, and how fast its rows move (a shift): the rarer a context, the faster.
-ROW_BITS, RATES = (10, 9, 9), (4, 3, 1)
-FIRST_ROW = np.array([0, 1 << ROW_BITS[0], (1 << ROW_BITS[0]) + (1 << ROW_BITS[1])])[:, None]
-ROWS = sum(1 << b for b in ROW_BITS)
-SHIFTS = np.array([32 - b for b in ROW_BITS], np.uint32)[:, None]
-BOTTOM, WORD = np.uint64(1 << 32), np.uint64(16)
-#: Sixteenths of a bit that a share of the total costs, by share / 16; and the weight of an order by how far it lies behind the best.
-COST = np.round(16 * np.log2(TOTAL / (16 * np.arange(1025) + 8.0))).clip(0).astype(np.int32)
-WEIGHT = np.maximum(1, np.round(64 * 0.5 ** (np.arange(64) / 4))).astype(np.int32)
-
-
-def moved_to() -> np.ndarray:
-    """Where a row moves when a symbol is seen: nearly all to it, LEAST_SHARE to each of the others."""
-    j, s = np.arange(16)[None, :], np.arange(16)[:, None]
-    return np.where(j <= s, j * LEAST_SHARE, TOTAL - (16 - j) * LEAST_SHARE).astype(np.int16)
-
-
-class Lanes:
-    """Tables, weights and coder state of blocks coded side by side; the first m lanes take part in a step."""
-
-    def __init__(self, n: int):
-        self.targets = moved_to()
-        self.table = np.tile((np.arange(16) * (TOTAL // 16)).astype(np.int16), (n * ROWS, 1))
-        self.whole = self.table.view("V32").ravel()  # rows as single elements: quicker to write
-        self.base = np.arange(n) * ROWS + FIRST_ROW
-        self.scores = np.zeros((3, n), np.int32)
-        self.before = np.zeros((2, n), np.uint32)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-        self.mixed = np.empty((n, 16), np.uint16)
-        self.lane = np.arange(n) * 16
-
-    def begin(self, m: int) -> None:
-        """Contexts and weights for the next number of the first m lanes."""
-        a, b = self.before[0, :m], self.before[1, :m]
-        self.context = np.stack([np.zeros(m, np.uint32), a * np.uint32(0x2545F491) + np.uint32(0x1B873593), (a * np.uint32(0x27D4EB2F)) ^ (b * np.uint32(0x165667B1)) + np.uint32(0x5BD1E995)])
-        score = self.scores[:, :m]
-        raw = WEIGHT[np.minimum((score - score.min(axis=0)) >> 3, 63)]
-        rest = (raw[1:] << 4) // raw.sum(axis=0)
-        self.share = np.stack([16 - rest[0] - rest[1], *rest])[:, :, None].astype(np.uint16)
-        self.node = np.ones(m, np.uint32)
-
-    def end(self, m: int) -> np.ndarray:
-        """The number just coded."""
-        number = self.node & np.uint32(4095)
-        self.before[1, :m] = self.before[0, :m]
-        self.before[0, :m] = number
-        return number
-
-    def predict(self, m: int) -> None:
-        """Mix the three predictions of the next symbol into ``self.mixed``."""
-        spread = (self.context + self.node * np.uint32(0x85EBCA6B)) * np.uint32(0x9E3779B1)
-        self.at = (spread >> SHIFTS) + self.base[:, :m]
-        self.found = self.table.take(self.at, axis=0)
-        # Twelve bits of each row times weights that sum up to 16 make 16 bits.
-        parts = self.found.view(np.uint16) >> np.uint16(2)
-        parts *= self.share
-        np.add(parts[0], parts[1], out=self.mixed[:m])
-        self.mixed[:m] += parts[2]
-
-    def learn(self, m: int, symbol: np.ndarray) -> None:
-        """Move the used rows towards the symbol, and charge each order what its own prediction would have cost."""
-        own, flat = self.lane[:m] + symbol, self.found.reshape(3, -1)
-        after = flat.take(np.minimum(own + 1, flat.shape[1] - 1), axis=1)
-        after[:, symbol == 15] = TOTAL
-        after -= flat.take(own, axis=1)
-        score = self.scores[:, :m]
-        score += COST.take(after >> 4) - (score >> 4)
-        moved = self.targets.take(symbol, axis=0) - self.found
-        for part, rate in zip(moved, RATES, strict=True):
-            part >>= rate
-        moved += self.found
-        self.whole.put(self.at, moved.reshape(-1, 16).view("V32"))
-        self.node = (self.node << np.uint32(4)) | symbol
-
-    def narrow(self, m: int, symbol: np.ndarray) -> np.ndarray:
-        """Narrow the ranges to the symbol's share; the lanes that must hand out (or take in) a word come back."""
-        flat, own = self.mixed.ravel(), self.lane[:m] + symbol
-        start, end = flat.take(own).astype(np.uint64), flat.take(np.minimum(own + 1, len(flat) - 1)).astype(np.uint64)
-        end[symbol == 15] = 1 << MIX_BITS
-        step = self.range[:m] >> np.uint64(MIX_BITS)
-        self.low[:m] += start * step
-        end -= start
-        np.multiply(end, step, out=self.range[:m])
-        return self.small(np.flatnonzero(self.range[:m] < BOTTOM))
-
-    def small(self, lanes: np.ndarray) -> np.ndarray:
-        """Cut the small ranges among ``lanes`` that reach over a border of the highest word, so that it is certain."""
-        if len(lanes):
-            low, width = self.low[lanes], self.range[lanes]
-            open_ = ((low ^ (low + width)) >> np.uint64(48)) > 0
-            self.range[lanes[open_]] = (~low[open_] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-        return lanes
-
-    def shift(self, lanes: np.ndarray) -> np.ndarray:
-        self.low[lanes] <<= WORD
-        self.range[lanes] <<= WORD
-        return self.small(lanes[self.range[lanes] < BOTTOM])
+from textguard.llm.common import GROUP_CHARACTERS, shared_folder, texts_of, word_ids
+
+MAGIC = b"TGCM2\0\0\0"
+#: Ids of a segment, blocks of a whole one, and ids of a block: a small segment has shorter blocks rather than fewer.
+SEGMENT, BLOCKS, LEAST_BLOCK = 1 << 23, 4, 512
+#: A lane's ids at least, and lanes of a block at most.
+STEPS, LANES = 256, 4096
+#: Contexts of order 1, cells of their table, and log2 of the slots of order 2's.
+CONTEXTS, CELLS, SLOT_BITS = 256, 1 << 20, 18
+#: log2 of a row's total (more with a large alphabet), of the parts of a mix, and of the buckets a row is looked up by.
+TOTAL_BITS, MIX_BITS, BUCKET_BITS = 18, 4, 12
+BOTTOM, WORD, LOW_WORD = np.uint64(1 << 32), np.uint64(32), np.uint64((1 << 32) - 1)
+RIGHT = np.array([1, 2, 3, 3], np.uint32)
+FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+class Model:
+    """What the lanes of a block share: counts, rows mixed of orders 0 and 1, what came last, and the weights."""
+
+    def __init__(self, n: int, n_known: int, reads: bool):
+        self.known, self.reads = n_known, reads
+        self.contexts = max(1, min(CONTEXTS, min(CELLS, 2 * n) // n_known))
+        self.bits = max(TOTAL_BITS, n_known.bit_length() + 2)
+        self.last = np.uint32(self.contexts - 1)
+        # 24 bits hold what a row is computed from unless its total is large.
+        self.seen = np.zeros((self.contexts, n_known), np.float32 if self.bits == TOTAL_BITS else np.float64)
+        self.rows = np.zeros((self.contexts, n_known + 1), np.uint32)
+        self.came = np.zeros(1 << SLOT_BITS, np.uint32)  # 4 x number + how often in a row it was right
+        self.right = np.zeros((4, 2), np.int64)
+        self.weigh()
+
+    def weigh(self) -> None:
+        """Rows and weights from what is counted so far."""
+        kind, total = self.seen.dtype.type, 1 << self.bits
+        free = total - self.known
+        every = self.seen.sum(axis=0, dtype=np.float64)
+        n, times = int(every.sum()), self.seen.sum(axis=1, dtype=np.float64)
+        kinds = np.count_nonzero(self.seen, axis=1)
+        plain = (every / max(n, 1) if n else np.full(self.known, 1 / self.known)).astype(kind)
+        after = times + kinds + (times == 0)
+        row = self.seen * (free / after).astype(kind)[:, None]
+        row += plain * (free * ((kinds + (times == 0)) / after)).astype(kind)[:, None]
+        cells = row.astype(np.uint32)
+        cells += np.uint32(1)
+        np.cumsum(cells, axis=1, out=self.rows[:, 1:], dtype=np.uint32)
+        # What rounding leaves goes to number 0.
+        self.rows[:, 1:] += np.uint32(total) - self.rows[:, -1:]
+        missed, hit = self.right.T
+        parts = 1 << MIX_BITS
+        self.weights = np.minimum((parts * hit + (missed + hit) // 2) // np.maximum(missed + hit, 1), parts - 1).astype(np.uint32)
+        if self.reads:
+            shift = self.bits - BUCKET_BITS
+            line = (1 << BUCKET_BITS) + 1
+            starts = (self.rows[:, 1:-1] + np.uint32((1 << shift) - 1)) >> np.uint32(shift)
+            at = starts + (np.arange(self.contexts, dtype=np.uint32) * np.uint32(line))[:, None]
+            marks = np.bincount(at.ravel(), minlength=self.contexts * line).reshape(self.contexts, line)
+            self.buckets = np.cumsum(marks, axis=1, dtype=np.uint32).ravel()
+        self.flat = self.rows.ravel()
+
+    def note(self, slot: np.ndarray, cell: np.ndarray, number: np.ndarray) -> None:
+        """What came last is what came now; being right counts up to three times in a row."""
+        self.came[slot] = (number << np.uint32(2)) | RIGHT.take(cell & np.uint32(3)) * (cell >> np.uint32(2) == number)
+
+    def close(self, numbers: np.ndarray, cells: np.ndarray) -> None:
+        """Learn from a round: ``numbers`` has the two steps before it as well, ``cells`` what order 2 had. Older verdicts count half."""
+        context, number = np.minimum(numbers[1:-1], self.last), numbers[2:]
+        found = np.bincount((context * np.int64(self.known) + number).ravel(), minlength=self.seen.size).reshape(self.seen.shape)
+        np.add(self.seen, found, out=self.seen, casting="unsafe")
+        hit = cells >> np.uint32(2) == number
+        self.right = self.right // 2 + np.bincount(((cells & np.uint32(3)) * np.uint32(2) + hit).ravel(), minlength=8).reshape(4, 2)
+        self.weigh()
+
+
+def slots(before: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where order 2 keeps what came last after two numbers."""
+    return (before * FIRST + second * SECOND) * FIRST >> np.uint32(32 - SLOT_BITS)
+
+
+def rounds_of(steps: int) -> list[tuple[int, int]]:
+    """Steps of each round, each some twice as long as all before it."""
+    ends = [0, 1]
+    while ends[-1] < steps:
+        end = 3 * ends[-1] + 1
+        ends.append(end if end + end // 2 < steps else steps)
+    return list(zip(ends[:-1], ends[1:]))
+
+
+def lanes_of(n: int) -> tuple[int, int]:
+    """Lanes of a block of ``n`` ids and the steps each takes. The last lane's missing numbers are coded as 0."""
+    steps = min(n, max(STEPS, -(-n // LANES)))
+    return -(-n // steps), steps
 
 
 def blocks_of(n: int) -> np.ndarray:
     """Lengths of a segment's blocks."""
-    size = min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // LANES)))
+    size = max(LEAST_BLOCK, -(-min(n, SEGMENT) // BLOCKS))
     return np.array([size] * (n // size) + [n % size] * (n % size > 0), np.int64)
 
 
-def encode_blocks(numbers: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """Each block's words. Only the last block may be shorter than the others."""
-    if not len(lengths):
-        return []
-    n, size = len(lengths), int(lengths[0])
+def settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Small ranges, cut at the border of the highest word if they reach over one, so that the word is certain."""
+    over = np.flatnonzero((low + width ^ low) >> WORD)
+    if len(over):
+        width[over] = (~low[over] + np.uint64(1)) & LOW_WORD
+    return width
+
+
+def encode_block(numbers: np.ndarray, n_known: int) -> bytes:
+    """How many words each lane has (the first not counted), and the words lane by lane."""
+    (n, size), model = lanes_of(len(numbers)), Model(len(numbers), n_known, reads=False)
     padded = np.zeros(n * size, np.uint32)
     padded[:len(numbers)] = numbers
-    grid = np.ascontiguousarray(padded.reshape(n, size).T)
-    lanes, fill = Lanes(n), np.zeros(n, np.int64)
-    words = np.zeros((n, SYMBOLS * size + 8), np.uint16)  # a symbol's share is above 2**-16: a word at most
-    for t in range(size):
-        m = n - int(t >= lengths[-1])
-        if not m:
-            break
-        lanes.begin(m)
-        for k in range(SYMBOLS):
-            symbol = (grid[t, :m] >> np.uint32(4 * (SYMBOLS - 1 - k))) & np.uint32(15)
-            lanes.predict(m)
-            out = lanes.narrow(m, symbol)
-            while len(out):
-                words[out, fill[out]] = lanes.low[out] >> np.uint64(48)
-                fill[out] += 1
-                out = lanes.shift(out)
-            lanes.learn(m, symbol)
-        lanes.end(m)
-    for _ in range(4):
-        words[np.arange(n), fill] = lanes.low >> np.uint64(48)
-        fill += 1
-        lanes.low <<= WORD
-    return [words[k, :fill[k]].astype("<u2").tobytes() for k in range(n)]
-
-
-def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
-    """The numbers of each block; the blocks may be any of a segment's, longest first."""
-    if not len(blocks):
-        return []
-    n, size = len(blocks), int(lengths[0])
-    longest = max(map(len, blocks)) // 2
-    words = np.zeros((n, longest), np.uint64)
-    for k, b in enumerate(blocks):
-        words[k, :len(b) // 2] = np.frombuffer(b, "<u2")
-    lanes, read = Lanes(n), np.full(n, 4, np.int64)
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
-    grid = np.zeros((size, n), np.uint32)
-    for t in range(size):
-        m = int((lengths > t).sum())
-        lanes.begin(m)
-        for _ in range(SYMBOLS):
-            lanes.predict(m)
-            value = np.minimum((code[:m] - lanes.low[:m]) // (lanes.range[:m] >> np.uint64(MIX_BITS)), np.uint64((1 << MIX_BITS) - 1)).astype(np.uint16)
-            symbol = (lanes.mixed[:m, 1:16] <= value[:, None]).sum(axis=1, dtype=np.uint32)
-            out = lanes.narrow(m, symbol)
-            while len(out):
-                code[out] = (code[out] << WORD) | words[out, np.minimum(read[out], longest - 1)]
-                read[out] += 1
-                out = lanes.shift(out)
-            lanes.learn(m, symbol)
-        grid[t, :m] = lanes.end(m)
-    return [grid[:x, k] for k, x in enumerate(lengths.tolist())]
+    grid = np.zeros((size + 2, n), np.uint32)  # two steps of nothing come before
+    grid[2:] = padded.reshape(n, size).T
+    low, width = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+    # A step narrows a range by less than a word: a lane hands out one at most.
+    words, home = np.zeros(n * (size + 1), np.uint32), np.arange(n) * (size + 1)
+    fill, cells = home.copy(), np.empty((size, n), np.uint32)
+    bits, scale = np.uint32(model.bits), np.uint64(model.bits + MIX_BITS)
+    for begin, end in rounds_of(size):
+        for a in range(begin, end, 16):
+            b = min(a + 16, end)
+            here, before, cell = grid[a + 2:b + 2], grid[a + 1:b + 1], cells[a:b]
+            for number, slot, row in zip(here, slots(before, grid[a:b]), cell, strict=True):
+                model.came.take(slot, out=row)
+                model.note(slot, row, number)
+            at = np.minimum(before, model.last) * np.uint32(n_known + 1) + here
+            start, share = model.flat.take(at), model.flat.take(at + np.uint32(1))
+            share -= start
+            weight, guess = model.weights.take(cell & np.uint32(3)), cell >> np.uint32(2)
+            rest = np.uint32(1 << MIX_BITS) - weight
+            weight <<= bits
+            start *= rest
+            start += weight * (guess < here)
+            share *= rest
+            share += weight * (guess == here)
+            for first, part in zip(start, share, strict=True):
+                step = width >> scale
+                low += first * step
+                np.multiply(part, step, out=width)
+                out = np.flatnonzero(width < BOTTOM)
+                if len(out):
+                    some = low[out]
+                    width[out] = settled(some, width[out]) << WORD
+                    words[fill[out]] = some >> WORD
+                    fill[out] += 1
+                    low[out] = some << WORD
+        if end < size:
+            model.close(grid[begin:end + 2], cells[begin:end])
+    words[fill] = (low + LOW_WORD) >> WORD  # a range holds a number whose second word is 0
+    counts = fill - home
+    held = np.arange(size + 1) <= counts[:, None]
+    return counts.astype("<u4").tobytes() + words.reshape(n, size + 1)[held].astype("<u4").tobytes()
+
+
+def decode_block(block: bytes, length: int, n_known: int) -> np.ndarray:
+    """The numbers of a block."""
+    (n, size), model = lanes_of(length), Model(length, n_known, reads=True)
+    raw = np.frombuffer(block[:len(block) // 4 * 4], "<u4")
+    if len(raw) < n or int(raw[:n].sum(dtype=np.int64)) + 2 * n != len(raw):
+        raise ValueError("a block's lanes do not fit its length")
+    words = np.r_[raw[n:], np.uint32(0)].astype(np.uint64)
+    ends = np.cumsum(raw[:n].astype(np.int64) + 1)
+    read = ends - raw[:n] - 1
+    low, width = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+    code = words[read] << WORD
+    read += 1
+    inside = np.flatnonzero(read < ends)
+    code[inside] |= words[read[inside]]
+    read += 1
+    grid, cells = np.zeros((size + 2, n), np.uint32), np.empty((size, n), np.uint32)
+    bits, scale, shift = np.uint32(model.bits), np.uint64(model.bits + MIX_BITS), np.uint32(model.bits - BUCKET_BITS)
+    top, most, line = np.uint32((1 << model.bits) - 1), np.uint64((1 << (model.bits + MIX_BITS)) - 1), np.uint32((1 << BUCKET_BITS) + 1)
+    for begin, end in rounds_of(size):
+        for t in range(begin, end):
+            context = np.minimum(grid[t + 1], model.last)
+            slot, at = slots(grid[t + 1], grid[t]), context * np.uint32(n_known + 1)
+            cell = model.came.take(slot, out=cells[t])
+            weight, guess = model.weights.take(cell & np.uint32(3)), cell >> np.uint32(2)
+            rest = np.uint32(1 << MIX_BITS) - weight
+            weight <<= bits
+            step = width >> scale
+            value = np.minimum((code - low) // step, most).astype(np.uint32)
+            # The guess's part of the mix lies where its number begins in the row.
+            own = at + guess
+            first, last = model.flat.take(own) * rest, model.flat.take(own + np.uint32(1)) * rest + weight
+            above, below = value >= last, value < first
+            share = np.minimum((value - weight * above) // rest, top)
+            bucket = context * line + (share >> shift)
+            number, highest = model.buckets.take(bucket), model.buckets.take(bucket + np.uint32(1))
+            wide = np.flatnonzero(number < highest)
+            while len(wide):
+                low_end, high_end = number[wide], highest[wide]
+                middle = (low_end + high_end + np.uint32(1)) >> np.uint32(1)
+                reached = model.flat.take(at[wide] + middle) <= share[wide]
+                low_end, high_end = np.where(reached, middle, low_end), np.where(reached, high_end, middle - np.uint32(1))
+                number[wide], highest[wide] = low_end, high_end
+                wide = wide[low_end < high_end]
+            hit = ~(above | below)
+            np.copyto(number, guess, where=hit)
+            grid[t + 2] = number
+            at += number
+            start, part = model.flat.take(at), model.flat.take(at + np.uint32(1))
+            part -= start
+            start *= rest
+            start += weight * (guess < number)
+            part *= rest
+            part += weight * hit
+            low += start * step
+            np.multiply(part, step, out=width)
+            out = np.flatnonzero(width < BOTTOM)
+            if len(out):
+                some, place = low[out], read[out]
+                width[out] = settled(some, width[out]) << WORD
+                low[out] = some << WORD
+                code[out] = code[out] << WORD | np.where(place < ends[out], words[np.minimum(place, len(words) - 1)], np.uint64(0))
+                read[out] = place + 1
+            model.note(slot, cell, number)
+        if end < size:
+            model.close(grid[begin:end + 2], cells[begin:end])
+    return np.ascontiguousarray(grid[2:].T).ravel()[:length]
 
 
 HEAD = "<8sIIIQI"
 
 
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids there are, by frequency, and each id's number among them."""
+    if len(ids) and int(ids.max()) < 1 << 20:
+        times = np.bincount(ids)
+        known = np.flatnonzero(times)
+        known = known[np.lexsort((known, -times[known]))]
+        number = np.zeros(len(times), np.uint32)
+        number[known] = np.arange(len(known), dtype=np.uint32)
+        return known.astype(np.uint32), number.take(ids)
+    known, place, times = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((known, -times))
+    number = np.empty(len(known), np.uint32)
+    number[order] = np.arange(len(known), dtype=np.uint32)
+    return known[order].astype(np.uint32), number[place]
+
+
 def encode_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
     """One segment: documents in order, ``counts`` ids (unsigned 32-bit) each, all of them in ``ids``."""
     ids = np.ascontiguousarray(ids, "<u4")
-    known, place, times = np.unique(ids, return_inverse=True, return_counts=True)
-    by_count = np.lexsort((known, -times))
-    rank = np.empty(len(known), np.int64)
-    rank[by_count] = np.arange(len(known))
-    numbers = np.minimum(rank, ESCAPE)[place].astype(np.uint32)
+    alphabet, numbers = ranked(ids)
     lengths = blocks_of(len(ids))
     ends = np.cumsum(lengths)
-    bodies, escapes = encode_blocks(numbers, lengths), []
-    for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
-        literal = ids[a:b][numbers[a:b] == ESCAPE]
-        escapes.append(len(literal))
-        bodies[k] = literal.tobytes() + bodies[k]
-    sums = [zlib.crc32(memoryview(ids)[b - a:b]) for a, b in zip(lengths.tolist(), ends.tolist())]
-    packed = zlib.compress(np.array(doc_ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes() + known[by_count[:ESCAPE]].astype("<u4").tobytes(), 1)
-    table = np.array([lengths, [len(b) for b in bodies], escapes, sums], "<u4").tobytes()
-    head = struct.pack(HEAD, MAGIC, len(doc_ids), min(len(known), ESCAPE), len(bodies), len(ids), len(packed))
+    spans = list(zip((ends - lengths).tolist(), ends.tolist()))
+    bodies = [encode_block(numbers[a:b], len(alphabet)) for a, b in spans]
+    sums = [zlib.crc32(memoryview(ids)[a:b]) for a, b in spans]
+    packed = zlib.compress(np.array(doc_ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes() + alphabet.astype("<u4").tobytes(), 1)
+    table = np.array([lengths, [len(b) for b in bodies], sums], "<u4").tobytes()
+    head = struct.pack(HEAD, MAGIC, len(doc_ids), len(alphabet), len(bodies), len(ids), len(packed))
     return head + struct.pack("<I", zlib.crc32(head + packed + table)) + packed + table + b"".join(bodies)
 
 
 def read_header(segment: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Document ids, their counts, the alphabet, the block table (lengths, bytes, escapes, checksums), the blocks."""
+    """Document ids, their counts, the alphabet, the block table (lengths, bytes, checksums), the blocks."""
     size = struct.calcsize(HEAD)
     if segment[:8] != MAGIC:
         raise ValueError("not a segment")
     _, n_docs, n_known, n_blocks, n_ids, n_packed = struct.unpack(HEAD, segment[:size])
     at = size + 4 + n_packed
-    if zlib.crc32(segment[:size] + segment[size + 4:at + 16 * n_blocks]) != struct.unpack("<I", segment[size:size + 4])[0]:
+    if zlib.crc32(segment[:size] + segment[size + 4:at + 12 * n_blocks]) != struct.unpack("<I", segment[size:size + 4])[0]:
         raise ValueError("a segment's header does not fit its checksum")
     packed = zlib.decompress(segment[size + 4:at])
     docs, counts = np.frombuffer(packed[:16 * n_docs], "<i8").reshape(2, n_docs)
-    table = np.frombuffer(segment[at:at + 16 * n_blocks], "<u4").reshape(4, n_blocks)
-    ends = at + 16 * n_blocks + np.cumsum(table[1], dtype=np.int64)
+    table = np.frombuffer(segment[at:at + 12 * n_blocks], "<u4").reshape(3, n_blocks)
+    ends = at + 12 * n_blocks + np.cumsum(table[1], dtype=np.int64)
     if int(counts.sum()) != n_ids or int(table[0].sum()) != n_ids or (n_blocks and ends[-1] != len(segment)):
         raise ValueError("a segment's header does not fit its body")
     return docs, counts, np.frombuffer(packed[16 * n_docs:], "<u4", n_known), table, [segment[b - a:b] for a, b in zip(table[1].tolist(), ends.tolist())]
@@ -242,18 +301,13 @@ def read_header(segment: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def decode_segment(segment: bytes, which: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, their counts, and the ids of all blocks, or of those whose numbers are given; checksums are compared."""
     docs, counts, alphabet, table, blocks = read_header(segment)
-    asked = list(range(len(blocks))) if which is None else which
-    chosen = sorted(asked, key=lambda k: -int(table[0, k]))
-    literals = [4 * int(table[2, k]) for k in chosen]
-    found = decode_blocks([blocks[k][x:] for k, x in zip(chosen, literals, strict=True)], table[0, chosen].astype(np.int64))
-    known, out = np.r_[alphabet, np.zeros(ESCAPE + 1 - len(alphabet), np.uint32)].astype(np.uint32), {}
-    for k, x, numbers in zip(chosen, literals, found, strict=True):
-        ids = known[numbers]
-        ids[numbers == ESCAPE] = np.frombuffer(blocks[k][:x], "<u4")
-        if zlib.crc32(ids.astype("<u4").tobytes()) != int(table[3, k]):
+    out = []
+    for k in range(len(blocks)) if which is None else which:
+        ids = alphabet.take(decode_block(blocks[k], int(table[0, k]), len(alphabet)))
+        if zlib.crc32(ids.astype("<u4", copy=False)) != int(table[2, k]):
             raise ValueError(f"block {k} does not fit its checksum")
-        out[k] = ids
-    return docs, counts, np.concatenate([out[k] for k in asked]) if out else np.empty(0, np.uint32)
+        out.append(ids)
+    return docs, counts, np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
 #: Columns of the files. ``file`` tells apart files that begin with the same doc_id.
@@ -263,13 +317,27 @@ FILES = "first_doc_id long, file string, part int, n_tokens long, segment binary
 KIND = pa.schema([("first_doc_id", pa.int64()), ("file", pa.string()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("segment", pa.binary())])
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and texts of several batches at a time, as far as their words are looked up together."""
+    docs, texts, size = [], [], 0
+    for batch in batches:
+        docs += batch.column(0).to_pylist()
+        texts += batch.column(1).to_pylist()
+        size += batch.column(1).nbytes
+        if size >= GROUP_CHARACTERS:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def write_ids(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     """Tokenise every whole text, append ``end_id``, and write the ids to ``folder`` in ascending doc_id order.
 
     A file holds segments in order; all its documents come before those of the next range. Null or empty text: the end
     id alone. Repeated rows are written each; rows without doc_id are left out; an empty table gives an empty folder.
     """
-    end, most = np.uint32(end_id).tobytes(), LANES * MOST_BLOCK
+    end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -279,12 +347,12 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
             segment = encode_segment([d for d, _ in held], [len(b) // 4 for _, b in held], np.frombuffer(b"".join([b for _, b in held]), "<u4"))
             return pa.RecordBatch.from_pylist([{"first_doc_id": held[0][0], "file": name, "part": part, "n_tokens": size, "segment": segment}], schema=KIND)
 
-        for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), word_ids(batch.column(1).to_pylist(), path), strict=True):
+        for docs, texts in grouped(batches):
+            for doc, ids in zip(docs, word_ids(texts, path), strict=True):
                 name = name or f"{doc}-{zlib.crc32(ids)}"
                 held.append((doc, ids + end))
                 size += len(ids) // 4 + 1
-                if size >= most:
+                if size >= SEGMENT:
                     yield flush()
                     held, size, part = [], 0, part + 1
         if held:
