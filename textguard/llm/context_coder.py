@@ -35,7 +35,6 @@ CONTEXTS, CELLS, SLOT_BITS = 256, 1 << 20, 18
 #: log2 of a row's total (more with a large alphabet), of the parts of a mix, and of the buckets a row is looked up by.
 TOTAL_BITS, MIX_BITS, BUCKET_BITS = 18, 4, 12
 BOTTOM, WORD, LOW_WORD = np.uint64(1 << 32), np.uint64(32), np.uint64((1 << 32) - 1)
-RIGHT = np.array([1, 2, 3, 3], np.uint32)
 FIRST, SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -84,7 +83,10 @@ class Model:
 
     def note(self, slot: np.ndarray, cell: np.ndarray, number: np.ndarray) -> None:
         """What came last is what came now; being right counts up to three times in a row."""
-        self.came[slot] = (number << np.uint32(2)) | RIGHT.take(cell & np.uint32(3)) * (cell >> np.uint32(2) == number)
+        now = number << np.uint32(2)
+        sure = cell - now  # below 4 if it was right
+        now |= np.minimum(sure + np.uint32(1), np.uint32(3)) * (sure < np.uint32(4))
+        self.came[slot] = now
 
     def close(self, numbers: np.ndarray, cells: np.ndarray) -> None:
         """Learn from a round: ``numbers`` has the two steps before it as well, ``cells`` what order 2 had. Older verdicts count half."""
@@ -98,14 +100,14 @@ class Model:
 
 def slots(before: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Where order 2 keeps what came last after two numbers."""
-    return (before * FIRST + second * SECOND) * FIRST >> np.uint32(32 - SLOT_BITS)
+    return ((before * FIRST + second * SECOND) * FIRST >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
 
 
 def rounds_of(steps: int) -> list[tuple[int, int]]:
-    """Steps of each round, each some twice as long as all before it."""
+    """Steps of each round, each some three times as long as all before it."""
     ends = [0, 1]
     while ends[-1] < steps:
-        end = 3 * ends[-1] + 1
+        end = 4 * ends[-1] + 1
         ends.append(end if end + end // 2 < steps else steps)
     return list(zip(ends[:-1], ends[1:]))
 
@@ -147,12 +149,12 @@ def encode_block(numbers: np.ndarray, n_known: int) -> bytes:
             b = min(a + 16, end)
             here, before, cell = grid[a + 2:b + 2], grid[a + 1:b + 1], cells[a:b]
             for number, slot, row in zip(here, slots(before, grid[a:b]), cell, strict=True):
-                model.came.take(slot, out=row)
+                model.came.take(slot, out=row, mode="clip")
                 model.note(slot, row, number)
             at = np.minimum(before, model.last) * np.uint32(n_known + 1) + here
-            start, share = model.flat.take(at), model.flat.take(at + np.uint32(1))
+            start, share = model.flat.take(at, mode="clip"), model.flat.take(at + np.uint32(1), mode="clip")
             share -= start
-            weight, guess = model.weights.take(cell & np.uint32(3)), cell >> np.uint32(2)
+            weight, guess = model.weights.take(cell & np.uint32(3), mode="clip"), cell >> np.uint32(2)
             rest = np.uint32(1 << MIX_BITS) - weight
             weight <<= bits
             start *= rest
@@ -200,19 +202,19 @@ def decode_block(block: bytes, length: int, n_known: int) -> np.ndarray:
         for t in range(begin, end):
             context = np.minimum(grid[t + 1], model.last)
             slot, at = slots(grid[t + 1], grid[t]), context * np.uint32(n_known + 1)
-            cell = model.came.take(slot, out=cells[t])
-            weight, guess = model.weights.take(cell & np.uint32(3)), cell >> np.uint32(2)
+            cell = model.came.take(slot, out=cells[t], mode="clip")
+            weight, guess = model.weights.take(cell & np.uint32(3), mode="clip"), cell >> np.uint32(2)
             rest = np.uint32(1 << MIX_BITS) - weight
             weight <<= bits
             step = width >> scale
             value = np.minimum((code - low) // step, most).astype(np.uint32)
             # The guess's part of the mix lies where its number begins in the row.
             own = at + guess
-            first, last = model.flat.take(own) * rest, model.flat.take(own + np.uint32(1)) * rest + weight
+            first, last = model.flat.take(own, mode="clip") * rest, model.flat.take(own + np.uint32(1), mode="clip") * rest + weight
             above, below = value >= last, value < first
             share = np.minimum((value - weight * above) // rest, top)
             bucket = context * line + (share >> shift)
-            number, highest = model.buckets.take(bucket), model.buckets.take(bucket + np.uint32(1))
+            number, highest = model.buckets.take(bucket, mode="clip"), model.buckets.take(bucket + np.uint32(1), mode="clip")
             wide = np.flatnonzero(number < highest)
             while len(wide):
                 low_end, high_end = number[wide], highest[wide]
@@ -225,7 +227,7 @@ def decode_block(block: bytes, length: int, n_known: int) -> np.ndarray:
             np.copyto(number, guess, where=hit)
             grid[t + 2] = number
             at += number
-            start, part = model.flat.take(at), model.flat.take(at + np.uint32(1))
+            start, part = model.flat.take(at, mode="clip"), model.flat.take(at + np.uint32(1), mode="clip")
             part -= start
             start *= rest
             start += weight * (guess < number)
@@ -252,12 +254,16 @@ HEAD = "<8sIIIQI"
 def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids there are, by frequency, and each id's number among them."""
     if len(ids) and int(ids.max()) < 1 << 20:
-        times = np.bincount(ids)
+        times, numbers, parts = np.zeros(int(ids.max()) + 1, np.int64), np.empty(len(ids), np.uint32), range(0, len(ids), 1 << 18)
+        for a in parts:
+            times += np.bincount(ids[a:a + (1 << 18)], minlength=len(times))
         known = np.flatnonzero(times)
         known = known[np.lexsort((known, -times[known]))]
         number = np.zeros(len(times), np.uint32)
         number[known] = np.arange(len(known), dtype=np.uint32)
-        return known.astype(np.uint32), number.take(ids)
+        for a in parts:
+            number.take(ids[a:a + (1 << 18)], out=numbers[a:a + (1 << 18)], mode="clip")
+        return known.astype(np.uint32), numbers
     known, place, times = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((known, -times))
     number = np.empty(len(known), np.uint32)
