@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from textguard.operators import cascade, policy, tier0
 from textguard.plans import evaluate
+from textguard.queries import QUERIES
 
 HOLD = ["you are such an idiot", "ur so dumb lol", "what a loser", "go die", "kill yourself", "k y s", "idiot you are",
         "your face is disgusting", "i will hurt you", "nobody likes you", "f*ck this", "stfu loser", "you retard",
@@ -118,3 +119,19 @@ def test_group_rejoin_reads_split_messages(spark):
     assert covered.count() == 0
     got = cascade.group_rejoin(df, covered, "id", "g", "pos").collect()
     assert [(r.g, r.joined) for r in got] == [(1, "you are such an idiot here")]
+
+
+def test_group_rejoin_scores_every_group(spark):
+    rows = [(1, 1, 0, "you are"), (2, 1, 1, "such an"), (3, 1, 2, "idiot here"), (4, 2, 0, "hi you"), (5, 2, 1, "all good")]
+    df = spark.createDataFrame(rows, "id int, g int, pos int, text string")
+    got = {r.g: (r.score, r.held) for r in cascade.group_rejoin(df, cascade.fragment_best(df, "id"), "id", "g", "pos", every=True).collect()}
+    assert set(got) == {1, 2} and got[1][0] >= 0.7 and got[1][1] is True and got[2] == (0.0, False)
+
+
+def test_the_query_group_rejoin_judges_what_it_joins(spark, tmp_path):
+    """A turn whose sentences pass one by one and are held as one text."""
+    turns = [(83, 1, "user", "Oh you are. An idiot today."), (102, 1, "user", "All is fine. It works.")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.gid: r for r in QUERIES["group_rejoin"](spark, str(tmp_path)).collect()}
+    assert {g: r.held for g, r in got.items()} == {8300001: True, 10200001: False}
+    assert got[8300001].score >= 0.7 > got[10200001].score and all(r.digest and r.chars for r in got.values())
