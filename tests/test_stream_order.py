@@ -130,3 +130,31 @@ def test_short_gap_after_a_complete_word(spark, shuffled):
 def test_an_empty_stream_gives_nothing(spark, shuffled):
     none = shuffled.limit(0).select("id", "k", "ts", "text")
     assert C.replayed(spark, none, "ts", lambda s: streams.stream_context(s, "k", "id", ts="ts", delay="1 hour", ordered=True)).where("id IS NOT NULL").count() == 0
+
+
+def test_a_debounced_hot_key_waits_as_a_row_a_cell(spark, tmp_path):
+    """600 edits of one key within a minute, in five micro-batches: no Python keeps them, and each cell is one row of the state."""
+    df = spark.range(600).selectExpr("'hot' AS k", "id", "concat('l', id) AS text", "timestamp_millis(1700000040000 + (id * 7919) % 600 * 100) AS ts")
+    end = df.limit(1).selectExpr("'end' AS k", "id", "text", "timestamp'2200-01-01' AS ts")
+    parts = [df.where(f"id % 5 = {j}") for j in range(5)]
+    got, progress = steps(spark, tmp_path, [*parts, end], lambda s: streams.debounced_stream(s, "k", gap_seconds=60, delay="1 hour", width="10 minutes", ordered=True, tie=["id"]))
+    operators = [o for p in progress[:5] for o in p["stateOperators"]]
+    assert {o["operatorName"] for o in operators} == {"stateStoreSave"} and max(o["numRowsTotal"] for o in operators) == 1
+    last = df.orderBy(F.desc("ts")).first()
+    assert [(r.k, r.id) for r in got] == [("hot", last.id)]
+
+
+def test_the_last_drafts_of_a_table_come_out(spark):
+    """Drafts whose gap ends in the day after their own, with nothing behind them."""
+    df = spark.range(40).selectExpr("id", "concat('k', id % 4) AS k", "concat('l', id) AS text", "timestamp'2024-01-01 23:20:00' + make_dt_interval(0, 0, id, 0) AS ts")
+    got = C.replayed(spark, df, "ts", lambda s: streams.debounced_stream(s, "k", gap_seconds=600, short_gap_seconds=60, delay="1 hour", width="1 day", ordered=True, tie=["id"]))
+    assert sorted(r.id for r in got.collect()) == [36, 37, 38, 39]
+
+
+@pytest.mark.parametrize("gap, short", [(30, 0), (0, 30), (0, None), (45, 7)])
+def test_gaps_of_nothing_and_uneven_gaps(spark, shuffled, gap, short):
+    df = shuffled.selectExpr("id", "if(k = 'c', null, k) AS k", "ts", "if(id % 3 = 0, concat(text, ' '), if(id % 4 = 0, null, text)) AS text").where("id < 150")
+    got = C.replayed(spark, df, "ts", lambda s: streams.debounced_stream(s, "k", gap_seconds=gap, short_gap_seconds=short, delay="10 minutes", width="1 minute", ordered=True, tie=["id"]), slices=2)
+    want = A.debounce(df.withColumn("k", F.coalesce("k", F.lit("none"))), "k", "ts", "id", gap, text="text", short_gap_seconds=short)
+    rows = [r.id for r in got.where("id IS NOT NULL").collect()]
+    assert sorted(rows) == sorted(r.id for r in want.collect()) and rows

@@ -1,4 +1,5 @@
-"""Streams that take a key's rows in event order, whatever order they arrive in.
+"""Streams that take a key's rows in event order, whatever order they arrive in (T4, T9, T10). T10 needs no more than aggregations
+(:func:`settled`); the others read row by row.
 
 Event time is cut into buckets. A row that arrives goes into its bucket of the key and is not read again until the watermark has passed
 the bucket, which a timer tells; then the bucket's rows come out in order and are gone. So what a micro-batch reads and writes of the
@@ -13,7 +14,6 @@ from __future__ import annotations
 import heapq
 import pickle
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from textguard.functions.arrays import settle
+from textguard.plans.activity import WORD_ENDED
 from textguard.plans.quota import Quota
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,6 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FORGET_MS = 30 * 24 * 3600 * 1000
 #: Rows of a stored piece, and of a run that is sorted at once.
 PIECE_ROWS, RUN_ROWS = 256, 16_384
+#: Cells of a key that are looked at together where settled rows are told.
+SPAN_CELLS = 4096
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -146,40 +150,6 @@ def forgotten(seen: int, width: int) -> int:
     return (seen + FORGET_MS) // width * width + 1
 
 
-class Settled(InOrder):
-    """The rows that no other row of the key follows within their gap."""
-
-    def __init__(self, names: list[str], places: list[int], width_ms: int, text: int, gap: int, short: int):
-        super().__init__(names, places, width_ms)
-        self.text, self.gap, self.short = text, gap, short
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.pending = handle.getValueState("pending", "row binary")
-
-    def until(self, row: tuple) -> int:
-        """From when on a row has settled, in microseconds: its time and its gap."""
-        return row[-1] + (self.short if ended(row[self.text]) else self.gap)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end, made = expiredTimerInfo.getExpiryTimeInMs(), Row(*self.names)
-        held = self.pending.get()
-        before = last = pickle.loads(held[0]) if held else None
-        for row in self.released(end):
-            if last is not None and row[-1] >= self.until(last):
-                yield made(*last[:-1])
-            last = row
-        if last is not None and self.until(last) <= end * 1000:
-            yield made(*last[:-1])
-            last = None
-        if last is not None and last != before:
-            self.pending.update((pickle.dumps(last),))
-            # At the end of the bucket in which the gap ends, so that the rows up to there are looked at first.
-            self.handle.registerTimer(-(-self.until(last) // (1000 * self.width)) * self.width)
-        elif last is None and held:
-            self.pending.clear()
-
-
 class Limited(InOrder):
     """Each row with whether the quota grants it. The place ``at`` has the moment of the request."""
 
@@ -201,11 +171,6 @@ class Limited(InOrder):
             self.used.update((list(quota.stamps), quota.day, quota.used))
 
 
-def ended(text: str | None) -> bool:
-    """Whether a draft's last word is complete: white space or punctuation follows it (``plans.activity.WORD_ENDED``)."""
-    return bool(text) and (text[-1] in "\t\n\v\f\r" or unicodedata.category(text[-1])[0] in "PZ")
-
-
 def timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     """The stream with its watermark, and ``_at``: the event time in microseconds, whatever the session's time zone. Rows without one are dropped."""
     return stream.where(F.col(ts).isNotNull()).withWatermark(ts, delay).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
@@ -236,12 +201,36 @@ def settled(stream: DataFrame, key: str, order: list[str], text: str, gap_second
     """The rows with no newer one of their key within the gap; of rows at one moment the last by ``order``.
 
     With ``short_gap_seconds``, a text that ends in a space or punctuation settles after that time already.
+
+    No Python runs: both states are those of aggregations over event time, which the watermark closes. The first keeps one row for each key and cell, a
+    cell being as long as the shortest gap: of its rows only the last can settle, and what came before it asks only when the first came. The second
+    looks at the cells of a key in a span, with those of the gap behind it, so a span needs no other.
     """
-    spark, rows = stream.sparkSession, timed(stream, ts, delay)
-    places = [rows.columns.index(c) for c in ["_at", *order]]
+    spark = stream.sparkSession
+    with_map_state(spark)
     gap = round(gap_seconds * 1_000_000)
     short = gap if short_gap_seconds is None else round(short_gap_seconds * 1_000_000)
-    return run(rows, key, Settled(stream.columns, places, bucket_width(spark, delay, width), rows.columns.index(text), gap, short), schema_of(stream))
+    needed = F.lit(gap)
+    if short != gap:
+        needed = F.when(F.right(F.col(text), F.lit(1)).rlike(WORD_ENDED), short).otherwise(gap)
+    rows = timed(stream, ts, delay).withColumn("_until", F.col("_at") + needed)
+    at_once = rows.where("_until <= _at").select(*stream.columns)  # of a gap of nothing
+    if max(gap, short) <= 0:
+        return at_once
+    cell = min(g for g in (gap, short) if g > 0)
+    halo = -(-max(gap, short) // cell) * cell
+    # A span holds whole cells, and not more of them than a row of the state should.
+    span = max(halo, min(-(-bucket_width(spark, delay, width) * 1000 // cell), SPAN_CELLS) * cell)
+    last = F.max_by(F.struct(*stream.columns, "_at", "_until"), F.struct(*dict.fromkeys(["_at", *order, text])))
+    cells = (rows.groupBy(F.col(key).alias("_key"), F.window(ts, f"{cell} microseconds").alias("_cell"))
+             .agg(F.min("_at").alias("_first"), last.alias("_last"))
+             .select("_key", F.window_time("_cell").alias("_when"), "_first", "_last"))
+    spans = (cells.groupBy("_key", F.window("_when", f"{span + halo} microseconds", f"{span} microseconds").alias("_span"))
+             .agg(F.array_sort(F.collect_list(F.struct("_first", "_last"))).alias("_cells"))
+             .select("_cells", (F.unix_micros("_span.start") + span).alias("_end")))
+    alone = "filter(_cells, (c, i) -> c._first < _end AND c._last._until > c._last._at AND coalesce(get(_cells, i + 1)._first >= c._last._until, true))"
+    found = settle(spans).select(F.explode(F.expr(alone)).alias("_c")).select(*[F.col("_c._last")[c].alias(c) for c in stream.columns])
+    return found if min(gap, short) > 0 else found.unionByName(at_once)
 
 
 def limited(stream: DataFrame, key: str, at: str, tie: str, per_minute: int, per_day: int, delay: str, width: str | None = None) -> DataFrame:

@@ -253,8 +253,8 @@ def debounced_stream(stream: DataFrame, key: str, ts: str = "ts", text: str = "t
     it comes out by itself if the newer one is no sooner than the gap.
 
     With ``ordered``, all edits wait until the watermark has passed them by the gap, so the drafts are those of the whole key in event
-    order (of edits at one moment, the last by ``tie``, or else by text); what is more than ``delay`` late is dropped. ``short_gap_seconds`` is
-    the gap of a draft whose last word is complete. ``tie`` columns come out beside the draft.
+    order (of edits at one moment, the last by ``tie``, or else by text); what is late by more than ``delay`` and the shortest gap is dropped.
+    ``short_gap_seconds`` is the gap of a draft whose last word is complete. ``tie`` columns come out beside the draft. No Python runs then.
     """
     if ordered:
         tie = tie or []
